@@ -29,12 +29,6 @@ MODES = ("FAILFAST", "DROPMALFORMED", "PERMISSIVE")
 CORRUPT_COLUMN = "_corrupt_record"
 
 
-def _malformed(toks: Column) -> Column:
-    """A line is malformed when it has fewer than 12 tokens or any token
-    (extras included) is not an integer."""
-    return (F.size(toks) < OBSERVATION_TOKENS) | F.exists(toks, lambda t: parse_int_token(t).isNull())
-
-
 def parse_observations(
     lines: DataFrame,
     line_col: str = "value",
@@ -50,56 +44,65 @@ def parse_observations(
     ``station_id_col`` is None or absent). ``keep`` names extra input columns
     carried through unchanged.
 
-    Modes: FAILFAST raises on the first malformed line; DROPMALFORMED drops
-    such lines; PERMISSIVE keeps them with NULL fields and the raw line in
-    ``_corrupt_record``. The -9999 sentinel is mapped to NULL only after the
-    malformed test, so an absent value is never mistaken for a bad one.
+    A line is malformed when it has fewer than 12 tokens or any token (extras
+    included) is not an integer. Modes: FAILFAST raises on a malformed line;
+    DROPMALFORMED drops it; PERMISSIVE keeps it with NULL fields and the raw
+    line in ``_corrupt_record``. The -9999 sentinel is mapped to NULL only
+    after the malformed test, so an absent value is never mistaken for a bad one.
+
+    Each line is split and its tokens converted once, into an int array that
+    the output columns index (one projection per step, so Catalyst does not
+    inline the split into every field).
     """
     mode = mode.upper()
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    toks = tokens(F.col(line_col))
-    bad = _malformed(toks)
-    raw = [parse_int_token(F.get(toks, i)) for i in range(OBSERVATION_TOKENS)]
-
-    src = lines
+    keep = list(keep)
+    has_station = station_id_col is not None and station_id_col in lines.columns
+    carried = [observation_id_col, *([station_id_col] if has_station else []), *keep]
+    line = F.col(line_col)
+
+    step = lines.select(*[F.col(c) for c in carried], line.alias("_line"), tokens(line).alias("_tok"))
+    ints = F.transform(F.col("_tok"), lambda t: parse_int_token(t))
+    step = step.select("*", ints.alias("_int"))
+    bad = (F.size("_tok") < OBSERVATION_TOKENS) | F.exists("_int", lambda x: x.isNull())
     if mode == "FAILFAST":
-        # A filter cannot be pruned away, so every line is checked.
-        src = src.filter(
-            F.when(bad, F.raise_error(F.concat(F.lit("Malformed observation line: "), F.col(line_col)))).otherwise(
-                F.lit(True)
-            )
+        ok = F.when(bad, F.raise_error(F.concat(F.lit("Malformed observation line: "), F.col("_line")))).otherwise(
+            F.lit(True)
         )
-    elif mode == "DROPMALFORMED":
-        src = src.filter(~bad)
-
-    if station_id_col is not None and station_id_col in lines.columns:
-        station = F.col(station_id_col)
     else:
-        station = station_key(F.col(observation_id_col))
-
-    ok = ~bad if mode == "PERMISSIVE" else F.lit(True)
-
-    def guard(c: Column) -> Column:
-        return c if mode != "PERMISSIVE" else F.when(ok, c)
-
+        ok = ~bad
+    step = step.select(*carried, "_line", "_int", ok.alias("_ok"))
+    if mode == "DROPMALFORMED":
+        # Drop through a generator (zero or one copy of the parsed array):
+        # a Filter on the flag would be pushed below the projections and
+        # split every line again.
+        kept = F.explode(F.when(F.col("_ok"), F.array(F.col("_int"))))
+        step = step.select(*carried, "_line", kept.alias("_int"), F.lit(True).alias("_ok"))
+
+    def field(i: int) -> Column:
+        # FAILFAST: every field depends on the check, so no projection can skip it.
+        v = F.get(F.col("_int"), i)
+        return v if mode == "DROPMALFORMED" else F.when(F.col("_ok"), v)
+
+    station = F.col(station_id_col) if has_station else station_key(F.col(observation_id_col))
     cols = [
         F.col(observation_id_col).alias("observation_id"),
         station.alias("station_id"),
-        guard(raw[0]).alias("year"),
-        guard(raw[1]).alias("month"),
-        guard(raw[2]).alias("day"),
-        guard(raw[3]).alias("hour"),
+        field(0).alias("year"),
+        field(1).alias("month"),
+        field(2).alias("day"),
+        field(3).alias("hour"),
     ]
     for i, (name, kind) in enumerate(MEASURES):
-        r = raw[4 + i]
+        r = field(4 + i)
         decoded = scaled_or_null(r) if kind == "double" else sentinel_or_null(r)
-        cols.append(guard(decoded).cast(kind).alias(name))
+        cols.append(decoded.cast(kind).alias(name))
         if name == "wind_speed":
-            cols.append(guard(sentinel_or_null(r)).alias("wind_speed_x10"))
+            cols.append(sentinel_or_null(r).alias("wind_speed_x10"))
     if mode == "PERMISSIVE":
-        cols.append(F.when(bad, F.col(line_col)).alias(CORRUPT_COLUMN))
-    return src.select(*cols, *[F.col(k) for k in keep])
+        cols.append(F.when(~F.col("_ok"), F.col("_line")).alias(CORRUPT_COLUMN))
+    return step.select(*cols, *[F.col(k) for k in keep])
 
 
 def read_observation_lines(
