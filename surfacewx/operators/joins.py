@@ -93,16 +93,17 @@ def dimension_join(
     With equal key names the key appears once in the output.
     """
     dim_key = dim_key or fact_key
+    if fact_key == dim_key:
+        # Rename so both paths give the fact columns first, then the
+        # dimension's, with the key once (the fact side's).
+        dim = dim.withColumnRenamed(dim_key, "_dim_key")
+        dim_key = "_dim_key"
     small, ok = checked_broadcast(dim, max_bytes)
     if ok:
-        if fact_key == dim_key:
-            return fact.join(small, fact_key, how)
-        return fact.join(small, F.col(fact_key) == small[dim_key], how)
-    if fact_key == dim_key:
-        renamed = dim.withColumnRenamed(dim_key, "_dim_key")
-        out = salted_join(fact, renamed, fact_key, "_dim_key", how, buckets)
-        return out.drop("_dim_key") if "_dim_key" in out.columns else out
-    return salted_join(fact, dim, fact_key, dim_key, how, buckets)
+        out = fact.join(small, F.col(fact_key) == small[dim_key], how)
+    else:
+        out = salted_join(fact, dim, fact_key, dim_key, how, buckets)
+    return out.drop("_dim_key") if "_dim_key" in out.columns else out
 
 
 def semi_join(obs: DataFrame, selected: DataFrame, key: str = "station_id", selected_key: str | None = None) -> DataFrame:
