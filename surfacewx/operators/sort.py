@@ -18,14 +18,22 @@ def with_position(df: DataFrame, keys: list[str], out_col: str = "position", par
     row index inside the partition from the monotonically increasing id, count
     rows per partition (one row per partition: a bounded, broadcast table),
     turn counts into offsets, add. Data moves once, by the range exchange.
+
+    The tagged rows are checkpointed (to the session's checkpoint directory)
+    before they are counted, so the input is computed once and the partition
+    ids and row indexes are fixed even if a task is retried afterwards.
     """
+    from surfacewx.session import ensure_checkpoint_dir
+
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+        .checkpoint(eager=True)
     )
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # At most n rows: a window without partitioning is fine here.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from surfacewx.functions.format import station_label
 from surfacewx.functions.keys import observation_key, station_key
 from surfacewx.operators.joins import dimension_join, enrich, semi_join
+from surfacewx.operators.partitioning import spread
 from surfacewx.operators.outliers import find_outliers, threshold_table
 from surfacewx.operators.radius import with_distance, within_radius
 from surfacewx.operators.report import format_report
@@ -41,15 +42,23 @@ from surfacewx.sources.stations import dedupe_last, lookup_stations, parse_stati
 Query = Callable[[SparkSession, str], DataFrame]
 
 CENTRE = (DEFAULT_LATITUDE, DEFAULT_LONGITUDE, DEFAULT_ELEVATION)
-# Event types of the test table, one union branch each (plus a remainder
-# branch, so no row is lost whatever the table holds).
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+# Boundaries of the union query's time-range inputs (weekly).
+UNION_BOUNDS = ["2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00", "2024-01-29 00:00:00"]
 # Station ids looked up by the point-lookup query (the last one is unknown).
 LOOKUP_IDS = ["720000-00015", "720001-00020", "720002-00016", "999999-99999"]
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    """The table's DataFrame, defined once per session (like a catalog
+    table): file listing and footer reads happen once, not per query."""
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _stations(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +111,8 @@ def _event_observation_id(k: Column, year: Column) -> Column:
 def _rendered_lines(spark: SparkSession, d: str) -> DataFrame:
     """Observation lines rendered from every event, with valid variations:
     blanks and tabs around the line, and an extra integer token."""
-    obs = _obs(spark, d).withColumn("observation_id", _event_observation_id(F.col("k"), F.col("year")))
+    events = spread(_table(spark, d, "events"))  # text work is CPU-heavy: use every core
+    obs = _obs(spark, d, events).withColumn("observation_id", _event_observation_id(F.col("k"), F.col("year")))
     obs = obs.withColumn("station_id", F.lit(None).cast("string"))
     lines = render_observation_lines(obs, keep=["event_id"])
     e = F.col("event_id")
@@ -151,7 +161,7 @@ def parse_stations(spark: SparkSession, d: str) -> DataFrame:
 def _file_names(spark: SparkSession, d: str) -> DataFrame:
     """One synthetic observation-file path per event: plain, .gz, .txt.gz,
     and a non-observation name."""
-    obs = _obs(spark, d)
+    obs = _obs(spark, d, spread(_table(spark, d, "events")))  # regex work: use every core
     e = F.col("event_id")
     base = F.concat(F.format_string("%06d", F.lit(720000) + F.col("k")), F.lit("-99999-"), F.col("year").cast("string"))
     suffix = F.when(e % 3 == 0, F.lit(".gz")).when(e % 3 == 1, F.lit("")).otherwise(F.lit(".txt.gz"))
@@ -221,10 +231,24 @@ def pooled_stats_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def measure_stats(spark: SparkSession, d: str) -> DataFrame:
-    """The same statistics for each of the 8 measures."""
-    obs = _obs(spark, d).select(*[F.col(m).cast("double").alias(m) for m in MEASURE_NAMES])
-    long = obs.unpivot([], MEASURE_NAMES, "measure", "value")
-    s = long.groupBy("measure").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"))
+    """The same statistics for each of the 8 measures.
+
+    One global aggregate with 8 x 3 partial aggregates (one pass, a one-row
+    exchange), then the single result row is stacked into 8 rows.
+    """
+    obs = _obs(spark, d)
+    aggs = []
+    for m in MEASURE_NAMES:
+        v = F.col(m).cast("double")
+        aggs += [F.count(v).alias(f"{m}__n"), F.avg(v).alias(f"{m}__mean"), F.stddev_samp(v).alias(f"{m}__sd")]
+    one = obs.agg(*aggs)
+    rows = F.array(
+        *[
+            F.struct(F.lit(m).alias("measure"), F.col(f"{m}__n").alias("n"), F.col(f"{m}__mean").alias("mean"), F.col(f"{m}__sd").alias("stddev"))
+            for m in MEASURE_NAMES
+        ]
+    )
+    s = one.select(F.inline(rows))
     return s.select("measure", "n", _r("mean", 6).alias("mean"), _r("stddev", 6).alias("stddev"))
 
 
@@ -259,10 +283,20 @@ def find_outliers_lineitem(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- union / join / report
 def union_observations_q(spark: SparkSession, d: str) -> DataFrame:
-    """Observations split by event type, unioned from the empty relation."""
+    """Observations read as separate time-range inputs (as the job
+    reads one input per file), unioned from the empty relation.
+
+    Each branch is a range predicate on the stored timestamp, so on a
+    time-ordered or time-partitioned table every branch reads only its own
+    row groups / partitions; the open first and last ranges and the NULL
+    branch cover every row whatever the table holds.
+    """
     ev = _table(spark, d, "events")
-    branches = [ev.filter(F.col("event_type") == t) for t in EVENT_TYPES]
-    branches.append(ev.filter(~F.coalesce(F.col("event_type").isin(EVENT_TYPES), F.lit(False))))
+    ts = F.col("ts")
+    bounds = [F.lit(b).cast("timestamp_ntz") for b in UNION_BOUNDS]
+    branches = [ev.filter(ts < bounds[0])]
+    branches += [ev.filter((ts >= lo) & (ts < hi)) for lo, hi in zip(bounds, bounds[1:])]
+    branches += [ev.filter(ts >= bounds[-1]), ev.filter(ts.isNull())]
     frames = [_obs(spark, d, b).select("event_id", "k", "year", "month", "day", "hour", "wind_speed") for b in branches]
     return union_observations(*frames)
 

@@ -5,7 +5,6 @@ from surfacewx.sources.fixtures import (
     observations_from_events,
     station_count,
     stations_from_supplier,
-    with_observation_id,
 )
 from surfacewx.sources.observations import (
     empty_observations,
@@ -27,7 +26,6 @@ __all__ = [
     "observation_raw_from_events",
     "stations_from_supplier",
     "station_count",
-    "with_observation_id",
     "empty_observations",
     "parse_observations",
     "read_observation_lines",

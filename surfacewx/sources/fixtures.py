@@ -5,6 +5,9 @@ observations (``user_id`` modulo the number of suppliers picks the station).
 Every formula here has a line-for-line twin in the DuckDB oracle
 (``surfacewx.plans.oracle``); NULL patterns are there on purpose so that the
 sentinel, empty-field and missing-coordinate paths are all exercised.
+
+The formulas are SQL expressions (``selectExpr``): each column is parsed on
+the JVM in one call.
 """
 
 from __future__ import annotations
@@ -13,56 +16,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surfacewx.functions.decode import scaled_or_null, sentinel_or_null
-from surfacewx.schema import MEASURES, MISSING_VALUE
-
-
-def _null_if(cond: Column, value: Column) -> Column:
-    return F.when(~cond, value)
+from surfacewx.schema import MEASURES
+
+_USAF = "format_string('%06d', 720000 + s_suppkey)"
+_WBAN = "format_string('%05d', s_nationkey)"
+
+STATION_EXPRS = [
+    f"concat_ws('-', {_USAF}, {_WBAN}) AS station_id",
+    f"{_USAF} AS usaf",
+    f"{_WBAN} AS wban",
+    "s_name AS station_name",
+    "CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE 'US' END AS country",
+    "CASE WHEN s_suppkey % 7 = 6 THEN NULL ELSE 'TX' END AS state",
+    "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE format_string('K%03d', s_suppkey % 1000) END AS icao",
+    "CASE WHEN s_suppkey % 17 = 16 THEN NULL ELSE CAST(25000 + (s_suppkey * 7919) % 10000 AS DOUBLE) / 1000 END AS latitude",
+    "CAST(-100000 + (s_suppkey * 6113) % 10000 AS DOUBLE) / 1000 AS longitude",
+    "CASE WHEN s_suppkey % 11 = 10 THEN NULL ELSE CAST((s_suppkey * 131) % 5000 AS DOUBLE) / 10 END AS elevation",
+    "make_date(CAST(1970 + s_suppkey % 40 AS INT), CAST(1 + s_suppkey % 12 AS INT), CAST(1 + s_suppkey % 28 AS INT)) AS begin",
+    "DATE'2018-05-01' AS end",
+    "s_suppkey",
+]
+
+# Raw (line-token) values of the 8 measures, -9999 where absent.
+RAW_MEASURE_EXPRS = [
+    "CASE WHEN event_id % 17 = 3 THEN -9999 ELSE CAST((user_id * 7 + event_id) % 400 - 100 AS INT) END AS air_temperature_raw",
+    "CASE WHEN event_id % 19 = 5 THEN -9999 ELSE CAST((event_id * 3) % 300 - 50 AS INT) END AS dew_point_temperature_raw",
+    "CASE WHEN event_id % 23 = 7 THEN -9999 ELSE CAST((event_id * 11) % 600 + 9800 AS INT) END AS sea_level_pressure_raw",
+    "CASE WHEN event_id % 29 = 11 THEN -9999 ELSE CAST((event_id * 37) % 360 AS INT) END AS wind_direction_raw",
+    "CASE WHEN event_id % 13 = 0 THEN -9999 ELSE CAST(floor(value * 10) AS INT) END AS wind_speed_raw",
+    "CASE WHEN event_id % 31 = 13 THEN -9999 ELSE CAST(event_id % 20 AS INT) END AS total_cloud_cover_raw",
+    "CASE WHEN event_id % 7 = 1 THEN -1 WHEN event_id % 3 = 0 THEN -9999 "
+    "ELSE CAST((event_id * 5) % 120 AS INT) END AS one_hour_precipitation_raw",
+    "CASE WHEN event_id % 11 = 2 THEN -1 WHEN event_id % 4 = 0 THEN -9999 "
+    "ELSE CAST((event_id * 13) % 400 AS INT) END AS six_hour_precipitation_raw",
+]
 
 
 def stations_from_supplier(supplier: DataFrame) -> DataFrame:
     """STATION_SCHEMA rows (plus ``s_suppkey``), one per supplier."""
-    k = F.col("s_suppkey")
-    usaf = F.format_string("%06d", F.lit(720000) + k)
-    wban = F.format_string("%05d", F.col("s_nationkey"))
-    lat = (F.lit(25000) + (k * 7919) % 10000).cast("double") / 1000
-    lon = (F.lit(-100000) + (k * 6113) % 10000).cast("double") / 1000
-    elev = ((k * 131) % 5000).cast("double") / 10
-    return supplier.select(
-        F.concat_ws("-", usaf, wban).alias("station_id"),
-        usaf.alias("usaf"),
-        wban.alias("wban"),
-        F.col("s_name").alias("station_name"),
-        _null_if(k % 5 == 4, F.lit("US")).alias("country"),
-        _null_if(k % 7 == 6, F.lit("TX")).alias("state"),
-        _null_if(k % 3 == 0, F.format_string("K%03d", k % 1000)).alias("icao"),
-        _null_if(k % 17 == 16, lat).alias("latitude"),
-        lon.alias("longitude"),
-        _null_if(k % 11 == 10, elev).alias("elevation"),
-        F.make_date(F.lit(1970) + (k % 40).cast("int"), F.lit(1) + (k % 12).cast("int"), F.lit(1) + (k % 28).cast("int")).alias("begin"),
-        F.make_date(F.lit(2018), F.lit(5), F.lit(1)).alias("end"),
-        k.alias("s_suppkey"),
-    )
-
-
-# Raw (line-token) values of the 8 measures, sentinel where absent.
-def _raw_measures() -> list[tuple[str, Column]]:
-    e = F.col("event_id")
-    miss = F.lit(MISSING_VALUE)
-
-    def sentinel(cond: Column, value: Column) -> Column:
-        return F.when(cond, miss).otherwise(value.cast("int"))
-
-    return [
-        ("air_temperature", sentinel(e % 17 == 3, (F.col("user_id") * 7 + e) % 400 - 100)),
-        ("dew_point_temperature", sentinel(e % 19 == 5, (e * 3) % 300 - 50)),
-        ("sea_level_pressure", sentinel(e % 23 == 7, (e * 11) % 600 + 9800)),
-        ("wind_direction", sentinel(e % 29 == 11, (e * 37) % 360)),
-        ("wind_speed", sentinel(e % 13 == 0, F.floor(F.col("value") * 10))),
-        ("total_cloud_cover", sentinel(e % 31 == 13, e % 20)),
-        ("one_hour_precipitation", F.when(e % 7 == 1, F.lit(-1)).otherwise(sentinel(e % 3 == 0, (e * 5) % 120))),
-        ("six_hour_precipitation", F.when(e % 11 == 2, F.lit(-1)).otherwise(sentinel(e % 4 == 0, (e * 13) % 400))),
-    ]
+    return supplier.selectExpr(*STATION_EXPRS)
 
 
 def station_count(supplier: DataFrame) -> Column:
@@ -72,15 +64,14 @@ def station_count(supplier: DataFrame) -> Column:
 
 def observation_raw_from_events(events: DataFrame, n_stations: Column) -> DataFrame:
     """Undecoded observations: event_id, k (station key), time, 8 raw ints."""
-    ts = F.col("ts")
     return events.select(
-        F.col("event_id"),
+        "event_id",
         (F.col("user_id") % n_stations).alias("k"),
-        F.year(ts).cast("int").alias("year"),
-        F.month(ts).cast("int").alias("month"),
-        F.dayofmonth(ts).cast("int").alias("day"),
-        F.hour(ts).cast("int").alias("hour"),
-        *[c.alias(name + "_raw") for name, c in _raw_measures()],
+        F.expr("CAST(year(ts) AS INT) AS year"),
+        F.expr("CAST(month(ts) AS INT) AS month"),
+        F.expr("CAST(day(ts) AS INT) AS day"),
+        F.expr("CAST(hour(ts) AS INT) AS hour"),
+        *[F.expr(e) for e in RAW_MEASURE_EXPRS],
     )
 
 
@@ -89,7 +80,7 @@ def observations_from_events(events: DataFrame, n_stations: Column) -> DataFrame
 
     Columns: event_id, k, year, month, day, hour, the 8 measures and
     wind_speed_x10. The station and observation ids come from the station
-    side once the two are joined (see ``with_observation_id``).
+    side once the two are joined.
     """
     raw = observation_raw_from_events(events, n_stations)
     cols = [F.col(c) for c in ("event_id", "k", "year", "month", "day", "hour")]
@@ -99,9 +90,3 @@ def observations_from_events(events: DataFrame, n_stations: Column) -> DataFrame
         if name == "wind_speed":
             cols.append(sentinel_or_null(r).alias("wind_speed_x10"))
     return raw.select(*cols)
-
-
-def with_observation_id(df: DataFrame) -> DataFrame:
-    """``observation_id = station_id-year`` (the file name of the reading)."""
-    return df.withColumn("observation_id", F.concat_ws("-", F.col("station_id"), F.col("year").cast("string")))
-

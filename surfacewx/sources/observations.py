@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from surfacewx.functions.decode import parse_int_token, scaled_or_null, sentinel_or_null, tokens, to_sentinel_x10
 from surfacewx.functions.keys import observation_key, station_key
+from surfacewx.operators.partitioning import spread
 from surfacewx.schema import (
     MEASURES,
     MISSING_VALUE,
@@ -115,6 +116,8 @@ def read_observation_lines(
 
     Names without a ``-`` are not observation files and are skipped. With
     ``station_ids`` (literal ids) the scan opens only those stations' files.
+    Gzip files cannot be split; when there are fewer files than cores the
+    lines are spread before parsing.
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.format("text").load(paths)
@@ -126,7 +129,7 @@ def read_observation_lines(
     if station_ids is not None:
         ids = sorted(set(station_ids))
         df = df.filter(F.col("station_id").isin(ids))
-    return df
+    return spread(df)
 
 
 def read_observations(

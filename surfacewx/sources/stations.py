@@ -91,8 +91,18 @@ def read_stations(
     path: str | list[str],
     mode: str = "FAILFAST",
     dedupe: bool = True,
+    materialize: bool = True,
 ) -> DataFrame:
-    """STATION_SCHEMA rows of the catalogue file(s), last line winning per id."""
+    """STATION_SCHEMA rows of the catalogue file(s), last line winning per id.
+
+    The line order comes from a per-task row id, which Spark treats as
+    nondeterministic; left in the lineage it would keep the optimizer from
+    pushing filters that depend on the stations (such as the outlier
+    threshold) into the observation scan. With ``materialize`` (default) the
+    de-duplicated catalogue is checkpointed to the session's checkpoint
+    directory: the CSV is parsed once, and the result is fixed even if a task
+    is retried later.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     raw = (
         spark.read.schema(STATION_CSV_SCHEMA)
@@ -111,9 +121,15 @@ def read_stations(
         ),
     )
     stations = decode_station_fields(raw, mode, keep=[LINE_ORDER])
-    if dedupe:
-        stations = dedupe_last(stations, "station_id", LINE_ORDER)
-    return stations.select(*STATION_COLUMNS)
+    if not dedupe:
+        return stations.select(*STATION_COLUMNS)
+    stations = dedupe_last(stations, "station_id", LINE_ORDER).select(*STATION_COLUMNS)
+    if materialize:
+        from surfacewx.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        stations = stations.checkpoint(eager=True)
+    return stations
 
 
 def parse_station_lines(lines: DataFrame, line_col: str = "value", mode: str = "FAILFAST", keep: Iterable[str] = ()) -> DataFrame:

@@ -102,7 +102,12 @@ def test_ingest_then_detect(spark, files):
     assert sorted(os.listdir(table))[0].startswith("_") or "year=2024" in os.listdir(table)
     obs = read_observation_table(spark, table)
     stations = read_stations(spark, files["catalogue"])
-    assert _bag(detect(obs, stations)) == _bag(detect_files(spark, files["dir"], files["catalogue"]))
+    report = detect(obs, stations)
+    assert _bag(report) == _bag(detect_files(spark, files["dir"], files["catalogue"]))
+    # the threshold reaches the Parquet reader as a pushed filter
+    jvm = spark.sparkContext._jvm
+    plan = jvm.PythonSQLUtils.explainString(report._jdf.queryExecution(), "formatted")
+    assert "GreaterThan(wind_speed,ScalarSubquery" in plan
 
 
 def test_streaming_ingest(spark, files):
