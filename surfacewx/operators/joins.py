@@ -107,9 +107,12 @@ def dimension_join(
 
 
 def semi_join(obs: DataFrame, selected: DataFrame, key: str = "station_id", selected_key: str | None = None) -> DataFrame:
-    """Observations whose station is among ``selected`` (left semi join)."""
+    """Observations whose station is among ``selected`` (left semi join).
+
+    Duplicate ids on the selected side change nothing for a semi join, so
+    they are not removed (no extra shuffle)."""
     sk = selected_key or key
-    return dimension_join(obs, selected.select(sk).distinct(), key, sk, "left_semi")
+    return dimension_join(obs, selected.select(sk), key, sk, "left_semi")
 
 
 def enrich(records: DataFrame, stations: DataFrame, key: str = "station_id", station_key: str | None = None, columns: list[str] | None = None) -> DataFrame:

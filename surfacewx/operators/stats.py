@@ -37,13 +37,20 @@ def partial_stats(df: DataFrame, value_col: str = "wind_speed", by: str | list[s
     )
 
 
-def merge_partials(partials: DataFrame) -> DataFrame:
+def merge_partials(partials: DataFrame, materialize: bool = True) -> DataFrame:
     """Roll partials up into pooled statistics (same columns as pooled_stats).
 
-    n = sum n_i, mean = sum n_i m_i / n, M2 = sum M2_i + sum n_i (m_i - mean)^2.
-    The grand mean is a scalar subquery, so both steps are global aggregates
-    over the (small) partial table.
+    n = sum n_i, mean = sum n_i m_i / n, M2 = sum M2_i + sum n_i (m_i - mean)^2
+    (the two-step form: no cancellation between large sums). The grand mean
+    is a scalar subquery, so the partial table is read twice; with
+    ``materialize`` it is checkpointed first (it has one row per group), so
+    the data it was grouped from is scanned once.
     """
+    if materialize:
+        from surfacewx.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(partials.sparkSession)
+        partials = partials.checkpoint(eager=True)
     n = F.col("n").cast("double")
     grand_mean = partials.agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("gm")).scalar()
     m2 = F.sum(F.col("m2") + n * F.pow(F.col("mean") - grand_mean, 2))
