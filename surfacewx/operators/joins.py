@@ -42,11 +42,13 @@ def broadcast_bound(df: DataFrame, max_bytes: int | None = None, max_rows: int |
 def checked_broadcast(df: DataFrame, max_bytes: int | None = None, max_rows: int | None = None) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when ``df`` provably fits the bound, else ``(df, False)``.
 
-    The check counts at most ``bound + 1`` rows (each task stops early), so it
-    is cheap on a dimension and never scans a large side to the end.
+    The proof is an exact row count times a conservative row width. The count
+    is a plain aggregate (one partial count per task crosses the exchange);
+    a ``limit(bound + 1).count()`` would instead funnel up to ``bound + 1``
+    rows from every task into a single one.
     """
     bound = broadcast_bound(df, max_bytes, max_rows)
-    n = df.limit(bound + 1).count()
+    n = df.count()
     if n <= bound:
         return F.broadcast(df), True
     return df, False

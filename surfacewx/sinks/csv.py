@@ -33,9 +33,19 @@ def write_report_csv(
     the order-preserving ``coalesce(1)`` gives one part file; otherwise the
     range-sorted partitions become ordered part files. Returns whether one
     file was written. A header is written even without rows.
+
+    To size the output without running the detection twice, the sorted
+    report is checkpointed first (to the session's checkpoint directory),
+    then counted and written from there.
     """
+    one = False
+    if single_file:
+        from surfacewx.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(report.sparkSession)
+        report = report.checkpoint(eager=True)
+        one = report.count() <= max_single_file_rows
     out = _with_header_names(report)
-    one = single_file and report.limit(max_single_file_rows + 1).count() <= max_single_file_rows
     if one:
         out = out.coalesce(1)
     (
