@@ -42,10 +42,19 @@ def _mandatory_date(c: Column, name: str, mode: str) -> Column:
     ).otherwise(parsed)
 
 
-def _double(c: Column, mode: str) -> Column:
+def _double(c: Column, name: str, mode: str) -> Column:
+    """Empty -> NULL, else a double (``+29.980``, ``-095.360`` accepted).
+
+    Junk raises in FAILFAST and becomes NULL in PERMISSIVE, whatever the
+    session's ANSI setting.
+    """
     t = _text_or_null(c)
-    # ANSI cast raises on junk (FAILFAST); try_cast gives NULL (PERMISSIVE).
-    return t.try_cast("double") if mode == "PERMISSIVE" else t.cast("double")
+    v = t.try_cast("double")
+    if mode == "PERMISSIVE":
+        return v
+    return F.when(
+        t.isNotNull() & v.isNull(), F.raise_error(F.concat(F.lit(f"Bad station {name}: "), t))
+    ).otherwise(v)
 
 
 def decode_station_fields(raw: DataFrame, mode: str = "FAILFAST", keep: Iterable[str] = ()) -> DataFrame:
@@ -62,9 +71,9 @@ def decode_station_fields(raw: DataFrame, mode: str = "FAILFAST", keep: Iterable
         _text_or_null(f["country"]).alias("country"),
         _text_or_null(f["state"]).alias("state"),
         _text_or_null(f["icao"]).alias("icao"),
-        _double(f["latitude"], mode).alias("latitude"),
-        _double(f["longitude"], mode).alias("longitude"),
-        _double(f["elevation"], mode).alias("elevation"),
+        _double(f["latitude"], "latitude", mode).alias("latitude"),
+        _double(f["longitude"], "longitude", mode).alias("longitude"),
+        _double(f["elevation"], "elevation", mode).alias("elevation"),
         _mandatory_date(f["begin"], "begin", mode).alias("begin"),
         _mandatory_date(f["end"], "end", mode).alias("end"),
         *[F.col(k) for k in keep],

@@ -164,3 +164,12 @@ def test_union_keeps_duplicates(spark):
     b = spark.createDataFrame([(1,), (2,)], "x long")
     assert sorted(r.x for r in union_observations(a, b).collect()) == [1, 1, 1, 2]
     assert union_observations(a.limit(0)).count() == 0
+
+
+def test_spread_only_when_coarse(spark):
+    from surfacewx.operators.partitioning import spread
+
+    one = spark.range(0, 100, numPartitions=1)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(0, 100, numPartitions=6)
+    assert spread(many, 4) is many

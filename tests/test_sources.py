@@ -216,3 +216,12 @@ def test_lines_filtered_by_name(spark, tmp_path):
     df = read_observation_lines(spark, str(d))
     assert df.select(F.col("station_id")).first().station_id == "X-Y"
     assert os.path.exists(d / "X-Y-2010")
+
+
+def test_station_junk_coordinate(spark, tmp_path):
+    p = tmp_path / "junk.csv"
+    _write(p, [HEADER, '"722430","12960","X","US","TX","","north","-095.360","+0029.0","19700101","20180501"'])
+    with pytest.raises(PySparkException):
+        read_stations(spark, str(p)).collect()
+    r = read_stations(spark, str(p), mode="PERMISSIVE").first()
+    assert r.latitude is None and r.longitude == -95.36
