@@ -173,3 +173,38 @@ def test_spread_only_when_coarse(spark):
     assert spread(one, 4).rdd.getNumPartitions() == 4
     many = spark.range(0, 100, numPartitions=6)
     assert spread(many, 4) is many
+
+
+def test_detect_hot_station_salted_equals_broadcast(spark):
+    """One station holds a third of all readings; the salted shuffle join
+    (broadcast disabled by a 1-byte bound) gives the same report."""
+    from surfacewx.plans.detect import detect
+
+    n = 30000
+    obs = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT-1")).otherwise(F.format_string("S%03d-1", F.col("id") % 97)).alias("station_id"),
+        F.lit(2008).alias("year"),
+        (F.col("id") % 12 + 1).cast("int").alias("month"),
+        (F.col("id") % 28 + 1).cast("int").alias("day"),
+        (F.col("id") % 24).cast("int").alias("hour"),
+        ((F.col("id") * 7919) % 1000 / 10.0).alias("wind_speed"),
+        F.col("id").alias("event_id"),
+    ).withColumn("observation_id", F.concat_ws("-", "station_id", F.col("year").cast("string")))
+    ids = ["HOT-1"] + [f"S{i:03d}-1" for i in range(97)]
+    stations = spark.createDataFrame(
+        [(sid, f"N{sid}", "US", "TX", 29.7 + (i % 10) * 0.01, -95.3, 10.0) for i, sid in enumerate(ids)],
+        "station_id string, station_name string, country string, state string, latitude double, longitude double, elevation double",
+    )
+    fast = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"])
+    expected = sorted(map(tuple, fast.collect()))
+    spark.conf.set("surfacewx.broadcast.maxBytes", "1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the test's fact side is tiny
+    try:
+        salted = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"])
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(salted._jdf.queryExecution(), "formatted")
+        got = sorted(map(tuple, salted.collect()))
+    finally:
+        spark.conf.unset("surfacewx.broadcast.maxBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "_salt" in plan and "BroadcastHashJoin" not in plan
+    assert got == expected and len(got) > 0
