@@ -35,7 +35,7 @@ from surfacewx.schema import (
     REPORT_FIELDS,
     STATION_COLUMNS,
 )
-from surfacewx.sources.fixtures import observations_from_events, station_count, stations_from_supplier
+from surfacewx.sources.fixtures import observations_from_events, stations_from_supplier
 from surfacewx.sources.observations import parse_observations, render_observation_lines
 from surfacewx.sources.stations import dedupe_last, lookup_stations, parse_station_lines, render_station_lines
 
@@ -65,10 +65,21 @@ def _stations(spark: SparkSession, d: str) -> DataFrame:
     return stations_from_supplier(_table(spark, d, "supplier"))
 
 
+_COUNTS: dict[tuple[str, str], int] = {}
+
+
+def _station_count(spark: SparkSession, d: str) -> Column:
+    """Number of stations (suppliers), counted once per session like the
+    table handle itself; a literal lets Catalyst fold the key arithmetic."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COUNTS:
+        _COUNTS[key] = int(_table(spark, d, "supplier").count())
+    return F.lit(_COUNTS[key])
+
+
 def _obs(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
-    sup = _table(spark, d, "supplier")
     ev = events if events is not None else _table(spark, d, "events")
-    return observations_from_events(ev, station_count(sup))
+    return observations_from_events(ev, _station_count(spark, d))
 
 
 def _r(c: str | Column, digits: int) -> Column:
