@@ -2,6 +2,7 @@
 
 from surfacewx.functions.decode import (
     parse_int_token,
+    parse_int_tokens,
     round_half_up_x10,
     scaled_or_null,
     sentinel_or_null,
@@ -15,6 +16,7 @@ from surfacewx.functions.keys import file_base_name, observation_key, station_id
 
 __all__ = [
     "parse_int_token",
+    "parse_int_tokens",
     "round_half_up_x10",
     "scaled_or_null",
     "sentinel_or_null",

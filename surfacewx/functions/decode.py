@@ -13,8 +13,12 @@ def strip_blanks(line) -> Column:
 
 
 def tokens(line) -> Column:
-    """Whitespace-separated tokens of a line (an empty line gives ``[""]``)."""
-    return F.split(strip_blanks(line), r"\s+")
+    """Whitespace-separated tokens of a line (a blank line gives ``[]``).
+
+    One regex split; the empty strings it leaves for leading or trailing
+    whitespace are removed (cheaper than stripping with a second regex).
+    """
+    return F.array_remove(F.split(as_col(line), r"\s+"), "")
 
 
 def parse_int_token(tok) -> Column:
@@ -22,6 +26,11 @@ def parse_int_token(tok) -> Column:
     return as_col(tok).try_cast("int")
 
 
+def parse_int_tokens(toks) -> Column:
+    """Element-wise ``parse_int_token`` of a token array (NULL per bad token)."""
+    return as_col(toks).try_cast("array<int>")
+
+
 def sentinel_or_null(raw) -> Column:
     """Integer measure: the sentinel becomes NULL, any other value is kept."""
     return F.nullif(as_col(raw), F.lit(MISSING_VALUE))

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfacewx.functions.decode import parse_int_token, scaled_or_null, sentinel_or_null, tokens, to_sentinel_x10
+from surfacewx.functions.decode import parse_int_tokens, scaled_or_null, sentinel_or_null, tokens, to_sentinel_x10
 from surfacewx.functions.keys import observation_key, station_key
 from surfacewx.operators.partitioning import spread
 from surfacewx.schema import (
@@ -53,7 +53,10 @@ def parse_observations(
 
     Each line is split and its tokens converted once, into an int array that
     the output columns index (one projection per step, so Catalyst does not
-    inline the split into every field).
+    inline the split into every field). The conversion is an element-wise
+    ``try_cast`` of the whole array and the "any bad token" test looks at the
+    first element of the ascending ``sort_array`` (NULLs sort first): no
+    lambda functions, so every step stays in whole-stage code generation.
     """
     mode = mode.upper()
     if mode not in MODES:
@@ -64,9 +67,8 @@ def parse_observations(
     line = F.col(line_col)
 
     step = lines.select(*[F.col(c) for c in carried], line.alias("_line"), tokens(line).alias("_tok"))
-    ints = F.transform(F.col("_tok"), lambda t: parse_int_token(t))
-    step = step.select("*", ints.alias("_int"))
-    bad = (F.size("_tok") < OBSERVATION_TOKENS) | F.exists("_int", lambda x: x.isNull())
+    step = step.select("*", parse_int_tokens(F.col("_tok")).alias("_int"))
+    bad = (F.size("_tok") < OBSERVATION_TOKENS) | F.get(F.sort_array(F.col("_int")), 0).isNull()
     if mode == "FAILFAST":
         ok = F.when(bad, F.raise_error(F.concat(F.lit("Malformed observation line: "), F.col("_line")))).otherwise(
             F.lit(True)
