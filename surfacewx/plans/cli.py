@@ -28,6 +28,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--mode", default="FAILFAST", choices=["FAILFAST", "DROPMALFORMED", "PERMISSIVE"])
     p.add_argument("--parquet", action="store_true", help="DIRECTORY is an ingested Parquet table")
     p.add_argument("--show", action="store_true", help="print the report instead of writing it")
+    p.add_argument("--persist", action="store_true", help="parse raw text once (keep parsed rows between the two passes)")
     p.add_argument("--master", default=None, help="Spark master (default: from spark-submit / local[*])")
     return p
 
@@ -52,7 +53,9 @@ def main(argv: list[str] | None = None) -> int:
         obs = read_observation_table(spark, args.directory)
         report = detect(obs, read_stations(spark, args.stations, mode=args.mode), *centre, value_col=args.measure)
     else:
-        report = detect_files(spark, args.directory, args.stations, None, *centre, value_col=args.measure, mode=args.mode)
+        report = detect_files(
+            spark, args.directory, args.stations, None, *centre, value_col=args.measure, mode=args.mode, persist=args.persist
+        )
     if args.show:
         show_report(report)
     else:

@@ -119,6 +119,7 @@ def detect_files(
     value_col: str = "wind_speed",
     mode: str = "FAILFAST",
     single_file: bool = True,
+    persist: bool = False,
 ) -> DataFrame:
     """``detect`` on raw observation files and a station CSV; writes the CSV
     report to ``output`` when given and returns the report DataFrame.
@@ -126,17 +127,29 @@ def detect_files(
     When the selection is small, its ids are passed as literals so the scan
     opens only those stations' files; otherwise every file is read and the
     join with the selection filters rows.
+
+    The statistics and the outlier filter each read the observations. On raw
+    text that means two parses; ``persist`` keeps the parsed observations
+    (memory, spilling to disk; recomputed from the files if an executor is
+    lost) so the text is parsed once. It is released after writing when
+    ``output`` is given. For repeated runs, ingest to Parquet instead.
     """
     stations = read_stations(spark, stations_path, mode=mode)
     ids_df = within_radius(stations, latitude, longitude, elevation, radius_m).select("station_id")
     bound = min(MAX_PRUNING_IDS, broadcast_bound(ids_df))
     ids = [r.station_id for r in ids_df.limit(bound + 1).collect()]
     obs = read_observations(spark, observations_path, station_ids=ids if len(ids) <= bound else None, mode=mode)
+    if persist:
+        from pyspark import StorageLevel
+
+        obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
     report = detect(obs, stations, latitude, longitude, elevation, radius_m, delta, value_col)
     if output is not None:
         from surfacewx.sinks.csv import write_report_csv
 
         write_report_csv(report, output, single_file=single_file)
+        if persist:
+            obs.unpersist()
     return report
 
 

@@ -131,3 +131,10 @@ def test_cli_show(spark, files, capsys):
     assert cli_main([files["dir"], "unused", "--stations", files["catalogue"], "--show"]) == 0
     out = capsys.readouterr().out.splitlines()
     assert out[0] == ",".join(REPORT_COLUMNS) and len(out) == 12
+
+
+def test_detect_files_persist_same_result(spark, files):
+    out = str(files["root"] / "persisted")
+    plain = _bag(detect_files(spark, files["dir"], files["catalogue"]))
+    report = detect_files(spark, files["dir"], files["catalogue"], output=out, persist=True)
+    assert _bag(report) == plain
