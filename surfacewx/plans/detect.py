@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfacewx.operators.joins import broadcast_bound, dimension_join
+from surfacewx.operators.joins import broadcast_bound, dimension_join, enrich
 from surfacewx.operators.outliers import find_outliers
 from surfacewx.operators.radius import within_radius
 from surfacewx.operators.report import format_report, sort_report
@@ -88,6 +88,33 @@ def detect(
     return format_report(out, value_col, keep=list(keep)) if formatted else out
 
 
+def outlier_report(
+    obs: DataFrame,
+    stations: DataFrame,
+    delta: float = DEFAULT_DELTA,
+    value_col: str = "wind_speed",
+    obs_key: str = "station_id",
+    station_key: str = "station_id",
+    tiebreak: list[str] | tuple = (),
+    keep: list[str] | tuple = (),
+    formatted: bool = True,
+) -> DataFrame:
+    """Report of the observations of ``obs`` above mean + delta * stddev,
+    pooled over all of ``obs`` (no radius: the caller chose the inputs).
+
+    Station metadata is looked up for the outliers only (left join: a reading
+    whose station is unknown is kept, its metadata blank). Sorted and
+    formatted like ``detect``.
+    """
+    meta = ["station_id", "station_name", "country", "state", "latitude", "longitude", "elevation"]
+    st = stations.select(*dict.fromkeys([station_key, *meta]))
+    out = enrich(find_outliers(obs, value_col, delta), st, obs_key, station_key)
+    if "observation_id" not in out.columns:
+        out = out.withColumn("observation_id", F.concat_ws("-", F.col("station_id"), F.col("year").cast("string")))
+    out = sort_report(out, tiebreak)
+    return format_report(out, value_col, keep=list(keep)) if formatted else out
+
+
 def detect_stats(
     obs: DataFrame,
     stations: DataFrame,
@@ -153,4 +180,4 @@ def detect_files(
     return report
 
 
-__all__ = ["detect", "detect_stats", "detect_files", "selected_observations"]
+__all__ = ["detect", "detect_stats", "detect_files", "outlier_report", "selected_observations"]

@@ -252,3 +252,5 @@ r AS (
   FROM outl LEFT JOIN stations s ON outl.k = s.s_suppkey)
 SELECT {REPORT_SELECT}, event_id FROM r""",
 }
+# The K3 body reports the same rows as P2 (all outliers, left lookup).
+ORACLE["outlier_report"] = ORACLE["format_report"]

@@ -24,7 +24,7 @@ from surfacewx.operators.report import format_report
 from surfacewx.operators.sort import with_position
 from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats
 from surfacewx.operators.union import union_observations
-from surfacewx.plans.detect import detect, detect_stats
+from surfacewx.plans.detect import detect, detect_stats, outlier_report
 from surfacewx.schema import (
     DEFAULT_DELTA,
     DEFAULT_ELEVATION,
@@ -333,6 +333,15 @@ def format_report_q(spark: SparkSession, d: str) -> DataFrame:
     return format_report(rows, keep=["event_id"]).select(*REPORT_FIELDS, "event_id")
 
 
+def outlier_report_q(spark: SparkSession, d: str) -> DataFrame:
+    """K3 body: outliers of all given observations (no radius), sorted, with
+    a left lookup of their stations, as report text."""
+    return outlier_report(
+        _obs(spark, d), _stations(spark, d), DEFAULT_DELTA, obs_key="k", station_key="s_suppkey",
+        tiebreak=["event_id"], keep=["event_id"],
+    )
+
+
 QUERIES: dict[str, Query] = {
     "flagship_outliers": flagship_outliers,
     "selected_stats": selected_stats,
@@ -359,5 +368,6 @@ QUERIES: dict[str, Query] = {
     "union_observations": union_observations_q,
     "enrich_outliers": enrich_outliers,
     "format_report": format_report_q,
+    "outlier_report": outlier_report_q,
 }
 

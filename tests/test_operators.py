@@ -208,3 +208,23 @@ def test_detect_hot_station_salted_equals_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "_salt" in plan and "BroadcastHashJoin" not in plan
     assert got == expected and len(got) > 0
+
+
+def test_outlier_report_unknown_station_and_order(spark):
+    from surfacewx.plans.detect import outlier_report
+
+    rows = [("A-1-2008", "A-1", 2008, 1, 1, h, 1.0, 10, h) for h in range(20)]
+    rows += [("Z-9-2008", "Z-9", 2008, 1, 1, 5, 50.0, 500, 100), ("A-1-2008", "A-1", 2008, 1, 1, 3, 40.0, 400, 101)]
+    obs = spark.createDataFrame(
+        rows,
+        "observation_id string, station_id string, year int, month int, day int, hour int, wind_speed double, wind_speed_x10 int, event_id long",
+    )
+    stations = spark.createDataFrame(
+        [("A-1", "ALPHA", "US", "TX", 29.98, -95.36, 29.0)],
+        "station_id string, station_name string, country string, state string, latitude double, longitude double, elevation double",
+    )
+    rep = outlier_report(obs, stations, delta=1.0).collect()
+    assert [(r.hour, r.station_id, r.station_name, r.latitude, r.wind_speed_x10) for r in rep] == [
+        ("3", "A-1", "ALPHA", "+29.980", "400"),
+        ("5", "Z-9", "", "", "500"),
+    ]
