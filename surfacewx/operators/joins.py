@@ -70,7 +70,8 @@ def salted_join(
     shuffle partitions. ``how`` is any join type that preserves or filters the
     fact side (inner, left, left_semi, left_anti).
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), F.lit(buckets)).cast("int")
+    hashable = [F.col(f.name) for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(buckets)).cast("int")
     f = fact.withColumn("_salt", salt)
     d = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     cond = (f[fact_key] == d[dim_key]) & (f["_salt"] == d["_salt"])

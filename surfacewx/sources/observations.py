@@ -84,7 +84,9 @@ def parse_observations(
         step = step.select(*carried, "_line", kept.alias("_int"), F.lit(True).alias("_ok"))
 
     def field(i: int) -> Column:
-        # FAILFAST: every field depends on the check, so no projection can skip it.
+        # FAILFAST: every decoded field depends on the check (a query that
+        # reads no decoded field, e.g. a bare count, skips it, as Spark's own
+        # readers do).
         v = F.get(F.col("_int"), i)
         return v if mode == "DROPMALFORMED" else F.when(F.col("_ok"), v)
 
