@@ -228,3 +228,13 @@ def test_outlier_report_unknown_station_and_order(spark):
         ("3", "A-1", "ALPHA", "+29.980", "400"),
         ("5", "Z-9", "", "", "500"),
     ]
+
+
+def test_latitude_band_pushed_to_parquet(spark, tmp_path):
+    path = str(tmp_path / "stations.parquet")
+    _stations(spark).write.parquet(path)
+    sel = within_radius(spark.read.parquet(path), 29.761993, -95.366302, 12.0, 600000.0)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(sel._jdf.queryExecution(), "formatted")
+    pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
+    assert any("GreaterThanOrEqual(latitude" in p and "LessThanOrEqual(latitude" in p for p in pushed), pushed
+    assert sorted(r.station_id for r in sel.collect()) == ["A", "B"]
