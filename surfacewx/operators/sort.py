@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 _ROW_BITS = 33  # monotonically_increasing_id = partition id << 33 | row index
 
 
-def with_position(df: DataFrame, keys: list[str], out_col: str = "position", partitions: int | None = None) -> DataFrame:
+def with_position(
+    df: DataFrame, keys: list[str], out_col: str = "position", partitions: int | None = None, materialize: bool = True
+) -> DataFrame:
     """Add the 1-based position of every row in the order of ``keys``.
 
     ``keys`` must be unique per row (add a tie-breaker) so that the order,
@@ -19,21 +21,25 @@ def with_position(df: DataFrame, keys: list[str], out_col: str = "position", par
     rows per partition (one row per partition: a bounded, broadcast table),
     turn counts into offsets, add. Data moves once, by the range exchange.
 
-    The tagged rows are checkpointed (to the session's checkpoint directory)
-    before they are counted, so the input is computed once and the partition
-    ids and row indexes are fixed even if a task is retried afterwards.
+    With ``materialize`` the input is checkpointed first (to the session's
+    checkpoint directory): the range exchange samples its input in a separate
+    job, and the counts and the numbering read the same ranged rows, so
+    without it the input plan would be computed several times. From the
+    checkpoint, sampling is deterministic and the range exchange is shared by
+    the count and the numbering (one exchange, reused), so the numbering is
+    the same on every recomputation.
     """
-    from surfacewx.session import ensure_checkpoint_dir
-
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    if materialize:
+        from surfacewx.session import materialize as checkpointed
+
+        df = checkpointed(df)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .checkpoint(eager=True)
     )
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # At most n rows: a window without partitioning is fine here.

@@ -47,10 +47,9 @@ def merge_partials(partials: DataFrame, materialize: bool = True) -> DataFrame:
     the data it was grouped from is scanned once.
     """
     if materialize:
-        from surfacewx.session import ensure_checkpoint_dir
+        from surfacewx.session import materialize as checkpointed
 
-        ensure_checkpoint_dir(partials.sparkSession)
-        partials = partials.checkpoint(eager=True)
+        partials = checkpointed(partials)
     n = F.col("n").cast("double")
     grand_mean = partials.agg((F.sum(n * F.col("mean")) / F.sum(n)).alias("gm")).scalar()
     m2 = F.sum(F.col("m2") + n * F.pow(F.col("mean") - grand_mean, 2))

@@ -71,20 +71,50 @@ def detect(
     tiebreak: list[str] | tuple = (),
     keep: list[str] | tuple = (),
     formatted: bool = True,
+    sort: bool = True,
+    materialize: bool = True,
 ) -> DataFrame:
     """Report of the observations strictly above mean + delta * stddev.
 
     Statistics are pooled over every observation of the stations within
     ``radius_m`` metres of the centre (inclusive). The result is sorted by
-    year, month, day, hour, observation id, then ``tiebreak``; with
-    ``formatted`` it has the 12 report text columns (plus ``keep``), otherwise
-    the joined rows.
+    year, month, day, hour, observation id, then ``tiebreak`` (unless
+    ``sort`` is off); with ``formatted`` it has the 12 report text columns
+    (plus ``keep``), otherwise the joined rows.
+
+    With ``materialize`` the outlier rows are checkpointed before the sort
+    (see ``materialize_outliers``), so the observations are read twice
+    (statistics, filter) and not a third time by the sort's sampling job.
     """
     cols = ["station_id", "station_name", "country", "state", "latitude", "longitude", "elevation"]
     joined = selected_observations(
         obs, stations, latitude, longitude, elevation, radius_m, obs_key, station_key, station_columns=cols
     )
-    out = sort_report(find_outliers(joined, value_col, delta), tiebreak)
+    out = find_outliers(joined, value_col, delta)
+    return _finish(out, value_col, tiebreak, keep, formatted, sort, materialize)
+
+
+def materialize_outliers(out: DataFrame) -> DataFrame:
+    """Checkpoint outlier rows (to the session's checkpoint directory).
+
+    A global sort samples its input in a separate job before shuffling it,
+    and that job re-runs the whole upstream plan: a full extra scan of the
+    observations. The outliers are few by construction (for delta >= 1,
+    Cantelli's inequality bounds them by 1 / (1 + delta^2) of the rows, e.g.
+    10% at delta 3, and far fewer in practice), so writing them once is
+    cheaper than scanning the source again, and it fixes the rows for any
+    task that is retried later.
+    """
+    from surfacewx.session import materialize
+
+    return materialize(out)
+
+
+def _finish(out: DataFrame, value_col: str, tiebreak, keep, formatted: bool, sort: bool, materialize: bool) -> DataFrame:
+    if materialize:
+        out = materialize_outliers(out)
+    if sort:
+        out = sort_report(out, tiebreak)
     return format_report(out, value_col, keep=list(keep)) if formatted else out
 
 
@@ -98,21 +128,22 @@ def outlier_report(
     tiebreak: list[str] | tuple = (),
     keep: list[str] | tuple = (),
     formatted: bool = True,
+    sort: bool = True,
+    materialize: bool = True,
 ) -> DataFrame:
     """Report of the observations of ``obs`` above mean + delta * stddev,
     pooled over all of ``obs`` (no radius: the caller chose the inputs).
 
     Station metadata is looked up for the outliers only (left join: a reading
-    whose station is unknown is kept, its metadata blank). Sorted and
-    formatted like ``detect``.
+    whose station is unknown is kept, its metadata blank). Sorted, formatted
+    and materialized like ``detect``.
     """
     meta = ["station_id", "station_name", "country", "state", "latitude", "longitude", "elevation"]
     st = stations.select(*dict.fromkeys([station_key, *meta]))
     out = enrich(find_outliers(obs, value_col, delta), st, obs_key, station_key)
     if "observation_id" not in out.columns:
         out = out.withColumn("observation_id", F.concat_ws("-", F.col("station_id"), F.col("year").cast("string")))
-    out = sort_report(out, tiebreak)
-    return format_report(out, value_col, keep=list(keep)) if formatted else out
+    return _finish(out, value_col, tiebreak, keep, formatted, sort, materialize)
 
 
 def detect_stats(
@@ -180,4 +211,4 @@ def detect_files(
     return report
 
 
-__all__ = ["detect", "detect_stats", "detect_files", "outlier_report", "selected_observations"]
+__all__ = ["detect", "detect_stats", "detect_files", "materialize_outliers", "outlier_report", "selected_observations"]

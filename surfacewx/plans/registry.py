@@ -107,10 +107,10 @@ def sorted_report(spark: SparkSession, d: str) -> DataFrame:
     obs = _obs(spark, d)
     rows = detect(
         obs, _stations(spark, d), *CENTRE, DEFAULT_RADIUS_M, DEFAULT_DELTA,
-        obs_key="k", station_key="s_suppkey", formatted=False,
+        obs_key="k", station_key="s_suppkey", formatted=False, sort=False,
     )
     keys = ["year", "month", "day", "hour", "observation_id", "event_id"]
-    positioned = with_position(rows, keys)
+    positioned = with_position(rows, keys, materialize=False)  # detect materialized the rows
     return format_report(positioned, keep=["event_id", "position"])
 
 

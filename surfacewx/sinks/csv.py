@@ -40,10 +40,9 @@ def write_report_csv(
     """
     one = False
     if single_file:
-        from surfacewx.session import ensure_checkpoint_dir
+        from surfacewx.session import materialize
 
-        ensure_checkpoint_dir(report.sparkSession)
-        report = report.checkpoint(eager=True)
+        report = materialize(report)
         one = report.count() <= max_single_file_rows
     out = _with_header_names(report)
     if one:

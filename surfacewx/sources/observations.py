@@ -69,26 +69,23 @@ def parse_observations(
     step = lines.select(*[F.col(c) for c in carried], line.alias("_line"), tokens(line).alias("_tok"))
     step = step.select("*", parse_int_tokens(F.col("_tok")).alias("_int"))
     bad = (F.size("_tok") < OBSERVATION_TOKENS) | F.get(F.sort_array(F.col("_int")), 0).isNull()
+    # One value array per line; the 12 fields only index it.
     if mode == "FAILFAST":
-        ok = F.when(bad, F.raise_error(F.concat(F.lit("Malformed observation line: "), F.col("_line")))).otherwise(
-            F.lit(True)
-        )
-    else:
-        ok = ~bad
-    step = step.select(*carried, "_line", "_int", ok.alias("_ok"))
-    if mode == "DROPMALFORMED":
+        message = F.concat(F.lit("Malformed observation line: "), F.col("_line"))
+        values = F.when(bad, F.raise_error(message)).otherwise(F.col("_int"))
+        # A generator always evaluates its input, so the check runs even when
+        # no field is read (e.g. a bare count).
+        step = step.select(*carried, F.explode(F.array(values)).alias("_v"))
+    elif mode == "DROPMALFORMED":
         # Drop through a generator (zero or one copy of the parsed array):
         # a Filter on the flag would be pushed below the projections and
         # split every line again.
-        kept = F.explode(F.when(F.col("_ok"), F.array(F.col("_int"))))
-        step = step.select(*carried, "_line", kept.alias("_int"), F.lit(True).alias("_ok"))
+        step = step.select(*carried, F.explode(F.when(~bad, F.array(F.col("_int")))).alias("_v"))
+    else:
+        step = step.select(*carried, F.when(~bad, F.col("_int")).alias("_v"), F.when(bad, F.col("_line")).alias(CORRUPT_COLUMN))
 
     def field(i: int) -> Column:
-        # FAILFAST: every decoded field depends on the check (a query that
-        # reads no decoded field, e.g. a bare count, skips it, as Spark's own
-        # readers do).
-        v = F.get(F.col("_int"), i)
-        return v if mode == "DROPMALFORMED" else F.when(F.col("_ok"), v)
+        return F.get(F.col("_v"), i)
 
     station = F.col(station_id_col) if has_station else station_key(F.col(observation_id_col))
     cols = [
@@ -106,7 +103,7 @@ def parse_observations(
         if name == "wind_speed":
             cols.append(sentinel_or_null(r).alias("wind_speed_x10"))
     if mode == "PERMISSIVE":
-        cols.append(F.when(~F.col("_ok"), F.col("_line")).alias(CORRUPT_COLUMN))
+        cols.append(F.col(CORRUPT_COLUMN))
     return step.select(*cols, *[F.col(k) for k in keep])
 
 

@@ -134,10 +134,9 @@ def read_stations(
         return stations.select(*STATION_COLUMNS)
     stations = dedupe_last(stations, "station_id", LINE_ORDER).select(*STATION_COLUMNS)
     if materialize:
-        from surfacewx.session import ensure_checkpoint_dir
+        from surfacewx.session import materialize as checkpointed
 
-        ensure_checkpoint_dir(spark)
-        stations = stations.checkpoint(eager=True)
+        stations = checkpointed(stations)
     return stations
 
 

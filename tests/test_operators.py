@@ -195,12 +195,12 @@ def test_detect_hot_station_salted_equals_broadcast(spark):
         [(sid, f"N{sid}", "US", "TX", 29.7 + (i % 10) * 0.01, -95.3, 10.0) for i, sid in enumerate(ids)],
         "station_id string, station_name string, country string, state string, latitude double, longitude double, elevation double",
     )
-    fast = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"])
+    fast = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"], materialize=False)
     expected = sorted(map(tuple, fast.collect()))
     spark.conf.set("surfacewx.broadcast.maxBytes", "1")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the test's fact side is tiny
     try:
-        salted = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"])
+        salted = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"], materialize=False)
         plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(salted._jdf.queryExecution(), "formatted")
         got = sorted(map(tuple, salted.collect()))
     finally:
