@@ -225,3 +225,10 @@ def test_station_junk_coordinate(spark, tmp_path):
         read_stations(spark, str(p)).collect()
     r = read_stations(spark, str(p), mode="PERMISSIVE").first()
     assert r.latitude is None and r.longitude == -95.36
+
+
+def test_failfast_checked_by_bare_count(spark):
+    with pytest.raises(PySparkException):
+        parse_observations(_lines(spark, GOOD, "2008 01 01")).count()
+    assert parse_observations(_lines(spark, GOOD, GOOD)).count() == 2
+    assert parse_observations(_lines(spark, GOOD, "2008 01 01"), mode="DROPMALFORMED").count() == 1
