@@ -40,15 +40,26 @@ def selected_observations(
     obs_key: str = "station_id",
     station_key: str = "station_id",
     station_columns: list[str] | None = None,
+    materialize_selection: bool = True,
 ) -> DataFrame:
     """Observations of the stations within the radius, with station metadata.
 
+    The selection is small and read three times (size check, the statistics
+    join, the report join), so by default it is checkpointed once. That also
+    keeps the optimizer from copying the radius predicate onto the
+    observation side when station coordinates are functions of the join key
+    (it would then compute a distance per observation).
+
     ``observation_id`` is derived as ``station_id-year`` when the input has
     none (observations that do not come from files).
     """
     sel = within_radius(stations, latitude, longitude, elevation, radius_m)
     if station_columns is not None:
         sel = sel.select(*dict.fromkeys([station_key, *station_columns]))
+    if materialize_selection:
+        from surfacewx.session import materialize
+
+        sel = materialize(sel)
     joined = dimension_join(obs, sel, obs_key, station_key, "inner")
     if "observation_id" not in joined.columns:
         joined = joined.withColumn(
