@@ -25,6 +25,7 @@ from surfacewx.operators.sort import with_position
 from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats
 from surfacewx.operators.union import union_observations
 from surfacewx.plans.detect import detect, detect_stats, outlier_report
+from surfacewx.session import materialize
 from surfacewx.schema import (
     DEFAULT_DELTA,
     DEFAULT_ELEVATION,
@@ -230,7 +231,7 @@ def within_radius_q(spark: SparkSession, d: str) -> DataFrame:
 
 def semi_join_stations(spark: SparkSession, d: str) -> DataFrame:
     """Observations of the selected stations."""
-    sel = within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M)
+    sel = materialize(within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M).select("s_suppkey"))
     return semi_join(_obs(spark, d), sel, "k", "s_suppkey").select("event_id", "k", "wind_speed")
 
 
@@ -315,8 +316,10 @@ def union_observations_q(spark: SparkSession, d: str) -> DataFrame:
 def enrich_outliers(spark: SparkSession, d: str) -> DataFrame:
     """Outliers of all observations, left-joined with the selected stations
     (outliers of other stations keep NULL metadata)."""
-    sel = within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M).select(
-        "s_suppkey", "station_id", "station_name", "latitude", "longitude", "elevation"
+    sel = materialize(
+        within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M).select(
+            "s_suppkey", "station_id", "station_name", "latitude", "longitude", "elevation"
+        )
     )
     out = find_outliers(_obs(spark, d), "wind_speed", 3.0).select("event_id", "k", "wind_speed")
     return enrich(out, sel, "k", "s_suppkey").select(
