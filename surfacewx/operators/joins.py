@@ -1,9 +1,13 @@
 """Joins of observations (fact side) with stations (dimension side).
 
 The dimension is broadcast only after its size has been checked against a
-bound; above the bound the join is a shuffle join whose fact side is salted,
-so that a station holding a large share of all observations is spread over
-many tasks instead of landing in one.
+bound. Above the bound the join is a shuffle join that splits hot keys, so a
+station holding a large share of all observations is spread over many tasks
+instead of landing in one: by adaptive execution's skew-join handling when
+the session has it on (it splits only the oversized partitions, from runtime
+shuffle statistics, and copies only the matching dimension partition), else
+by salting the fact side and replicating the dimension once per salt.
+``surfacewx.join.skew`` = ``auto`` (default) | ``aqe`` | ``salt`` chooses.
 """
 
 from __future__ import annotations
@@ -104,11 +108,25 @@ def dimension_join(
     small, ok = checked_broadcast(dim, max_bytes)
     if ok:
         out = fact.join(small, F.col(fact_key) == small[dim_key], how)
+    elif _skew_strategy(fact) == "aqe":
+        out = fact.join(dim, F.col(fact_key) == dim[dim_key], how)
     else:
         out = salted_join(fact, dim, fact_key, dim_key, how, buckets)
     return out.drop("_dim_key") if "_dim_key" in out.columns else out
 
 
+def _skew_strategy(df: DataFrame) -> str:
+    """``aqe`` when adaptive skew-join handling is on (and not overridden),
+    else ``salt``."""
+    conf = df.sparkSession.conf
+    choice = (conf.get("surfacewx.join.skew", None) or "auto").lower()
+    if choice in ("aqe", "salt"):
+        return choice
+    aqe = conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+    skew = conf.get("spark.sql.adaptive.skewJoin.enabled", "true").lower() == "true"
+    return "aqe" if aqe and skew else "salt"
+
+
 def semi_join(obs: DataFrame, selected: DataFrame, key: str = "station_id", selected_key: str | None = None) -> DataFrame:
     """Observations whose station is among ``selected`` (left semi join).
 

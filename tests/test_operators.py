@@ -145,10 +145,15 @@ def test_salted_join_matches_plain_join_on_hot_key(spark):
 def test_dimension_join_fallback_equals_broadcast(spark):
     fact = spark.range(500).select(F.col("id"), (F.col("id") % 20).alias("k"))
     dim = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    big = dimension_join(fact, dim, "k", how="left", max_bytes=1)  # forces the salted path
     small = dimension_join(fact, dim, "k", how="left")
-    assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
-    assert big.columns == small.columns
+    for strategy in ("salt", "aqe"):
+        spark.conf.set("surfacewx.join.skew", strategy)
+        try:
+            big = dimension_join(fact, dim, "k", how="left", max_bytes=1)  # forces the fallback
+            assert sorted(map(tuple, big.collect())) == sorted(map(tuple, small.collect()))
+            assert big.columns == small.columns
+        finally:
+            spark.conf.unset("surfacewx.join.skew")
 
 
 def test_with_position(spark):
@@ -200,14 +205,21 @@ def test_detect_hot_station_salted_equals_broadcast(spark):
     spark.conf.set("surfacewx.broadcast.maxBytes", "1")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the test's fact side is tiny
     try:
-        salted = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"], materialize=False)
-        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(salted._jdf.queryExecution(), "formatted")
-        got = sorted(map(tuple, salted.collect()))
+        results = {}
+        for strategy in ("salt", "aqe"):
+            spark.conf.set("surfacewx.join.skew", strategy)
+            df = detect(obs, stations, delta=1.0, tiebreak=["event_id"], keep=["event_id"], materialize=False)
+            plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            results[strategy] = (plan, sorted(map(tuple, df.collect())))
     finally:
         spark.conf.unset("surfacewx.broadcast.maxBytes")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "_salt" in plan and "BroadcastHashJoin" not in plan
-    assert got == expected and len(got) > 0
+        spark.conf.unset("surfacewx.join.skew")
+    salt_plan, salt_rows = results["salt"]
+    aqe_plan, aqe_rows = results["aqe"]
+    assert "_salt" in salt_plan and "BroadcastHashJoin" not in salt_plan
+    assert "_salt" not in aqe_plan and "SortMergeJoin" in aqe_plan
+    assert salt_rows == expected and aqe_rows == expected and len(expected) > 0
 
 
 def test_outlier_report_unknown_station_and_order(spark):
@@ -238,3 +250,31 @@ def test_latitude_band_pushed_to_parquet(spark, tmp_path):
     pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
     assert any("GreaterThanOrEqual(latitude" in p and "LessThanOrEqual(latitude" in p for p in pushed), pushed
     assert sorted(r.station_id for r in sel.collect()) == ["A", "B"]
+
+
+def test_aqe_fallback_splits_hot_key(spark):
+    """Above the broadcast bound, adaptive execution splits the partition of
+    a key holding a third of the fact rows (thresholds lowered to test size)."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "surfacewx.join.skew": "aqe",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        fact = spark.range(0, 60000, numPartitions=8).select(
+            "id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("k")
+        )
+        dim = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        j = dimension_join(fact, dim, "k", how="inner", max_bytes=1)
+        assert j.count() == 60000
+        j.collect()
+        plan = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert "SortMergeJoin(skew=true)" in plan
