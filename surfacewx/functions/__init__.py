@@ -6,7 +6,6 @@ from surfacewx.functions.decode import (
     round_half_up_x10,
     scaled_or_null,
     sentinel_or_null,
-    strip_blanks,
     to_sentinel_x10,
     tokens,
 )
@@ -20,7 +19,6 @@ __all__ = [
     "round_half_up_x10",
     "scaled_or_null",
     "sentinel_or_null",
-    "strip_blanks",
     "to_sentinel_x10",
     "tokens",
     "or_empty",

@@ -7,11 +7,6 @@ from surfacewx.functions._col import as_col
 from surfacewx.schema import MISSING_VALUE, SCALE
 
 
-def strip_blanks(line) -> Column:
-    """Remove leading and trailing whitespace (spaces, tabs, CR...)."""
-    return F.regexp_replace(as_col(line), r"^\s+|\s+$", "")
-
-
 def tokens(line) -> Column:
     """Whitespace-separated tokens of a line (a blank line gives ``[]``).
 
