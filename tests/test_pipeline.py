@@ -156,3 +156,20 @@ def test_cli_writes_report_and_reads_parquet(spark, files):
     parts2 = [p for p in os.listdir(out2) if p.startswith("part-")]
     with open(os.path.join(out2, parts2[0])) as f:
         assert list(csv.reader(f)) == rows
+
+
+def test_csv_sink_large_report_ordered_parts(spark, files):
+    out = str(files["root"] / "parts")
+    report = detect_files(spark, files["dir"], files["catalogue"])
+    one = write_report_csv(report, out, single_file=True, max_single_file_rows=5)
+    assert one is False
+    parts = sorted(p for p in os.listdir(out) if p.startswith("part-"))
+    body = []
+    for p in parts:
+        with open(os.path.join(out, p)) as f:
+            rows = list(csv.reader(f))
+        if rows:
+            assert rows[0] == REPORT_COLUMNS
+            body += rows[1:]
+    keys = [(int(r[0]), int(r[1]), int(r[2]), int(r[3])) for r in body]
+    assert len(body) == 11 and keys == sorted(keys)
