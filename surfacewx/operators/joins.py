@@ -95,7 +95,8 @@ def dimension_join(
     buckets: int = DEFAULT_SALT_BUCKETS,
 ) -> DataFrame:
     """Join a fact side with a dimension: broadcast when the dimension is
-    provably small, otherwise a salted shuffle join.
+    provably small, otherwise a shuffle join that splits hot keys (adaptive
+    skew join, or salting; see the module docstring).
 
     With equal key names the key appears once in the output.
     """

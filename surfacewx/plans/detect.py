@@ -1,8 +1,9 @@
 """The user-level job: stations near a point -> pooled threshold -> outlier report.
 
-One DataFrame plan: the selected stations are joined (size-checked broadcast)
-to the observations, the pooled statistics are a scalar subquery, the
-outliers are filtered against it, sorted by a range exchange and formatted.
+The selected stations (checkpointed once) are joined, size-checked broadcast,
+to the observations; the pooled statistics are a scalar subquery; the
+outliers are filtered against it, checkpointed, sorted by a range exchange
+and formatted. The observations are read twice: statistics, then filter.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from surfacewx.sources.observations import read_observations
 from surfacewx.sources.stations import read_stations
 
 # Above this many selected stations, raw files are not pruned by a literal id
-# list; the (broadcast or salted) join with the selection filters instead.
+# list; the (broadcast or skew-safe shuffle) join with the selection filters instead.
 MAX_PRUNING_IDS = 10_000
 
 
