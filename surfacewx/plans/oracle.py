@@ -254,3 +254,24 @@ SELECT {REPORT_SELECT}, event_id FROM r""",
 }
 # The K3 body reports the same rows as P2 (all outliers, left lookup).
 ORACLE["outlier_report"] = ORACLE["format_report"]
+
+# The whole job around another centre (Dallas, 139 m), 300 km, delta 2.
+ORACLE["detect_dallas"] = (
+    BASE
+    + """,
+hav AS (
+  SELECT *, sin(radians(latitude - 32.776664e0) / 2) * sin(radians(latitude - 32.776664e0) / 2)
+            + cos(radians(32.776664e0)) * cos(radians(latitude))
+            * sin(radians(longitude + 96.796988e0) / 2) * sin(radians(longitude + 96.796988e0) / 2) AS a
+  FROM stations),
+near AS (
+  SELECT *, sqrt(pow(6371e0 * (2 * atan2(sqrt(a), sqrt(1 - a))) * 1000, 2) + pow(139e0 - elevation, 2)) AS distance_m
+  FROM hav),
+sel AS (
+  SELECT * FROM near
+  WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND elevation IS NOT NULL AND distance_m <= 300000e0)"""
+    + SEL_OBS
+    + f"""
+SELECT {REPORT_SELECT}, event_id
+FROM o WHERE wind_speed > (SELECT m + 2e0 * s FROM st)"""
+)

@@ -97,6 +97,20 @@ def flagship_outliers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# A second centre (Dallas), radius and delta for the whole job.
+DALLAS = (32.776664, -96.796988, 139.0)
+DALLAS_RADIUS_M = 300_000.0
+DALLAS_DELTA = 2.0
+
+
+def detect_dallas(spark: SparkSession, d: str) -> DataFrame:
+    """C1 with other parameters: 300 km around Dallas, delta 2."""
+    return detect(
+        _obs(spark, d), _stations(spark, d), *DALLAS, DALLAS_RADIUS_M, DALLAS_DELTA,
+        obs_key="k", station_key="s_suppkey", tiebreak=["event_id"], keep=["event_id"],
+    )
+
+
 def selected_stats(spark: SparkSession, d: str) -> DataFrame:
     """A1 over the selection used by C1."""
     s = detect_stats(_obs(spark, d), _stations(spark, d), *CENTRE, DEFAULT_RADIUS_M, obs_key="k", station_key="s_suppkey")
@@ -347,6 +361,7 @@ def outlier_report_q(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "flagship_outliers": flagship_outliers,
+    "detect_dallas": detect_dallas,
     "selected_stats": selected_stats,
     "sorted_report": sorted_report,
     "parse_observations": parse_observations_q,
