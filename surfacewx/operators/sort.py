@@ -23,11 +23,12 @@ def with_position(
 
     With ``materialize`` the input is checkpointed first (to the session's
     checkpoint directory): the range exchange samples its input in a separate
-    job, and the counts and the numbering read the same ranged rows, so
-    without it the input plan would be computed several times. From the
-    checkpoint, sampling is deterministic and the range exchange is shared by
-    the count and the numbering (one exchange, reused), so the numbering is
-    the same on every recomputation.
+    job, and the count and the numbering each range-partition the rows, so
+    without it the input plan would be computed several times. Over fixed
+    rows the range sampling (seeded per partition) gives the same bounds in
+    both branches, so partition ids, row indexes and hence positions agree,
+    and are the same on any recomputation. The cost is two small range
+    exchanges over the checkpointed rows.
     """
     spark = df.sparkSession
     if materialize:
