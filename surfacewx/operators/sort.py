@@ -21,22 +21,21 @@ def with_position(
     rows per partition (one row per partition: a bounded, broadcast table),
     turn counts into offsets, add. Data moves once, by the range exchange.
 
-    With ``materialize`` the input is checkpointed first (to the session's
-    checkpoint directory): the range exchange samples its input in a separate
-    job, and the count and the numbering each range-partition the rows, so
-    without it the input plan would be computed several times. Over fixed
-    rows the range sampling (seeded per partition) gives the same bounds in
-    both branches, so partition ids, row indexes and hence positions agree,
-    and are the same on any recomputation. The cost is two small range
-    exchanges over the checkpointed rows.
+    The tagged rows (partition id, row index) are checkpointed once, and the
+    count and the numbering both read that checkpoint. They must see the same
+    range partitioning: two separate range exchanges would each sample their
+    input with a seed tied to their own RDD and can choose different bounds.
+    With ``materialize`` the input is checkpointed as well, so the sampling
+    job and the exchange do not compute the input plan twice (pass False when
+    the input is already materialized).
     """
+    from surfacewx.session import materialize as checkpointed
+
     spark = df.sparkSession
     if materialize:
-        from surfacewx.session import materialize as checkpointed
-
         df = checkpointed(df)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
+    ranged = checkpointed(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())

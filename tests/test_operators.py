@@ -156,11 +156,16 @@ def test_dimension_join_fallback_equals_broadcast(spark):
             spark.conf.unset("surfacewx.join.skew")
 
 
-def test_with_position(spark):
-    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("a"), F.col("id"))
-    out = with_position(df, ["a", "id"], partitions=7).collect()
+@pytest.mark.parametrize("materialize", [True, False])
+def test_with_position(spark, materialize):
+    # Input partitions larger than the range sampler's per-partition sample,
+    # so the bounds come from a random sample: the count and the numbering
+    # must still agree.
+    n = 200000
+    df = spark.range(0, n, numPartitions=16).select(((F.col("id") * 7919) % n).alias("a"), F.col("id"))
+    out = with_position(df, ["a", "id"], partitions=7, materialize=materialize).select("a", "position").collect()
     by_pos = sorted(out, key=lambda r: r.position)
-    assert [r.position for r in by_pos] == list(range(1, 1001))
+    assert [r.position for r in by_pos] == list(range(1, n + 1))
     assert [r.a for r in by_pos] == sorted(r.a for r in out)
 
 
