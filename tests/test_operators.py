@@ -283,3 +283,21 @@ def test_aqe_fallback_splits_hot_key(spark):
         for k in settings:
             spark.conf.unset(k)
     assert "SortMergeJoin(skew=true)" in plan
+
+
+def test_dedupe_last_hot_key(spark):
+    from surfacewx.sources.stations import dedupe_last
+
+    n = 60000
+    df = spark.range(0, n, numPartitions=12).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.format_string("K%04d", F.col("id") % 997)).alias("station_id"),
+        F.col("id").alias("line_no"),
+        F.format_string("name-%d", F.col("id")).alias("station_name"),
+    )
+    out = {r.station_id: r for r in dedupe_last(df, "station_id", "line_no").collect()}
+    assert out["HOT"].line_no == n - 3 and out["HOT"].station_name == f"name-{n - 3}"
+    expect = {}
+    for i in range(n):
+        if i % 3:
+            expect[f"K{i % 997:04d}"] = i
+    assert {k: r.line_no for k, r in out.items() if k != "HOT"} == expect
