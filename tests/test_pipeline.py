@@ -173,3 +173,12 @@ def test_csv_sink_large_report_ordered_parts(spark, files):
             body += rows[1:]
     keys = [(int(r[0]), int(r[1]), int(r[2]), int(r[3])) for r in body]
     assert len(body) == 11 and keys == sorted(keys)
+
+
+def test_detect_files_without_literal_pruning(spark, files, monkeypatch):
+    import surfacewx.plans.detect as detect_module
+
+    pruned = _bag(detect_files(spark, files["dir"], files["catalogue"]))
+    monkeypatch.setattr(detect_module, "MAX_PRUNING_IDS", 1)  # more stations than literals allowed
+    unpruned = _bag(detect_module.detect_files(spark, files["dir"], files["catalogue"]))
+    assert unpruned == pruned and len(pruned) == 11
