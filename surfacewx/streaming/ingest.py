@@ -44,13 +44,14 @@ def start_ingest(
     checkpoint: str,
     available_now: bool = True,
     mode: str = "DROPMALFORMED",
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Append newly arrived files to the Parquet table at ``table_path``.
 
     ``available_now`` processes everything present and stops (a scheduled
     incremental job); otherwise the query keeps polling the directory.
     """
-    obs = observation_stream(spark, directory, mode)
+    obs = observation_stream(spark, directory, mode, max_files_per_trigger)
     # The file sink commits each batch through its metadata log, so a retried
     # batch is written exactly once (foreachBatch + append would not be).
     # Streams cannot sort, so streamed files are not station-ordered; a

@@ -182,3 +182,14 @@ def test_detect_files_without_literal_pruning(spark, files, monkeypatch):
     monkeypatch.setattr(detect_module, "MAX_PRUNING_IDS", 1)  # more stations than literals allowed
     unpruned = _bag(detect_module.detect_files(spark, files["dir"], files["catalogue"]))
     assert unpruned == pruned and len(pruned) == 11
+
+
+def test_streaming_ingest_many_batches(spark, files):
+    table = str(files["root"] / "stream_table_small_batches")
+    ckpt = str(files["root"] / "stream_ckpt_small_batches")
+    q = start_ingest(spark, files["dir"], table, ckpt, max_files_per_trigger=2)
+    q.awaitTermination(300)
+    batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    total = spark.read.text(files["dir"]).filter(~F.col("_metadata.file_name").startswith("README")).count()
+    assert len(batches) > 1
+    assert spark.read.parquet(table).count() == total
