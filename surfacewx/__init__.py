@@ -4,7 +4,7 @@ Everything is a DataFrame -> DataFrame or Column -> Column builder; the caller
 owns the SparkSession.
 """
 
-from surfacewx.plans.detect import detect, detect_files
+from surfacewx.plans.detect import detect, detect_files, outlier_report
 from surfacewx.schema import (
     DEFAULT_DELTA,
     DEFAULT_ELEVATION,
@@ -15,10 +15,15 @@ from surfacewx.schema import (
     REPORT_COLUMNS,
     STATION_SCHEMA,
 )
+from surfacewx.sources.observations import read_observations
+from surfacewx.sources.stations import read_stations
 
 __all__ = [
     "detect",
     "detect_files",
+    "outlier_report",
+    "read_observations",
+    "read_stations",
     "OBSERVATION_SCHEMA",
     "STATION_SCHEMA",
     "REPORT_COLUMNS",
