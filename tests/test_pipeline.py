@@ -193,3 +193,19 @@ def test_streaming_ingest_many_batches(spark, files):
     total = spark.read.text(files["dir"]).filter(~F.col("_metadata.file_name").startswith("README")).count()
     assert len(batches) > 1
     assert spark.read.parquet(table).count() == total
+
+
+def test_csv_sink_quotes_commas(spark, tmp_path):
+    from surfacewx.schema import REPORT_FIELDS
+
+    row = ("2008", "9", "13", "9", "278", "722430-12960", "AIRPORT, ONE", "US", "", "+29.980", "-095.360", "+0029.0")
+    report = spark.createDataFrame([row], ", ".join(f"`{f}` string" for f in REPORT_FIELDS))
+    out = str(tmp_path / "quoted")
+    write_report_csv(report, out)
+    part = [p for p in os.listdir(out) if p.startswith("part-")][0]
+    with open(os.path.join(out, part)) as f:
+        text = f.read()
+        f.seek(0)
+        rows = list(csv.reader(f))
+    assert '"AIRPORT, ONE"' in text
+    assert rows[1] == list(row)
