@@ -232,3 +232,13 @@ def test_failfast_checked_by_bare_count(spark):
         parse_observations(_lines(spark, GOOD, "2008 01 01")).count()
     assert parse_observations(_lines(spark, GOOD, GOOD)).count() == 2
     assert parse_observations(_lines(spark, GOOD, "2008 01 01"), mode="DROPMALFORMED").count() == 1
+
+
+def test_subdirectories_not_descended(spark, tmp_path):
+    d = tmp_path / "obs"
+    (d / "sub").mkdir(parents=True)
+    _write(d / "722430-12960-2008", [GOOD])
+    _write(d / "sub" / "722430-12960-2009", [GOOD.replace("2008", "2009", 1)])
+    assert [r.year for r in read_observations(spark, str(d)).collect()] == [2008]
+    # a glob reaches nested layouts explicitly
+    assert sorted(r.year for r in read_observations(spark, [str(d), str(d / "sub")]).collect()) == [2008, 2009]
