@@ -209,3 +209,16 @@ def test_csv_sink_quotes_commas(spark, tmp_path):
         rows = list(csv.reader(f))
     assert '"AIRPORT, ONE"' in text
     assert rows[1] == list(row)
+
+
+def test_cli_other_measure(spark, files, capsys):
+    expected = detect_files(spark, files["dir"], files["catalogue"], value_col="air_temperature", delta=1.0)
+    n = expected.count()
+    assert n > 0
+    args = [files["dir"], "unused", "29.761993", "-95.366302", "12", "600000", "1", "--stations", files["catalogue"]]
+    assert cli_main([*args, "--measure", "air_temperature", "--show"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert len(out) == n + 1
+    # the fifth column is 10 x the tested measure
+    body = list(csv.reader(out[1:]))
+    assert sorted(r[4] for r in body) == sorted(r.wind_speed_x10 for r in expected.collect())
