@@ -10,7 +10,7 @@ from surfacewx.functions.decode import (
     tokens,
 )
 from surfacewx.functions.format import or_empty, signed_fixed, station_label
-from surfacewx.functions.geo import distance_m, latitude_band
+from surfacewx.functions.geo import distance_m, latitude_band, longitude_band
 from surfacewx.functions.keys import file_base_name, observation_key, station_id_of, station_key
 
 __all__ = [
@@ -26,6 +26,7 @@ __all__ = [
     "station_label",
     "distance_m",
     "latitude_band",
+    "longitude_band",
     "file_base_name",
     "observation_key",
     "station_id_of",

@@ -43,3 +43,34 @@ def latitude_band(lat, lat0: float, radius_m: float) -> Column:
     half_width = math.degrees(radius_m / (EARTH_RADIUS_KM * 1000.0)) * (1 + 1e-9) + 1e-9
     c = as_double(lat)
     return (c >= F.lit(lat0 - half_width)) & (c <= F.lit(lat0 + half_width))
+
+
+def longitude_band(lon, lat0: float, lon0: float, radius_m: float) -> Column | None:
+    """Necessary condition for ``distance <= radius_m`` on the longitude, or
+    None when no useful bound exists (the band would reach a pole, or cover
+    every longitude).
+
+    From the haversine identity hav(c) = hav(dlat) + cos(lat0) cos(lat) hav(dlon)
+    >= cos(lat0) cos(lat) hav(dlon), and cos(lat) >= cos(|lat0| + w) inside
+    the latitude band of half-width w = radius / R: hav(dlon) <= hav(w) /
+    (cos(lat0) cos(|lat0| + w)). Across the antimeridian the band is two
+    ranges. A plain range on the stored longitude, so it is pushed to the scan.
+    """
+    w = radius_m / (EARTH_RADIUS_KM * 1000.0)
+    far = abs(math.radians(lat0)) + w
+    if w >= math.pi or far >= math.pi / 2:
+        return None
+    s = math.sin(w / 2) ** 2 / (math.cos(math.radians(lat0)) * math.cos(far))
+    if s >= 1:
+        return None
+    half = math.degrees(2 * math.asin(math.sqrt(s))) * (1 + 1e-9) + 1e-9
+    if half >= 180:
+        return None
+    lo, hi = lon0 - half, lon0 + half
+    c = as_double(lon)
+    band = (c >= F.lit(max(lo, -180.0))) & (c <= F.lit(min(hi, 180.0)))
+    if lo < -180:
+        band = band | (c >= F.lit(lo + 360.0))
+    if hi > 180:
+        band = band | (c <= F.lit(hi - 360.0))
+    return band

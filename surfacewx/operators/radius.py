@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.functions.geo import distance_m, latitude_band
+from surfacewx.functions.geo import distance_m, latitude_band, longitude_band
 
 
 def with_distance(
@@ -37,11 +37,17 @@ def within_radius(
 ) -> DataFrame:
     """Stations with all three coordinates present and distance <= radius_m.
 
-    The latitude band is a cheap, pushable pre-filter (row groups of a large
-    Parquet catalogue are skipped); the exact inclusive test follows.
+    The latitude band, and away from the poles a longitude band, are cheap,
+    pushable pre-filters (row groups of a large Parquet catalogue are
+    skipped); both are necessary conditions, and the exact inclusive test
+    follows.
     """
     present = F.col(lat_col).isNotNull() & F.col(lon_col).isNotNull() & F.col(elev_col).isNotNull()
-    near = stations.filter(present & latitude_band(F.col(lat_col), latitude, radius_m))
+    bands = latitude_band(F.col(lat_col), latitude, radius_m)
+    lon_band = longitude_band(F.col(lon_col), latitude, longitude, radius_m)
+    if lon_band is not None:
+        bands = bands & lon_band
+    near = stations.filter(present & bands)
     near = with_distance(near, latitude, longitude, elevation, lat_col, lon_col, elev_col)
     near = near.filter(F.col("distance_m") <= F.lit(float(radius_m)))
     return near if keep_distance else near.drop("distance_m")

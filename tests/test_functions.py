@@ -110,3 +110,46 @@ def test_station_label(spark):
         " DATE'1970-01-01' AS begin, DATE'2018-05-01' AS end"
     )
     assert df.select(station_label().alias("l")).first().l == "A-B: NAME,,TX,, (29.98,-95.36,), [19700101-20180501]"
+
+
+@pytest.mark.parametrize(
+    "lat0,lon0,radius",
+    [(29.761993, -95.366302, 600000.0), (0.0, 179.5, 300000.0), (-45.0, -179.9, 1000000.0), (60.0, 10.0, 2000000.0), (80.0, 0.0, 1500000.0)],
+)
+def test_longitude_band_is_necessary(spark, lat0, lon0, radius):
+    from surfacewx.functions.geo import longitude_band
+
+    # a dense grid around the centre, across the antimeridian where relevant
+    df = spark.range(0, 40000).select(
+        (F.lit(lat0 - 25.0) + (F.col("id") % 200) * 0.25).alias("lat"),
+        (F.pmod(F.lit(lon0 + 180.0 - 100.0) + (F.col("id") / 200).cast("int") * 1.0, F.lit(360.0)) - 180.0).alias("lon"),
+    ).filter((F.col("lat") >= -90) & (F.col("lat") <= 90))
+    within = df.filter(distance_m(lat0, lon0, 0.0, F.col("lat"), F.col("lon"), 0.0) <= radius)
+    band = longitude_band(F.col("lon"), lat0, lon0, radius)
+    assert within.count() > 0
+    if band is None:
+        assert lat0 + math.degrees(radius / 6371000.0) >= 90 or lat0 - math.degrees(radius / 6371000.0) <= -90
+    else:
+        assert within.filter(~band).count() == 0
+        assert df.filter(band).count() < df.count()  # it does prune
+
+
+@pytest.mark.parametrize("lat0,lon0,radius", [(29.761993, -95.366302, 600000.0), (0.0, 179.5, 300000.0), (-45.0, -179.9, 1000000.0), (60.0, 10.0, 2000000.0)])
+def test_longitude_band_keeps_points_on_the_circle(spark, lat0, lon0, radius):
+    from surfacewx.functions.geo import longitude_band
+
+    R = 6371000.0
+    d = radius * (1 - 1e-9) / R
+    p0, l0 = math.radians(lat0), math.radians(lon0)
+    pts = []
+    for b in range(0, 3600):
+        t = math.radians(b / 10)
+        p = math.asin(math.sin(p0) * math.cos(d) + math.cos(p0) * math.sin(d) * math.cos(t))
+        lam = l0 + math.atan2(math.sin(t) * math.sin(d) * math.cos(p0), math.cos(d) - math.sin(p0) * math.sin(p))
+        lon = (math.degrees(lam) + 540.0) % 360.0 - 180.0
+        pts.append((math.degrees(p), lon))
+    df = spark.createDataFrame(pts, "lat double, lon double")
+    within = df.filter(distance_m(lat0, lon0, 0.0, F.col("lat"), F.col("lon"), 0.0) <= radius)
+    assert within.count() > 3000
+    assert within.filter(~longitude_band(F.col("lon"), lat0, lon0, radius)).count() == 0
+    assert within.filter(~latitude_band(F.col("lat"), lat0, radius)).count() == 0

@@ -254,6 +254,7 @@ def test_latitude_band_pushed_to_parquet(spark, tmp_path):
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(sel._jdf.queryExecution(), "formatted")
     pushed = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
     assert any("GreaterThanOrEqual(latitude" in p and "LessThanOrEqual(latitude" in p for p in pushed), pushed
+    assert any("GreaterThanOrEqual(longitude" in p and "LessThanOrEqual(longitude" in p for p in pushed), pushed
     assert sorted(r.station_id for r in sel.collect()) == ["A", "B"]
 
 
