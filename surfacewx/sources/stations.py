@@ -57,10 +57,28 @@ def _double(c: Column, name: str, mode: str) -> Column:
     ).otherwise(v)
 
 
+def _decodable(f: dict[str, Column]) -> Column:
+    """Whether the coordinates (empty or a number) and both dates decode."""
+    ok = F.lit(True)
+    for name in ("latitude", "longitude", "elevation"):
+        t = _text_or_null(f[name])
+        ok = ok & (t.isNull() | t.try_cast("double").isNotNull())
+    for name in ("begin", "end"):
+        ok = ok & F.try_to_date(f[name], STATION_DATE_FORMAT).isNotNull()
+    return ok
+
+
 def decode_station_fields(raw: DataFrame, mode: str = "FAILFAST", keep: Iterable[str] = ()) -> DataFrame:
-    """Text fields (STATION_CSV_FIELDS) -> STATION_SCHEMA columns."""
+    """Text fields (STATION_CSV_FIELDS) -> STATION_SCHEMA columns.
+
+    FAILFAST raises on a bad coordinate or date; PERMISSIVE leaves it NULL;
+    DROPMALFORMED drops the line.
+    """
     mode = mode.upper()
     f = {name: F.col(name) for name in STATION_CSV_FIELDS}
+    if mode == "DROPMALFORMED":
+        raw = raw.filter(_decodable(f))
+        mode = "PERMISSIVE"
     usaf = F.coalesce(f["usaf"], F.lit(""))
     wban = F.coalesce(f["wban"], F.lit(""))
     return raw.select(
@@ -83,9 +101,10 @@ def decode_station_fields(raw: DataFrame, mode: str = "FAILFAST", keep: Iterable
 def dedupe_last(df: DataFrame, key: str | list[str], order: str | list[str]) -> DataFrame:
     """Keep, for every key, the row with the greatest ``order`` (the last line).
 
-    A hash aggregate with ``max_by``: partial aggregation runs map-side, so a
-    key repeated on a third of all rows is collapsed to one row per task before
-    the shuffle instead of being gathered into one task.
+    An aggregate with ``max_by`` (sort-based, as its buffer is a struct) with
+    partial aggregation map-side, so a key repeated on a third of all rows is
+    collapsed to one row per task before the shuffle instead of being
+    gathered into one task.
     """
     keys = [key] if isinstance(key, str) else list(key)
     orders = [order] if isinstance(order, str) else list(order)
@@ -116,7 +135,7 @@ def read_stations(
     raw = (
         spark.read.schema(STATION_CSV_SCHEMA)
         .option("header", True)
-        .option("mode", "FAILFAST" if mode.upper() == "FAILFAST" else "PERMISSIVE")
+        .option("mode", mode.upper() if mode.upper() in ("FAILFAST", "DROPMALFORMED") else "PERMISSIVE")
         .csv(paths)
     )
     # Line order: file, split start, then position inside the split (the id

@@ -242,3 +242,20 @@ def test_subdirectories_not_descended(spark, tmp_path):
     assert [r.year for r in read_observations(spark, str(d)).collect()] == [2008]
     # a glob reaches nested layouts explicitly
     assert sorted(r.year for r in read_observations(spark, [str(d), str(d / "sub")]).collect()) == [2008, 2009]
+
+
+def test_read_stations_dropmalformed(spark, tmp_path):
+    p = tmp_path / "mixed.csv"
+    _write(
+        p,
+        [
+            HEADER,
+            '"722430","12960","GOOD","US","TX","","+29.980","-095.360","+0029.0","19700101","20180501"',
+            '"722431","12960","BAD LAT","US","TX","","north","-095.360","+0029.0","19700101","20180501"',
+            '"722432","12960","NO BEGIN","US","TX","","+29.980","-095.360","+0029.0","","20180501"',
+            '"722433","12960","NO ELEV","US","TX","","+29.980","-095.360","","19700101","20180501"',
+            '"722434","12960","SHORT"',
+        ],
+    )
+    names = sorted(r.station_name for r in read_stations(spark, str(p), mode="DROPMALFORMED").collect())
+    assert names == ["GOOD", "NO ELEV"]
