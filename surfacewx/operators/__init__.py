@@ -5,7 +5,7 @@ from surfacewx.operators.outliers import find_outliers, threshold, threshold_tab
 from surfacewx.operators.radius import selected_ids, with_distance, within_radius
 from surfacewx.operators.report import format_report, sort_report
 from surfacewx.operators.sort import with_position
-from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats
+from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats, pooled_stats_many
 from surfacewx.operators.union import union_observations
 
 __all__ = [
@@ -25,5 +25,6 @@ __all__ = [
     "merge_partials",
     "partial_stats",
     "pooled_stats",
+    "pooled_stats_many",
     "union_observations",
 ]

@@ -25,6 +25,32 @@ def pooled_stats(df: DataFrame, value_col: str = "wind_speed") -> DataFrame:
     )
 
 
+def pooled_stats_many(df: DataFrame, value_cols: list[str]) -> DataFrame:
+    """``pooled_stats`` of several measures in one pass: one row per measure
+    (``measure, n, mean, stddev``).
+
+    A single global aggregate with three partial aggregates per measure (a
+    one-row exchange); the result row is then stacked, rather than unpivoting
+    the data and grouping by measure.
+    """
+    aggs = []
+    for m in value_cols:
+        v = F.col(m).cast("double")
+        aggs += [F.count(v).alias(f"{m}__n"), F.avg(v).alias(f"{m}__mean"), F.stddev_samp(v).alias(f"{m}__sd")]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("measure"),
+                F.col(f"{m}__n").alias("n"),
+                F.col(f"{m}__mean").alias("mean"),
+                F.col(f"{m}__sd").alias("stddev"),
+            )
+            for m in value_cols
+        ]
+    )
+    return df.agg(*aggs).select(F.inline(rows))
+
+
 def partial_stats(df: DataFrame, value_col: str = "wind_speed", by: str | list[str] = "station_id") -> DataFrame:
     """Mergeable per-group partials: ``n``, ``mean`` and ``m2`` (sum of squared
     deviations) for every group, skipping groups without values."""

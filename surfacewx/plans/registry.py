@@ -22,7 +22,7 @@ from surfacewx.operators.outliers import find_outliers, threshold_table
 from surfacewx.operators.radius import with_distance, within_radius
 from surfacewx.operators.report import format_report
 from surfacewx.operators.sort import with_position
-from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats
+from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats, pooled_stats_many
 from surfacewx.operators.union import union_observations
 from surfacewx.plans.detect import detect, detect_stats, outlier_report
 from surfacewx.session import materialize
@@ -257,24 +257,8 @@ def pooled_stats_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def measure_stats(spark: SparkSession, d: str) -> DataFrame:
-    """The same statistics for each of the 8 measures.
-
-    One global aggregate with 8 x 3 partial aggregates (one pass, a one-row
-    exchange), then the single result row is stacked into 8 rows.
-    """
-    obs = _obs(spark, d)
-    aggs = []
-    for m in MEASURE_NAMES:
-        v = F.col(m).cast("double")
-        aggs += [F.count(v).alias(f"{m}__n"), F.avg(v).alias(f"{m}__mean"), F.stddev_samp(v).alias(f"{m}__sd")]
-    one = obs.agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(F.lit(m).alias("measure"), F.col(f"{m}__n").alias("n"), F.col(f"{m}__mean").alias("mean"), F.col(f"{m}__sd").alias("stddev"))
-            for m in MEASURE_NAMES
-        ]
-    )
-    s = one.select(F.inline(rows))
+    """The same statistics for each of the 8 measures (one pass)."""
+    s = pooled_stats_many(_obs(spark, d), MEASURE_NAMES)
     return s.select("measure", "n", _r("mean", 6).alias("mean"), _r("stddev", 6).alias("stddev"))
 
 

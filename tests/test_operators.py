@@ -302,3 +302,18 @@ def test_dedupe_last_hot_key(spark):
         if i % 3:
             expect[f"K{i % 997:04d}"] = i
     assert {k: r.line_no for k, r in out.items() if k != "HOT"} == expect
+
+
+def test_pooled_stats_many_equals_single(spark):
+    from surfacewx.operators.stats import pooled_stats_many
+
+    df = spark.range(0, 500).select(
+        (F.col("id") % 17).cast("double").alias("a"),
+        F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id") * 0.5).alias("b"),
+        (F.col("id") % 3).cast("int").alias("c"),
+    )
+    many = {r.measure: r for r in pooled_stats_many(df, ["a", "b", "c"]).collect()}
+    for m in ("a", "b", "c"):
+        one = pooled_stats(df, m).first()
+        assert (many[m].n, many[m].mean) == (one.n, one.mean)
+        assert many[m].stddev == pytest.approx(one.stddev, rel=1e-12)
