@@ -196,7 +196,8 @@ SELECT station_id, station_name, line_no FROM (
 WHERE rn = 1""",
     "station_lookup": BASE + f"""
 SELECT {STATION_COLS} FROM stations
-WHERE station_id IN ('720000-00015', '720001-00020', '720002-00016', '999999-99999')""",
+WHERE station_id IN ('720000-00015', '720001-00019', '720002-00018', '720001-00020', '720002-00016',
+                     '720000-00002', '720001-00008', '720002-00017', '999999-99999')""",
     "station_label": BASE + """
 SELECT station_id,
        station_id || ': ' || coalesce(station_name, '') || ',' || coalesce(country, '') || ','

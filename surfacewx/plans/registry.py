@@ -45,8 +45,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 CENTRE = (DEFAULT_LATITUDE, DEFAULT_LONGITUDE, DEFAULT_ELEVATION)
 # Boundaries of the union query's time-range inputs (weekly).
 UNION_BOUNDS = ["2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00", "2024-01-29 00:00:00"]
-# Station ids looked up by the point-lookup query (the last one is unknown).
-LOOKUP_IDS = ["720000-00015", "720001-00020", "720002-00016", "999999-99999"]
+# Station ids looked up by the point-lookup query: suppliers 0-2 as they are
+# keyed in the sf 0.001, 0.01 and 0.1 tables, and one unknown id.
+LOOKUP_IDS = [
+    "720000-00015", "720001-00019", "720002-00018",
+    "720001-00020", "720002-00016",
+    "720000-00002", "720001-00008", "720002-00017",
+    "999999-99999",
+]
 
 
 _TABLES: dict[tuple[str, str], DataFrame] = {}
