@@ -222,3 +222,18 @@ def test_cli_other_measure(spark, files, capsys):
     # the fifth column is 10 x the tested measure
     body = list(csv.reader(out[1:]))
     assert sorted(r[4] for r in body) == sorted(r.wind_speed_x10 for r in expected.collect())
+
+
+def test_ingest_files_sorted_by_station(spark, files):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    table = str(files["root"] / "sorted_table")
+    ingest_to_parquet(spark, files["dir"], table)
+    parts = glob.glob(os.path.join(table, "year=*", "*.parquet"))
+    assert parts
+    for p in parts:
+        t = pq.read_table(p, columns=["station_id", "month", "day", "hour"]).to_pylist()
+        keys = [(r["station_id"], r["month"], r["day"], r["hour"]) for r in t]
+        assert keys == sorted(keys), p
