@@ -81,7 +81,9 @@ class Lines(HTMLParser):
         """Close the innermost open element of ``tags`` that no element of ``stop`` encloses."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in tags:
-                self.cut()
+                outside = self.open[i - 1][1:] if i else (False, False, False)
+                if self.state() != outside or any(x[0] in BLOCKS for x in self.open[i:]):
+                    self.cut()
                 del self.open[i:]
                 return
             if self.open[i][0] in stop:
