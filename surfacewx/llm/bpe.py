@@ -28,13 +28,11 @@ from pyspark.sql import types as T
 
 from surfacewx.llm.common import slices
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_PAIRS = 1_000_000
-_END = -1
-_ONE = (1,)
+_TAIL = 4
 _NEVER = 1 << 60
 _BYTE = (-1, -1, -1)  # no merge makes a byte
-_BYTES = [bytes([b]) for b in range(256)]
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 # Fixed value: the pattern of byte-level BPE, \s written as the Unicode property it stands for.
@@ -79,11 +77,13 @@ class Vocabulary:
         for t, (rank, a, b) in sorted(self.made.items(), key=lambda x: x[1][0]):
             if not (self.bytes_of[a] in self.id_of and self.bytes_of[b] in self.id_of and self._meet_apart(a, b, rank)):
                 self.id_of.pop(self.bytes_of[t], None)
-        self.longest = max(map(len, self.id_of))
-        #: The last two bytes (or the only one) to the sizes of tokens that can end so, long ones first.
+        #: The last four bytes, or fewer, to the sizes of tokens that can end so, long ones first:
+        #: for four bytes of all tokens, for fewer of those that are no longer.
         sizes: dict[bytes, set] = {}
         for b in self.id_of:
-            sizes.setdefault(b[-2:], {1}).add(len(b))
+            sizes.setdefault(b[-_TAIL:], set()).add(len(b))
+        for b in sorted(sizes, key=len):
+            sizes[b] |= set().union(*(sizes.get(b[k:], ()) for k in range(1, len(b))))
         self.sizes = {b: tuple(sorted(x, reverse=True)) for b, x in sizes.items()}
         self.words: dict[str, bytes] = {}
         self.apart: dict[tuple[int, int], bool] = {}
@@ -122,60 +122,66 @@ class Vocabulary:
         return known
 
     def learn(self, words: list[str]) -> None:
-        """Encode distinct words: insert them into a trie, walk it depth first
-        with the last token of every prefix on the path."""
-        trie: dict = {}
-        for w in words:
-            node = trie
-            for byte in w.encode():
-                if (child := node.get(byte)) is None:
-                    child = node[byte] = {}
-                node = child
-            node[_END] = w
+        """Encode distinct words by a depth-first walk over their trie.
+
+        The trie is held as its words in order, each inserted below the prefix
+        that it shares with the word before; going through them in order is the
+        depth-first walk. ``last`` has the last token of every prefix on the
+        path from the root, and is cut back to the shared prefix at each word.
+        """
         last: list[int] = []
-        stack = [(1, _BYTES[byte], child) for byte, child in trie.items()]
-        id_of, sizes, apart, out, longest = self.id_of, self.sizes, self.apart, self.words, self.longest
-        while stack:
-            depth, tail, node = stack.pop()  # tail: the end of the prefix, as long as tokens can be
-            del last[depth - 1 :]
-            for n in sizes.get(tail[-2:], _ONE):
-                if n > depth or (t := id_of.get(tail[-n:])) is None:
-                    continue
-                if n < depth:
-                    known = apart.get((last[-n], t))
-                    if not (self.stay_apart(last[-n], t) if known is None else known):
+        id_of, sizes, apart, out, bytes_of = self.id_of, self.sizes, self.apart, self.words, self.bytes_of
+        before = b""
+        for path, word in sorted([(w.encode(), w) for w in words]):
+            size, depth = len(path), 0
+            most = min(size, len(before))
+            if path[:most] == before[:most]:
+                depth = most
+            else:
+                while path[depth] == before[depth]:
+                    depth += 1
+            del last[depth:]
+            before = path
+            while depth < size:
+                depth += 1
+                tail = path[depth - _TAIL : depth] if depth > _TAIL else path[:depth]
+                while (some := sizes.get(tail)) is None:
+                    tail = tail[1:]
+                for n in some:
+                    if n > depth or (t := id_of.get(path[depth - n : depth])) is None:
                         continue
-                last.append(t)
-                break
-            for byte, child in node.items():
-                if byte != _END:
-                    stack.append((depth + 1, (tail + _BYTES[byte])[-longest:], child))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(last[at - 1])
-                        at -= len(self.bytes_of[ids[-1]])
-                    ids.reverse()
-                    out[child] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+                    if n < depth:
+                        known = apart.get((last[depth - n - 1], t))
+                        if not (self.stay_apart(last[depth - n - 1], t) if known is None else known):
+                            continue
+                    last.append(t)
+                    break
+            ends = []
+            while depth:
+                ends.append(last[depth - 1])
+                depth -= len(bytes_of[ends[-1]])
+            ends.reverse()
+            out[word] = _PACK[len(ends)](*ends) if len(ends) < len(_PACK) else np.array(ends, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split, parts = self.split.findall, []
         for text in texts:
-            if self.cut is None:
-                parts.append(split(text))
-            else:
+            if any(map(text.__contains__, self.special)):
                 row: list[str] = []
                 for i, piece in enumerate(self.cut.split(text)):
                     row += [piece] if i % 2 else split(piece)
                 parts.append(row)
+            else:
+                parts.append(split(text))
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         self.words.update(self.special)
+        new = list(set().union(*parts).difference(self.words))
         collecting = gc.isenabled()
         gc.disable()  # a trie has no cycles, and looking for them takes longer than the walk
         try:
-            self.learn(list({w for row in parts for w in row} - self.words.keys()))
+            self.learn(new)
         finally:
             if collecting:
                 gc.enable()

@@ -6,7 +6,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,12 +93,21 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows, so that what Python
-    objects take does not grow with Spark's batch size."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and, but for single rows
+    above it, ``size`` bytes of strings, so that what Python objects take
+    grows neither with Spark's batch size nor with the length of texts."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        total = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(total), 0
+        while start < batch.num_rows:
+            upto = (ends[start - 1] if start else 0) + size
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, upto, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def wider(df: DataFrame, **columns: str) -> T.StructType:
