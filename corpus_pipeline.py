@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surfacewx.llm import decontam, simhash, toxicity
-from surfacewx.llm.common import written
+from surfacewx.llm.common import fresh, written
 from surfacewx.llm.queries import bpe_columns, with_quality
 
 KEEP_QUALITY = 0.5
@@ -19,14 +19,16 @@ KEEP_QUALITY = 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are of low quality with a probability above one half go."""
-    made = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return made.filter(F.col("tail_prob") >= KEEP_QUALITY).select(*docs.columns)
+    into = fresh(docs, "expected_grade"), fresh(docs, "tail_prob")
+    made = with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), into)
+    return made.filter(F.col(into[1]) >= KEEP_QUALITY).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score reaches the operator's threshold go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    into = fresh(docs, "score")
+    return toxicity.score(docs, model, into=into).filter(F.col(into) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +38,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    made = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10)
-    return made.filter(F.col("n_hit") == 0).select(*docs.columns)
+    into = tuple(fresh(docs, c) for c in ("n_words", "n_hit", "hits", "items"))
+    made = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=10, into=into)
+    return made.filter(F.col(into[1]) == 0).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,7 +199,7 @@ def _vocabulary(spec: str) -> Vocabulary:
 
 
 def encode_decode(df: DataFrame, vocabulary_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all but the text) with ``n_tokens`` (long),
+    """Columns ``keep`` (default: all but the text and those named like the new ones) with ``n_tokens`` (long),
     ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (the ids
     decoded again, special tokens included).
 
@@ -208,7 +208,7 @@ def encode_decode(df: DataFrame, vocabulary_path: str, text_col: str = "text", k
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if c != text_col] if keep is None else keep
+    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "ids", "decoded")] if keep is None else keep
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,6 +110,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 <<
             start = stop
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it if ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def wider(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with further columns (name to type) behind."""
     new = df.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]).schema

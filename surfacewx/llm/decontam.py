@@ -21,9 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from surfacewx.llm.common import ascii_words, slices, written
+from surfacewx.llm.common import ascii_words, slices, wider, written
 
 BLOCK_WINDOWS = 200_000
 SHINGLE = 3
@@ -92,22 +91,24 @@ def _prefix_index(block: dict[tuple, list[str]], rarity: Counter) -> dict:
     return dict(out)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit``, ``hits`` (array of word spans
-    ``struct<first, last>``, joined where they overlap) and ``items`` (sorted
-    ids of the items with an occurring window).
+def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS, into: tuple[str, str, str, str] = ("n_words", "n_hit", "hits", "items")) -> DataFrame:
+    """``docs`` with four columns named by ``into``: the number of words, the
+    number of hit words, the hit spans of words (array of ``struct<first,
+    last>``, joined where they overlap or touch) and the sorted ids of the
+    items with an occurring window.
 
     Words: A-Z lower-cased runs of digits, letters and non-ASCII characters;
     a null text has none. Repeated rows are marked alike. An empty benchmark
-    marks nothing. Columns of ``docs`` stay as they are; names of the new
-    ones must not be among them.
+    marks nothing. Columns of ``docs`` that are named like the new ones give way
+    to them; all others stay as they are.
     """
+    docs = docs.drop(*into)
     found = written(windows(benchmark, size, item_col, item_text_col), "windows")
     n = found.count()
     blocks = max(1, -(-n // block_windows))
-    out = docs.withColumns({"hits": F.lit(None).cast("array<struct<first:int,last:int>>"), "items": F.lit(None).cast("array<string>"), "n_words": F.lit(0)})
-    out = out.select(*docs.columns, "n_words", "hits", "items")
-    schema = T.StructType([*docs.schema.fields, *out.schema.fields[-3:]])
+    n_words_col, n_hit_col, hits_col, items_col = into
+    schema = wider(docs, **{n_words_col: "int", hits_col: "array<struct<first:int,last:int>>", items_col: "array<string>"})
+    out = docs.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[-3:]])
     spans, names = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string())
     for k in range(blocks):
         rows = found.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()
@@ -142,5 +143,5 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
                 yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=b.schema.names)
 
         out = out.mapInArrow(run, schema)
-    n_hit = F.aggregate("hits", F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1).cast("long")
-    return out.select(*docs.columns, F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), "hits", "items")
+    n_hit = F.aggregate(hits_col, F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1).cast("long")
+    return out.select(*docs.columns, F.col(n_words_col).cast("long").alias(n_words_col), n_hit.alias(n_hit_col), hits_col, items_col)

@@ -134,14 +134,17 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     # A repeated id can bring more rows than were chosen: the bound holds for rows too.
     ready = found.mapInArrow(make, "h long, grade int, i binary, v binary").orderBy("h").limit(fit_rows)
     row = ready.repartition(1).mapInArrow(learn, "w binary, t binary").first()
+    if row is None:  # no rated row at all
+        return fit([], grades)
     return OrdinalModel(np.frombuffer(row.w, np.float32), np.frombuffer(row.t, np.float64))
 
 
-def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least: int = 1) -> DataFrame:
-    """``docs`` with ``expected_grade`` (double) and ``tail_prob`` (double, the
-    probability of grade ``at_least`` or better). A null, empty or blank text
-    has no features, so the thresholds alone decide. Repeated rows score alike;
-    the new names must not be among the columns of ``docs``."""
+def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least: int = 1, into: tuple[str, str] = ("expected_grade", "tail_prob")) -> DataFrame:
+    """``docs`` with two columns named by ``into``: the expected grade (double)
+    and the probability (double) of grade ``at_least`` or better. A null, empty or blank text
+    has no features, so the thresholds alone decide. Repeated rows score alike.
+    Columns of ``docs`` that are named like the new ones give way to them."""
+    docs = docs.drop(*into)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -150,6 +153,6 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least
         for b in slices(batches):
             tails = [sent.value.tails(*features(x, words)) for x in b.column(at).to_pylist()]
             made = [pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([float(t[at_least - 1]) for t in tails], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "expected_grade", "tail_prob"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *into])
 
-    return docs.mapInArrow(run, wider(docs, expected_grade="double", tail_prob="double"))
+    return docs.mapInArrow(run, wider(docs, **dict.fromkeys(into, "double")))

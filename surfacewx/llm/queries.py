@@ -94,9 +94,9 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when((F.col("quality") == 1) & (F.col("toxic") == 1), 1).when(F.col("quality") == 1, 2).alias("grade"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``expected_grade`` and ``tail_prob``, the probability of not being of low quality."""
-    return quality.score(docs, quality.train(docs, graded(labels), grades=3), at_least=1)
+def with_quality(docs: DataFrame, labels: DataFrame, into: tuple[str, str] = ("expected_grade", "tail_prob")) -> DataFrame:
+    """``docs`` with the expected grade and the probability of not being of low quality."""
+    return quality.score(docs, quality.train(docs, graded(labels), grades=3), at_least=1, into=into)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

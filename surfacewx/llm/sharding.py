@@ -60,4 +60,4 @@ def write_shards(placed: DataFrame, path: str, files_per_shard: int = 8) -> None
     shard is dealt to ``files_per_shard`` tasks by slot, and the rows of a
     slot again by a hash of the whole row, so a frequent key is no single task."""
     salt = F.pmod(F.xxhash64(*[c for c in placed.columns if placed.schema[c].dataType.typeName() != "map"]), F.lit(files_per_shard))
-    placed.withColumn("_salt", salt).repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    placed.repartition("shard", salt).write.partitionBy("shard").parquet(path)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import components, join_unique, slices, wider, written
+from surfacewx.llm.common import components, fresh, join_unique, slices, wider, written
 
 BLOCK = 4096
 MAX_BLOCKS = 256
@@ -204,7 +204,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """One row of each component of :func:`near_duplicates`, with all columns
     of ``df``: a row with the component's smallest id. Where several rows of
     a component have this id, one of those with the smallest fingerprint stays."""
-    print_col = "_simhash_fp"
+    print_col, kept_id, kept_fp = (fresh(df, c) for c in ("simhash_fp", "kept_id", "kept_fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -215,6 +215,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     rows = full.select(F.col(id_col).alias("id"), F.col(print_col).alias("fp"))
     lookup, total = _components_of(rows, "id", distance)
     lowest = join_unique(rows, lookup, "fp", "n", total).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = lowest.groupBy("root").agg(F.min("fp").alias("_kept_fp"), F.min("id").alias("_kept_id")).drop("root")
-    out = full.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col(print_col) == F.col("_kept_fp")))
+    kept = lowest.groupBy("root").agg(F.min("fp").alias(kept_fp), F.min("id").alias(kept_id)).drop("root")
+    out = full.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(print_col) == F.col(kept_fp)))
     return out.dropDuplicates([id_col, print_col]).select(*df.columns)

@@ -161,13 +161,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # A repeated id can bring more rows than were chosen: the bound holds for rows too.
     ready = found.mapInArrow(make, "h long, label int, x binary").orderBy("h").limit(fit_rows)
     row = ready.repartition(1).mapInArrow(learn, "i binary, w binary, b double").first()
+    if row is None:  # no labelled row at all
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     return Model(np.frombuffer(row.i, np.int32), np.frombuffer(row.w, np.float32), row.b)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (double, 0 to 1), from the whole text alone. A
-    null or empty text gets the bias's score. Repeated rows score alike; the
-    new name must not be among the columns of ``docs``."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with the score (double, 0 to 1) in column ``into``, from the whole
+    text alone. A null or empty text gets the bias's score. Repeated rows score
+    alike. A column of ``docs`` that is named like the new one gives way to it."""
+    docs = docs.drop(into)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -175,6 +178,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         words = Words()
         for b in slices(batches):
             scores = sent.value.scores(b.column(at).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, into])
 
-    return docs.mapInArrow(run, wider(docs, score="double"))
+    return docs.mapInArrow(run, wider(docs, **{into: "double"}))
