@@ -179,9 +179,9 @@ def _components_of(rows: DataFrame, id_col: str, distance: int) -> tuple[DataFra
     classes = written(rows.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")), "classes")
     total, distinct = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     roots = components(links(classes.select("fp"), distinct, distance)).select(F.col("node").alias("fp"), "root")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return written(rooted.join(lowest, "root").select("fp", "n", "root", "component_id"), "components"), total
+    rooted = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    lowest = written(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")), "lowest")
+    return written(join_unique(rooted, lowest, "root", "size", distinct).select("fp", "n", "root", "component_id"), "components"), total
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
