@@ -32,7 +32,8 @@ def distance_m(lat1, lon1, elev1, lat2, lon2, elev2) -> Column:
 
 
 def latitude_band(lat, lat0: float, radius_m: float) -> Column:
-    """Necessary condition for ``distance <= radius_m``: a latitude band.
+    """Necessary condition for ``distance <= radius_m``: a latitude band, for
+    stored latitudes within [-90, 90].
 
     The great-circle distance is at least R * |dlat| (radians) and the
     elevation term only adds, so stations outside the band can be skipped
@@ -48,7 +49,7 @@ def latitude_band(lat, lat0: float, radius_m: float) -> Column:
 def longitude_band(lon, lat0: float, lon0: float, radius_m: float) -> Column | None:
     """Necessary condition for ``distance <= radius_m`` on the longitude, or
     None when no useful bound exists (the band would reach a pole, or cover
-    every longitude).
+    every longitude), for stored coordinates within the usual ranges.
 
     From the haversine identity hav(c) = hav(dlat) + cos(lat0) cos(lat) hav(dlon)
     >= cos(lat0) cos(lat) hav(dlon), and cos(lat) >= cos(|lat0| + w) inside

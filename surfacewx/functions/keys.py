@@ -18,7 +18,7 @@ def _before_last(c: Column, sep: str) -> Column:
 
 def file_base_name(path) -> Column:
     """Last path component (no directories)."""
-    return F.substring_index(F.substring_index(as_col(path), "/", -1), "\\", -1)
+    return F.substring_index(as_col(path), "/", -1)
 
 
 def observation_key(path) -> Column:

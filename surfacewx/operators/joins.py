@@ -12,6 +12,8 @@ by salting the fact side and replicating the dimension once per salt.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,40 +22,35 @@ DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_SALT_BUCKETS = 32
 
 
-def _row_bytes(schema: T.StructType) -> int:
-    """Conservative in-memory width of one row: 8 bytes per fixed-width
-    field, 64 per string, binary, array or map field."""
-    total = 16
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            total += _row_bytes(f.dataType)
-        elif isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
-            total += 64
-        else:
-            total += 8
-    return total
+def _max_bytes(df: DataFrame, max_bytes: int | None) -> int:
+    if max_bytes is not None:
+        return max_bytes
+    conf = df.sparkSession.conf.get("surfacewx.broadcast.maxBytes", None)
+    return int(conf) if conf else DEFAULT_BROADCAST_BYTES
 
 
-def broadcast_bound(df: DataFrame, max_bytes: int | None = None, max_rows: int | None = None) -> int:
-    """Largest row count of ``df`` that may be broadcast."""
-    if max_bytes is None:
-        conf = df.sparkSession.conf.get("surfacewx.broadcast.maxBytes", None)
-        max_bytes = int(conf) if conf else DEFAULT_BROADCAST_BYTES
-    bound = max(0, max_bytes // _row_bytes(df.schema))
-    return bound if max_rows is None else min(bound, max_rows)
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df``, in one aggregate: 16 bytes a row and 8 a
+    field, and what strings, binaries and nested values really hold."""
+    width = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            width = width + 8 * F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return int(n), int(size)
 
 
 def checked_broadcast(df: DataFrame, max_bytes: int | None = None, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when ``df`` provably fits the bound, else ``(df, False)``.
+    """``(broadcast(df), True)`` when ``df`` fits the bound, else ``(df, False)``.
 
-    The proof is an exact row count times a conservative row width. The count
-    is a plain aggregate (one partial count per task crosses the exchange);
-    a ``limit(bound + 1).count()`` would instead funnel up to ``bound + 1``
-    rows from every task into a single one.
+    Rows and bytes are measured by a plain aggregate (one partial result per
+    task crosses the exchange); a ``limit(bound + 1).count()`` would instead
+    funnel up to ``bound + 1`` rows from every task into a single one.
     """
-    bound = broadcast_bound(df, max_bytes, max_rows)
-    n = df.count()
-    if n <= bound:
+    n, size = measured(df)
+    if size <= _max_bytes(df, max_bytes) and (max_rows is None or n <= max_rows):
         return F.broadcast(df), True
     return df, False
 
@@ -65,16 +62,19 @@ def salted_join(
     dim_key: str,
     how: str = "inner",
     buckets: int = DEFAULT_SALT_BUCKETS,
+    salt_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """Shuffle join with a salted fact side and a replicated dimension side.
 
-    Every fact row gets a deterministic salt (a hash of the whole row, so a
-    retried task reproduces it) in ``[0, buckets)``; every dimension row is
+    Every fact row gets a deterministic salt (a hash of ``salt_cols``, so a
+    retried task reproduces it) in ``[0, buckets)``; without ``salt_cols`` it
+    is of the whole row, which keeps every column in the scan; every dimension row is
     repeated once per salt. A hot key is thereby split into ``buckets``
     shuffle partitions. ``how`` is any join type that preserves or filters the
     fact side (inner, left, left_semi, left_anti).
     """
-    hashable = [F.col(f.name) for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
+    names = salt_cols or [f.name for f in fact.schema.fields if not isinstance(f.dataType, T.MapType)]
+    hashable = [F.col(c) for c in names]
     salt = F.pmod(F.xxhash64(*hashable), F.lit(buckets)).cast("int")
     f = fact.withColumn("_salt", salt)
     d = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
@@ -93,6 +93,7 @@ def dimension_join(
     how: str = "inner",
     max_bytes: int | None = None,
     buckets: int = DEFAULT_SALT_BUCKETS,
+    salt_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join a fact side with a dimension: broadcast when the dimension is
     provably small, otherwise a shuffle join that splits hot keys (adaptive
@@ -112,7 +113,7 @@ def dimension_join(
     elif _skew_strategy(fact) == "aqe":
         out = fact.join(dim, F.col(fact_key) == dim[dim_key], how)
     else:
-        out = salted_join(fact, dim, fact_key, dim_key, how, buckets)
+        out = salted_join(fact, dim, fact_key, dim_key, how, buckets, salt_cols)
     return out.drop("_dim_key") if "_dim_key" in out.columns else out
 
 

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` partitions when its
-    scan is coarser than that (default: the cluster's default parallelism).
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Round-robin ``df`` over ``partitions`` partitions; None leaves it as it is.
 
-    Unsplittable inputs (gzip text, a Parquet file with one row group) are
-    read by one task each; CPU-heavy per-line work after such a scan would
-    otherwise run on a few cores. A scan that is already fine-grained (the
-    normal case on a large input) is returned unchanged, with no shuffle.
+    For unsplittable inputs (gzip text, a Parquet file with one row group) in
+    front of CPU-heavy work per row. It moves every row, and after it rows of
+    one file are no longer together, so it is only done where asked for.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    return df if have >= want else df.repartition(want)
+    return df if partitions is None else df.repartition(partitions)

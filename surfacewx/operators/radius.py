@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surfacewx.functions._col import as_double
 from surfacewx.functions.geo import distance_m, latitude_band, longitude_band
 
 
@@ -39,15 +40,21 @@ def within_radius(
 
     The latitude band, and away from the poles a longitude band, are cheap,
     pushable pre-filters (row groups of a large Parquet catalogue are
-    skipped); both are necessary conditions, and the exact inclusive test
-    follows.
+    skipped). They are necessary conditions for coordinates in the usual
+    ranges; a station stored beyond them (longitude 264 for -96, say) passes
+    straight to the exact inclusive test, which follows for all. Around a
+    centre beyond the ranges no band is used.
     """
     present = F.col(lat_col).isNotNull() & F.col(lon_col).isNotNull() & F.col(elev_col).isNotNull()
-    bands = latitude_band(F.col(lat_col), latitude, radius_m)
-    lon_band = longitude_band(F.col(lon_col), latitude, longitude, radius_m)
-    if lon_band is not None:
-        bands = bands & lon_band
-    near = stations.filter(present & bands)
+    near = stations.filter(present)
+    if abs(latitude) <= 90 and abs(longitude) <= 180:
+        lat, lon = as_double(F.col(lat_col)), as_double(F.col(lon_col))
+        bands = latitude_band(lat, latitude, radius_m)
+        lon_band = longitude_band(lon, latitude, longitude, radius_m)
+        if lon_band is not None:
+            bands = bands & lon_band
+        unusual = (lat < -90.0) | (lat > 90.0) | (lon < -180.0) | (lon > 180.0)
+        near = stations.filter(present & (bands | unusual))
     near = with_distance(near, latitude, longitude, elevation, lat_col, lon_col, elev_col)
     near = near.filter(F.col("distance_m") <= F.lit(float(radius_m)))
     return near if keep_distance else near.drop("distance_m")

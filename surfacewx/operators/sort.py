@@ -35,14 +35,20 @@ def with_position(
     if materialize:
         df = checkpointed(df)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return number_rows(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), out_col)
+
+
+def number_rows(df: DataFrame, out_col: str = "position") -> DataFrame:
+    """Add the 1-based position of every row in the order ``df`` has (that of
+    its partitions, and of the rows in them), such as after a global sort."""
+    from surfacewx.session import materialize as checkpointed
+
     ranged = checkpointed(
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
+        df.withColumn("_pid", F.spark_partition_id())
         .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
     )
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # At most n rows: a window without partitioning is fine here.
+    # One row per partition: a window without partitioning is fine here.
     offsets = counts.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
     )

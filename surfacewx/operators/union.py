@@ -16,6 +16,5 @@ def union_observations(*frames: DataFrame, start: DataFrame | None = None) -> Da
     if start is None:
         if not frames:
             raise ValueError("union_observations needs a frame or a start relation")
-        first = frames[0]
-        start = first.sparkSession.createDataFrame([], first.schema)
+        start = frames[0].limit(0)  # the optimizer removes it from the plan
     return reduce(lambda a, b: a.unionByName(b), frames, start)

@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     from surfacewx.sinks.csv import show_report, write_report_csv
     from surfacewx.sources.stations import read_stations
 
-    builder = SparkSession.builder.appName("surfacewx")
+    builder = SparkSession.builder.appName("surfacewx").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if args.master:
         builder = builder.master(args.master)
     spark = builder.getOrCreate()
@@ -57,9 +57,9 @@ def main(argv: list[str] | None = None) -> int:
             spark, args.directory, args.stations, None, *centre, value_col=args.measure, mode=args.mode, persist=args.persist
         )
     if args.show:
-        show_report(report)
+        show_report(report, value_col=args.measure)
     else:
-        write_report_csv(report, args.output)
+        write_report_csv(report, args.output, value_col=args.measure)
     return 0
 
 

@@ -1,9 +1,10 @@
 """The user-level job: stations near a point -> pooled threshold -> outlier report.
 
 The selected stations (checkpointed once) are joined, size-checked broadcast,
-to the observations; the pooled statistics are a scalar subquery; the
-outliers are filtered against it, checkpointed, sorted by a range exchange
-and formatted. The observations are read twice: statistics, then filter.
+to the observations, which are filtered by the selection's key range first;
+the pooled statistics are a scalar subquery; the outliers are filtered
+against it, sorted by a range exchange and formatted. Nothing runs over the
+observations until the report is read.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfacewx.operators.joins import broadcast_bound, dimension_join, enrich
+from surfacewx.operators.joins import dimension_join, enrich, semi_join
 from surfacewx.operators.outliers import find_outliers
-from surfacewx.operators.radius import within_radius
+from surfacewx.operators.radius import selected_ids, within_radius
 from surfacewx.operators.report import format_report, sort_report
 from surfacewx.operators.stats import pooled_stats
 from surfacewx.schema import (
@@ -23,14 +24,27 @@ from surfacewx.schema import (
     DEFAULT_LONGITUDE,
     DEFAULT_RADIUS_M,
 )
-from surfacewx.sources.observations import read_observations
+from surfacewx.sources.observations import parse_observations, read_observation_lines
 from surfacewx.sources.stations import read_stations
 
-# Above this many selected stations, raw files are not pruned by a literal id
-# list; the (broadcast or skew-safe shuffle) join with the selection filters instead.
+# Up to this many selected stations their ids are also given to the scan as
+# literals. Only a hint: the joins with the selection filter in any case.
 MAX_PRUNING_IDS = 10_000
 
 
+def pruned(obs: DataFrame, selection: DataFrame, obs_key: str, station_key: str) -> DataFrame:
+    """``obs`` within the selection's key range, and with few stations among
+    its ids: literal filters that a scan can skip files and row groups by.
+    They are implied by the join with the selection, which stays."""
+    n, low, high = selection.agg(F.count(F.lit(1)), F.min(station_key), F.max(station_key)).first()
+    if low is None:
+        return obs.limit(0)
+    obs = obs.filter(F.col(obs_key).between(F.lit(low), F.lit(high)))
+    if n <= MAX_PRUNING_IDS:
+        obs = obs.filter(F.col(obs_key).isin(sorted({r[0] for r in selection.select(station_key).collect() if r[0] is not None})))
+    return obs
+
+
 def selected_observations(
     obs: DataFrame,
     stations: DataFrame,
@@ -61,7 +75,8 @@ def selected_observations(
         from surfacewx.session import materialize
 
         sel = materialize(sel)
-    joined = dimension_join(obs, sel, obs_key, station_key, "inner")
+    narrow = [c for c in ("month", "day", "hour", "event_id") if c in obs.columns]
+    joined = dimension_join(pruned(obs, sel, obs_key, station_key), sel, obs_key, station_key, "inner", salt_cols=narrow or None)
     if "observation_id" not in joined.columns:
         joined = joined.withColumn(
             "observation_id", F.concat_ws("-", F.col("station_id"), F.col("year").cast("string"))
@@ -84,7 +99,7 @@ def detect(
     keep: list[str] | tuple = (),
     formatted: bool = True,
     sort: bool = True,
-    materialize: bool = True,
+    materialize: bool = False,
 ) -> DataFrame:
     """Report of the observations strictly above mean + delta * stddev.
 
@@ -94,9 +109,11 @@ def detect(
     ``sort`` is off); with ``formatted`` it has the 12 report text columns
     (plus ``keep``), otherwise the joined rows.
 
-    With ``materialize`` the outlier rows are checkpointed before the sort
-    (see ``materialize_outliers``), so the observations are read twice
-    (statistics, filter) and not a third time by the sort's sampling job.
+    The observations are read for the statistics, by the sort's sampling job
+    and for the rows. On an ingested table the last two are scans with the
+    threshold pushed down. With ``materialize`` the outlier rows are
+    checkpointed before the sort (see ``materialize_outliers``), which spares
+    the sampling job's read: worth it on raw text.
     """
     cols = ["station_id", "station_name", "country", "state", "latitude", "longitude", "elevation"]
     joined = selected_observations(
@@ -111,11 +128,11 @@ def materialize_outliers(out: DataFrame) -> DataFrame:
 
     A global sort samples its input in a separate job before shuffling it,
     and that job re-runs the whole upstream plan: a full extra scan of the
-    observations. The outliers are few by construction (for delta >= 1,
-    Cantelli's inequality bounds them by 1 / (1 + delta^2) of the rows, e.g.
-    10% at delta 3, and far fewer in practice), so writing them once is
-    cheaper than scanning the source again, and it fixes the rows for any
-    task that is retried later.
+    observations. Writing the outliers spares it and fixes the rows for any
+    task that is retried later. It pays where reading is dear (raw text) and
+    outliers are few, as they are for a delta of 1 or more (at most
+    1 / (1 + delta^2) of the rows); for a low or negative delta it would
+    write most of the input.
     """
     from surfacewx.session import materialize
 
@@ -141,7 +158,7 @@ def outlier_report(
     keep: list[str] | tuple = (),
     formatted: bool = True,
     sort: bool = True,
-    materialize: bool = True,
+    materialize: bool = False,
 ) -> DataFrame:
     """Report of the observations of ``obs`` above mean + delta * stddev,
     pooled over all of ``obs`` (no radius: the caller chose the inputs).
@@ -151,8 +168,11 @@ def outlier_report(
     and materialized like ``detect``.
     """
     meta = ["station_id", "station_name", "country", "state", "latitude", "longitude", "elevation"]
-    st = stations.select(*dict.fromkeys([station_key, *meta]))
+    own = "station_id" in obs.columns  # the record's own id, known whether the station is or not
+    st = stations.select(*dict.fromkeys([station_key, *(c for c in meta if not (own and c == "station_id" != station_key))]))
     out = enrich(find_outliers(obs, value_col, delta), st, obs_key, station_key)
+    if not own:
+        out = out.withColumn("station_id", F.coalesce(F.col("station_id"), F.col(obs_key).cast("string")))
     if "observation_id" not in out.columns:
         out = out.withColumn("observation_id", F.concat_ws("-", F.col("station_id"), F.col("year").cast("string")))
     return _finish(out, value_col, tiebreak, keep, formatted, sort, materialize)
@@ -190,13 +210,15 @@ def detect_files(
     mode: str = "FAILFAST",
     single_file: bool = True,
     persist: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``detect`` on raw observation files and a station CSV; writes the CSV
     report to ``output`` when given and returns the report DataFrame.
 
-    When the selection is small, its ids are passed as literals so the scan
-    opens only those stations' files; otherwise every file is read and the
-    join with the selection filters rows.
+    Lines are joined with the selection by their file's name before they are
+    parsed, so a bad line matters only in a selected station's file, however
+    many are selected. With few, their ids are also literals, and the scan
+    opens no other file.
 
     The statistics and the outlier filter each read the observations. On raw
     text that means two parses; ``persist`` keeps the parsed observations
@@ -205,19 +227,19 @@ def detect_files(
     ``output`` is given. For repeated runs, ingest to Parquet instead.
     """
     stations = read_stations(spark, stations_path, mode=mode)
-    ids_df = within_radius(stations, latitude, longitude, elevation, radius_m).select("station_id")
-    bound = min(MAX_PRUNING_IDS, broadcast_bound(ids_df))
-    ids = [r.station_id for r in ids_df.limit(bound + 1).collect()]
-    obs = read_observations(spark, observations_path, station_ids=ids if len(ids) <= bound else None, mode=mode)
+    ids = materialize_outliers(selected_ids(stations, latitude, longitude, elevation, radius_m))
+    lines = read_observation_lines(spark, observations_path, partitions=partitions)
+    lines = semi_join(pruned(lines, ids, "station_id", "station_id"), ids, "station_id")
+    obs = parse_observations(lines, mode=mode)
     if persist:
         from pyspark import StorageLevel
 
         obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
-    report = detect(obs, stations, latitude, longitude, elevation, radius_m, delta, value_col)
+    report = detect(obs, stations, latitude, longitude, elevation, radius_m, delta, value_col, materialize=True)
     if output is not None:
         from surfacewx.sinks.csv import write_report_csv
 
-        write_report_csv(report, output, single_file=single_file)
+        write_report_csv(report, output, single_file=single_file, value_col=value_col)
         if persist:
             obs.unpersist()
     return report

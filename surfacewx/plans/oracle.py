@@ -97,6 +97,12 @@ ALL_STATS = """,
 st_all AS (SELECT avg(wind_speed) AS m, stddev_samp(wind_speed) AS s FROM obs),
 outl AS (SELECT * FROM obs WHERE wind_speed > (SELECT m + 3e0 * s FROM st_all))"""
 
+# Outliers of which some have a station that the catalogue lacks, with the id of their own record.
+SOME_UNKNOWN = """,
+unk AS (
+  SELECT * REPLACE (k2 AS k), printf('%06d', 720000 + k2) || '-00000' AS record_id
+  FROM (SELECT *, CASE WHEN event_id % 41 = 5 THEN k + 10000000 ELSE k END AS k2 FROM outl))"""
+
 # Rendered observation lines (mirror of the Spark rendering + variations).
 LINES = """,
 lines0 AS (
@@ -178,7 +184,9 @@ SELECT obs.event_id, l.observation_id, regexp_extract(l.observation_id, '^(.*)-'
        CASE WHEN bad THEN NULL ELSE obs.wind_speed_x10 END AS wind_speed_x10,
        CASE WHEN bad THEN l.value END AS _corrupt_record
 FROM obs JOIN (SELECT *, event_id % 7 = 0 AS bad FROM damaged) l ON obs.event_id = l.event_id""",
-    "parse_stations": BASE + f"\nSELECT {STATION_COLS} FROM stations",
+    "parse_stations": BASE + f"""
+SELECT {STATION_COLS} FROM (
+  SELECT * REPLACE (CASE WHEN s_suppkey % 6 = 2 THEN station_name || chr(92) ELSE station_name END AS station_name) FROM stations)""",
     "observation_key": BASE + FILE_NAMES + "\nSELECT event_id, path, observation_id FROM keys",
     "station_key": BASE + FILE_NAMES + """
 SELECT event_id, observation_id,
@@ -196,8 +204,7 @@ SELECT station_id, station_name, line_no FROM (
 WHERE rn = 1""",
     "station_lookup": BASE + f"""
 SELECT {STATION_COLS} FROM stations
-WHERE station_id IN ('720000-00015', '720001-00019', '720002-00018', '720001-00020', '720002-00016',
-                     '720000-00002', '720001-00008', '720002-00017', '999999-99999')""",
+WHERE station_id IN (SELECT station_id FROM stations ORDER BY s_suppkey LIMIT 3)""",
     "station_label": BASE + """
 SELECT station_id,
        station_id || ': ' || coalesce(station_name, '') || ',' || coalesce(country, '') || ','
@@ -208,6 +215,14 @@ SELECT station_id,
 FROM stations""",
     "distance": BASE_SEL + "\nSELECT station_id, round(distance_m, 3) AS distance_m FROM near",
     "within_radius": BASE_SEL + "\nSELECT station_id, round(distance_m, 3) AS distance_m FROM sel",
+    "within_radius_any_coordinates": BASE_SEL.replace("FROM stations),", "FROM moved),").replace(
+        "hav AS (",
+        """moved AS (
+  SELECT * REPLACE (CASE WHEN s_suppkey % 4 = 2 THEN 180e0 - latitude ELSE latitude END AS latitude,
+    CASE s_suppkey % 4 WHEN 1 THEN longitude + 360e0 WHEN 2 THEN longitude + 180e0 ELSE longitude END AS longitude) FROM stations),
+hav AS (""",
+    ) + "\nSELECT station_id, latitude, longitude, round(distance_m, 3) AS distance_m FROM sel",
+    "selected_ids": BASE_SEL + "\nSELECT DISTINCT station_id FROM sel",
     "semi_join_stations": BASE_SEL + """
 SELECT event_id, k, wind_speed FROM obs WHERE k IN (SELECT s_suppkey FROM sel)""",
     "pooled_stats": BASE + """
@@ -241,20 +256,28 @@ FROM st, (VALUES (1e0), (2e0), (3e0)) AS d(delta)""",
     "find_outliers_lineitem": """
 SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
 WHERE l_extendedprice > (SELECT avg(l_extendedprice) + 1e0 * stddev_samp(l_extendedprice) FROM lineitem)""",
-    "union_observations": BASE + """
-SELECT event_id, k, year, month, day, hour, wind_speed FROM obs""",
-    "enrich_outliers": BASE_SEL + ALL_STATS + """
-SELECT outl.event_id, outl.k, outl.wind_speed, sel.station_id, sel.station_name, sel.latitude, sel.longitude,
+    "union_observations": BASE + """,
+more AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+         CAST(day(o_orderdate) AS INTEGER) AS day, 0 AS hour, CAST(o_totalprice AS DOUBLE) AS wind_speed FROM orders)
+SELECT event_id AS id, year, month, day, hour, wind_speed FROM obs
+UNION ALL SELECT * FROM more UNION ALL SELECT * FROM more""",
+    "enrich_outliers": BASE_SEL + ALL_STATS + SOME_UNKNOWN + """
+SELECT outl.event_id, outl.k, outl.record_id, outl.wind_speed, sel.station_id, sel.station_name, sel.latitude, sel.longitude,
        sel.elevation
-FROM outl LEFT JOIN sel ON outl.k = sel.s_suppkey""",
+FROM unk outl LEFT JOIN sel ON outl.k = sel.s_suppkey""",
     "format_report": BASE + ALL_STATS + f""",
 r AS (
   SELECT outl.*, s.station_id, s.station_name, s.country, s.state, s.latitude, s.longitude, s.elevation
   FROM outl LEFT JOIN stations s ON outl.k = s.s_suppkey)
 SELECT {REPORT_SELECT}, event_id FROM r""",
 }
-# The K3 body reports the same rows as P2 (all outliers, left lookup).
-ORACLE["outlier_report"] = ORACLE["format_report"]
+# The K3 body: as P2, but with the record's own id, and some stations unknown.
+ORACLE["outlier_report"] = BASE + ALL_STATS + SOME_UNKNOWN + f""",
+r AS (
+  SELECT o.*, o.record_id AS station_id, s.station_name, s.country, s.state, s.latitude, s.longitude, s.elevation
+  FROM unk o LEFT JOIN stations s ON o.k = s.s_suppkey)
+SELECT {REPORT_SELECT}, event_id FROM r"""
 
 # The whole job around another centre (Dallas, 139 m), 300 km, delta 2.
 ORACLE["detect_dallas"] = (

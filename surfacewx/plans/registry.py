@@ -19,9 +19,9 @@ from surfacewx.functions.keys import observation_key, station_key
 from surfacewx.operators.joins import dimension_join, enrich, semi_join
 from surfacewx.operators.partitioning import spread
 from surfacewx.operators.outliers import find_outliers, threshold_table
-from surfacewx.operators.radius import with_distance, within_radius
-from surfacewx.operators.report import format_report
-from surfacewx.operators.sort import with_position
+from surfacewx.operators.radius import selected_ids, with_distance, within_radius
+from surfacewx.operators.report import format_report, sort_report
+from surfacewx.operators.sort import number_rows
 from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats, pooled_stats_many
 from surfacewx.operators.union import union_observations
 from surfacewx.plans.detect import detect, detect_stats, outlier_report
@@ -36,23 +36,16 @@ from surfacewx.schema import (
     REPORT_FIELDS,
     STATION_COLUMNS,
 )
-from surfacewx.sources.fixtures import observations_from_events, stations_from_supplier
+from surfacewx.sources.fixtures import observations_from_events, station_count, stations_from_supplier
 from surfacewx.sources.observations import parse_observations, render_observation_lines
 from surfacewx.sources.stations import dedupe_last, lookup_stations, parse_station_lines, render_station_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 CENTRE = (DEFAULT_LATITUDE, DEFAULT_LONGITUDE, DEFAULT_ELEVATION)
-# Boundaries of the union query's time-range inputs (weekly).
-UNION_BOUNDS = ["2024-01-08 00:00:00", "2024-01-15 00:00:00", "2024-01-22 00:00:00", "2024-01-29 00:00:00"]
-# Station ids looked up by the point-lookup query: suppliers 0-2 as they are
-# keyed in the sf 0.001, 0.01 and 0.1 tables, and one unknown id.
-LOOKUP_IDS = [
-    "720000-00015", "720001-00019", "720002-00018",
-    "720001-00020", "720002-00016",
-    "720000-00002", "720001-00008", "720002-00017",
-    "999999-99999",
-]
+UNKNOWN_ID = "999999-99999"
+# Added to the station key of every 41st event: a station that the catalogue lacks.
+UNKNOWN_STATION = 10_000_000
 
 
 _TABLES: dict[tuple[str, str], DataFrame] = {}
@@ -72,21 +65,21 @@ def _stations(spark: SparkSession, d: str) -> DataFrame:
     return stations_from_supplier(_table(spark, d, "supplier"))
 
 
-_COUNTS: dict[tuple[str, str], int] = {}
+def _obs(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    ev = events if events is not None else _table(spark, d, "events")
+    return observations_from_events(ev, station_count(_table(spark, d, "supplier")))
 
 
-def _station_count(spark: SparkSession, d: str) -> Column:
-    """Number of stations (suppliers), counted once per session like the
-    table handle itself; a literal lets Catalyst fold the key arithmetic."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _COUNTS:
-        _COUNTS[key] = int(_table(spark, d, "supplier").count())
-    return F.lit(_COUNTS[key])
+def _obs_some_unknown(spark: SparkSession, d: str) -> DataFrame:
+    """Observations of which every 41st is of a station that the catalogue
+    lacks, all with the station id that their own file would name."""
+    k = F.when(F.col("event_id") % 41 == 5, F.col("k") + UNKNOWN_STATION).otherwise(F.col("k"))
+    obs = _obs(spark, d).withColumn("k", k)
+    return obs.withColumn("record_id", F.concat(F.format_string("%06d", F.lit(720000) + F.col("k")), F.lit("-00000")))
 
 
-def _obs(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
-    ev = events if events is not None else _table(spark, d, "events")
-    return observations_from_events(ev, _station_count(spark, d))
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
 
 
 def _r(c: str | Column, digits: int) -> Column:
@@ -124,15 +117,12 @@ def selected_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sorted_report(spark: SparkSession, d: str) -> DataFrame:
-    """O1: the C1 report with each row's position in the report order."""
-    obs = _obs(spark, d)
+    """O1: the C1 report with each row's position in the order it comes in."""
     rows = detect(
-        obs, _stations(spark, d), *CENTRE, DEFAULT_RADIUS_M, DEFAULT_DELTA,
+        _obs(spark, d), _stations(spark, d), *CENTRE, DEFAULT_RADIUS_M, DEFAULT_DELTA,
         obs_key="k", station_key="s_suppkey", formatted=False, sort=False,
     )
-    keys = ["year", "month", "day", "hour", "observation_id", "event_id"]
-    positioned = with_position(rows, keys, materialize=False)  # detect materialized the rows
-    return format_report(positioned, keep=["event_id", "position"])
+    return format_report(number_rows(sort_report(rows, ["event_id"])), keep=["event_id", "position"])
 
 
 # ---------------------------------------------------------------- scans
@@ -143,7 +133,7 @@ def _event_observation_id(k: Column, year: Column) -> Column:
 def _rendered_lines(spark: SparkSession, d: str) -> DataFrame:
     """Observation lines rendered from every event, with valid variations:
     blanks and tabs around the line, and an extra integer token."""
-    events = spread(_table(spark, d, "events"))  # text work is CPU-heavy: use every core
+    events = spread(_table(spark, d, "events"), _cores(spark))  # text work is CPU-heavy: use every core
     obs = _obs(spark, d, events).withColumn("observation_id", _event_observation_id(F.col("k"), F.col("year")))
     obs = obs.withColumn("station_id", F.lit(None).cast("string"))
     lines = render_observation_lines(obs, keep=["event_id"])
@@ -185,15 +175,19 @@ def parse_malformed_permissive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_stations(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue rendered to quoted CSV lines, parsed back."""
-    lines = render_station_lines(_stations(spark, d))
+    """Catalogue rendered to quoted CSV lines, parsed back.
+    Some names end in a backslash, some lines have a field too many."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 6 == 2, F.concat("station_name", F.lit("\\"))).otherwise(F.col("station_name"))
+    lines = render_station_lines(_stations(spark, d).withColumn("station_name", name), keep=["s_suppkey"])
+    lines = lines.withColumn("value", F.when(k % 8 == 3, F.concat("value", F.lit(',"EXTRA"'))).otherwise(F.col("value")))
     return parse_station_lines(lines).select(*STATION_COLUMNS)
 
 
 def _file_names(spark: SparkSession, d: str) -> DataFrame:
     """One synthetic observation-file path per event: plain, .gz, .txt.gz,
     and a non-observation name."""
-    obs = _obs(spark, d, spread(_table(spark, d, "events")))  # regex work: use every core
+    obs = _obs(spark, d, spread(_table(spark, d, "events"), _cores(spark)))  # text work: use every core
     e = F.col("event_id")
     base = F.concat(F.format_string("%06d", F.lit(720000) + F.col("k")), F.lit("-99999-"), F.col("year").cast("string"))
     suffix = F.when(e % 3 == 0, F.lit(".gz")).when(e % 3 == 1, F.lit("")).otherwise(F.lit(".txt.gz"))
@@ -227,8 +221,9 @@ def stations_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def station_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Point lookup of a few ids."""
-    return lookup_stations(_stations(spark, d), LOOKUP_IDS).select(*STATION_COLUMNS)
+    """Point lookup of the first three stations' ids and of an unknown one."""
+    first = _stations(spark, d).orderBy("s_suppkey").limit(3).select("station_id").collect()
+    return lookup_stations(_stations(spark, d), [r.station_id for r in first] + [UNKNOWN_ID]).select(*STATION_COLUMNS)
 
 
 def station_label_q(spark: SparkSession, d: str) -> DataFrame:
@@ -244,11 +239,32 @@ def distance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def within_radius_q(spark: SparkSession, d: str) -> DataFrame:
-    """F1 F2 A4: the stations within the default radius."""
+    """F1 F2: the stations within the default radius."""
     s = within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M)
     return s.select("station_id", _r("distance_m", 3).alias("distance_m"))
 
 
+def _any_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Stations of which a quarter each are stored a full turn east or over the pole: the same places."""
+    k, lat, lon = F.col("s_suppkey"), F.col("latitude"), F.col("longitude")
+    return _stations(spark, d).withColumns({
+        "latitude": F.when(k % 4 == 2, F.lit(180.0) - lat).otherwise(lat),
+        "longitude": F.when(k % 4 == 1, lon + 360.0).when(k % 4 == 2, lon + 180.0).otherwise(lon),
+    })
+
+
+def within_radius_any_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """F2 over stored coordinates beyond [-90, 90] and [-180, 180]."""
+    s = within_radius(_any_coordinates(spark, d), *CENTRE, DEFAULT_RADIUS_M)
+    return s.select("station_id", "latitude", "longitude", _r("distance_m", 3).alias("distance_m"))
+
+
+def selected_ids_q(spark: SparkSession, d: str) -> DataFrame:
+    """A4: distinct ids of the stations within the radius, from a catalogue with repeated lines."""
+    s = _stations(spark, d)
+    return selected_ids(s.unionByName(s.filter(F.col("s_suppkey") % 3 == 0)), *CENTRE, DEFAULT_RADIUS_M)
+
+
 def semi_join_stations(spark: SparkSession, d: str) -> DataFrame:
     """Observations of the selected stations."""
     sel = materialize(within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M).select("s_suppkey"))
@@ -299,35 +315,30 @@ def find_outliers_lineitem(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- union / join / report
 def union_observations_q(spark: SparkSession, d: str) -> DataFrame:
-    """Observations read as separate time-range inputs (as the job
-    reads one input per file), unioned from the empty relation.
-
-    Each branch is a range predicate on the stored timestamp, so on a
-    time-ordered or time-partitioned table every branch reads only its own
-    row groups / partitions; the open first and last ranges and the NULL
-    branch cover every row whatever the table holds.
-    """
-    ev = _table(spark, d, "events")
-    ts = F.col("ts")
-    bounds = [F.lit(b).cast("timestamp_ntz") for b in UNION_BOUNDS]
-    branches = [ev.filter(ts < bounds[0])]
-    branches += [ev.filter((ts >= lo) & (ts < hi)) for lo, hi in zip(bounds, bounds[1:])]
-    branches += [ev.filter(ts >= bounds[-1]), ev.filter(ts.isNull())]
-    frames = [_obs(spark, d, b).select("event_id", "k", "year", "month", "day", "hour", "wind_speed") for b in branches]
-    return union_observations(*frames)
+    """Bag union, from the empty relation, of inputs that are stored
+    apart (readings from ``events`` and from ``orders``), one of them given
+    twice, so that its rows count twice."""
+    events = _obs(spark, d).select(F.col("event_id").alias("id"), "year", "month", "day", "hour", "wind_speed")
+    at = F.col("o_orderdate")
+    orders = _table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("long").alias("id"), F.year(at).alias("year"), F.month(at).alias("month"), F.dayofmonth(at).alias("day"),
+        F.lit(0).alias("hour"), F.col("o_totalprice").cast("double").alias("wind_speed"),
+    )
+    return union_observations(events, orders, orders)
 
 
 def enrich_outliers(spark: SparkSession, d: str) -> DataFrame:
     """Outliers of all observations, left-joined with the selected stations
-    (outliers of other stations keep NULL metadata)."""
+    (outliers of other stations, and of stations that the catalogue lacks,
+    keep their own id and NULL metadata)."""
     sel = materialize(
         within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M).select(
             "s_suppkey", "station_id", "station_name", "latitude", "longitude", "elevation"
         )
     )
-    out = find_outliers(_obs(spark, d), "wind_speed", 3.0).select("event_id", "k", "wind_speed")
+    out = find_outliers(_obs_some_unknown(spark, d), "wind_speed", 3.0).select("event_id", "k", "record_id", "wind_speed")
     return enrich(out, sel, "k", "s_suppkey").select(
-        "event_id", "k", "wind_speed", "station_id", "station_name", "latitude", "longitude", "elevation"
+        "event_id", "k", "record_id", "wind_speed", "station_id", "station_name", "latitude", "longitude", "elevation"
     )
 
 
@@ -342,9 +353,10 @@ def format_report_q(spark: SparkSession, d: str) -> DataFrame:
 
 def outlier_report_q(spark: SparkSession, d: str) -> DataFrame:
     """K3 body: outliers of all given observations (no radius), sorted, with
-    a left lookup of their stations, as report text."""
+    a left lookup of their stations, as report text. A record keeps its own
+    id, also where the catalogue lacks the station."""
     return outlier_report(
-        _obs(spark, d), _stations(spark, d), DEFAULT_DELTA, obs_key="k", station_key="s_suppkey",
+        _obs_some_unknown(spark, d).withColumnRenamed("record_id", "station_id"), _stations(spark, d), DEFAULT_DELTA, obs_key="k", station_key="s_suppkey",
         tiebreak=["event_id"], keep=["event_id"],
     )
 
@@ -365,6 +377,8 @@ QUERIES: dict[str, Query] = {
     "station_label": station_label_q,
     "distance": distance,
     "within_radius": within_radius_q,
+    "within_radius_any_coordinates": within_radius_any_coordinates,
+    "selected_ids": selected_ids_q,
     "semi_join_stations": semi_join_stations,
     "pooled_stats": pooled_stats_q,
     "measure_stats": measure_stats,

@@ -120,5 +120,17 @@ REPORT_FIELDS = [
     "longitude",
     "elevation",
 ]
+# The field that holds the tested measure.
+VALUE_FIELD = "wind_speed_x10"
+
+
+def measure_header(name: str) -> str:
+    """Report header of a measure: tenths for scaled ones, as stored for integers."""
+    if name == "wind_speed":
+        return REPORT_COLUMNS[REPORT_FIELDS.index(VALUE_FIELD)]
+    words = name.replace("_", " ").upper()
+    return words if dict(MEASURES).get(name) == "int" else words + "*10"
+
+
 # Sort keys of the report: time, then the observation (file) identifier.
 REPORT_SORT_KEYS = ["year", "month", "day", "hour", "observation_id"]

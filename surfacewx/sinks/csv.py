@@ -9,43 +9,24 @@ from typing import TextIO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.schema import REPORT_COLUMNS, REPORT_FIELDS
+from surfacewx.schema import REPORT_COLUMNS, REPORT_FIELDS, VALUE_FIELD, measure_header
 
-# A single output file means a single writing task; above this many rows the
-# report is written as ordered part files instead.
-MAX_SINGLE_FILE_ROWS = 5_000_000
+def _header(value_col: str) -> list[str]:
+    return [measure_header(value_col) if f == VALUE_FIELD else h for f, h in zip(REPORT_FIELDS, REPORT_COLUMNS)]
 
 
-def _with_header_names(report: DataFrame) -> DataFrame:
-    return report.select(*[F.col(f).alias(h) for f, h in zip(REPORT_FIELDS, REPORT_COLUMNS)])
-
-
-def write_report_csv(
-    report: DataFrame,
-    path: str,
-    single_file: bool = True,
-    max_single_file_rows: int = MAX_SINGLE_FILE_ROWS,
-) -> bool:
+def write_report_csv(report: DataFrame, path: str, single_file: bool = True, value_col: str = "wind_speed") -> None:
     """Write a sorted, formatted report as CSV with the report header.
 
     ``path`` is an output directory (replaced). The rows keep the order of
-    ``report``. With ``single_file`` and at most ``max_single_file_rows`` rows
-    the order-preserving ``coalesce(1)`` gives one part file; otherwise the
-    range-sorted partitions become ordered part files. Returns whether one
-    file was written. A header is written even without rows.
-
-    To size the output without running the detection twice, the sorted
-    report is checkpointed first (to the session's checkpoint directory),
-    then counted and written from there.
+    ``report``: with ``single_file`` the order-preserving ``coalesce(1)``
+    gives one part file, written by one task whatever its size; without it
+    the range-sorted partitions become ordered part files, as a very large
+    report needs. A header is written even without rows; ``value_col`` names
+    its value column.
     """
-    one = False
+    out = report.select(*[F.col(f).alias(h) for f, h in zip(REPORT_FIELDS, _header(value_col))])
     if single_file:
-        from surfacewx.session import materialize
-
-        report = materialize(report)
-        one = report.count() <= max_single_file_rows
-    out = _with_header_names(report)
-    if one:
         out = out.coalesce(1)
     (
         out.write.mode("overwrite")
@@ -54,17 +35,16 @@ def write_report_csv(
         .option("nullValue", "")
         .csv(path)
     )
-    return one
 
 
-def write_report_stream(report: DataFrame, stream: TextIO) -> int:
+def write_report_stream(report: DataFrame, stream: TextIO, value_col: str = "wind_speed") -> int:
     """Write the report as CSV lines to a text stream; returns the row count.
 
     Rows arrive one partition at a time (``toLocalIterator``), so the driver
     holds one partition, never the whole report.
     """
     w = csv.writer(stream, lineterminator="\n")
-    w.writerow(REPORT_COLUMNS)
+    w.writerow(_header(value_col))
     n = 0
     for row in report.select(*REPORT_FIELDS).toLocalIterator():
         w.writerow(["" if v is None else v for v in row])
@@ -73,6 +53,6 @@ def write_report_stream(report: DataFrame, stream: TextIO) -> int:
     return n
 
 
-def show_report(report: DataFrame, stream: TextIO | None = None) -> int:
+def show_report(report: DataFrame, stream: TextIO | None = None, value_col: str = "wind_speed") -> int:
     """Print the report (header and every row) to the screen."""
-    return write_report_stream(report, stream or sys.stdout)
+    return write_report_stream(report, stream or sys.stdout, value_col)

@@ -111,14 +111,16 @@ def read_observation_lines(
     spark: SparkSession,
     path: str | list[str],
     station_ids: Iterable[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Raw lines of every observation file under ``path`` (one directory, a
     glob, or a list of them) with ``observation_id`` and ``station_id``.
 
     Names without a ``-`` are not observation files and are skipped. With
     ``station_ids`` (literal ids) the scan opens only those stations' files.
-    Gzip files cannot be split; when there are fewer files than cores the
-    lines are spread before parsing.
+    Lines stay in the tasks that read them; gzip files cannot be split, so
+    where there are far fewer files than cores ``partitions`` can spread the
+    lines before they are parsed.
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = spark.read.format("text").load(paths)
@@ -130,7 +132,7 @@ def read_observation_lines(
     if station_ids is not None:
         ids = sorted(set(station_ids))
         df = df.filter(F.col("station_id").isin(ids))
-    return spread(df)
+    return spread(df, partitions)
 
 
 def read_observations(

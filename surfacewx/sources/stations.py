@@ -135,7 +135,9 @@ def read_stations(
     raw = (
         spark.read.schema(STATION_CSV_SCHEMA)
         .option("header", True)
-        .option("mode", mode.upper() if mode.upper() in ("FAILFAST", "DROPMALFORMED") else "PERMISSIVE")
+        .option("enforceSchema", True)
+        .option("escape", '"')  # a backslash is text
+        .option("mode", "PERMISSIVE")  # fields beyond the last are ignored, missing ones decode as empty
         .csv(paths)
     )
     # Line order: file, split start, then position inside the split (the id
@@ -162,7 +164,7 @@ def read_stations(
 def parse_station_lines(lines: DataFrame, line_col: str = "value", mode: str = "FAILFAST", keep: Iterable[str] = ()) -> DataFrame:
     """Decode catalogue CSV lines held in a column (no header) into STATION_SCHEMA."""
     ddl = ", ".join(f"`{n}` STRING" for n in STATION_CSV_FIELDS)
-    parsed = lines.select(F.from_csv(F.col(line_col), ddl).alias("_r"), *[F.col(k) for k in keep])
+    parsed = lines.select(F.from_csv(F.col(line_col), ddl, {"escape": '"'}).alias("_r"), *[F.col(k) for k in keep])
     return decode_station_fields(parsed.select("_r.*", *keep), mode, keep=keep)
 
 
@@ -190,5 +192,6 @@ def render_station_lines(stations: DataFrame, keep: Iterable[str] = ()) -> DataF
 
 
 def lookup_stations(stations: DataFrame, ids: Iterable[str]) -> DataFrame:
-    """Point lookup of literal station ids (pushed to the scan as an IN filter)."""
+    """Point lookup of literal station ids: an IN filter, which a Parquet scan
+    gets pushed where ``station_id`` is a stored column."""
     return stations.filter(F.col("station_id").isin(sorted(set(ids))))

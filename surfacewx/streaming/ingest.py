@@ -2,9 +2,11 @@
 
 New station-year files land in a directory over time. The same line decoder
 as the batch reader runs on a file-source stream, and the typed rows are
-appended to the year-partitioned Parquet table that ``detect`` reads. The
-file source remembers which files it has processed (in the checkpoint), so
-a restarted or retried query neither skips nor repeats a file.
+added to the Parquet table that ``detect`` reads, next to what a batch ingest
+wrote there. The file source remembers which files it has processed (in the
+checkpoint), and each micro-batch replaces its own ``batch`` partition, so a
+restarted or retried query neither skips nor repeats a file and the table
+stays plain Parquet.
 
 The detection itself stays a batch job: its threshold is pooled over all
 observations, which a running aggregate would only approximate.
@@ -12,19 +14,23 @@ observations, which a running aggregate would only approximate.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from surfacewx.functions.keys import observation_key, station_key
+from surfacewx.plans.ingest import write_observation_table
+from surfacewx.schema import OBSERVATION_COLUMNS
 from surfacewx.sources.observations import parse_observations
 
 
-def observation_stream(spark: SparkSession, directory: str, mode: str = "DROPMALFORMED", max_files_per_trigger: int | None = None) -> DataFrame:
+def observation_stream(spark: SparkSession, directory: str, mode: str = "FAILFAST", max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming DataFrame of typed observations from files arriving in ``directory``.
 
-    FAILFAST would stop the stream on one bad line, so the default drops
-    malformed lines; PERMISSIVE keeps them with ``_corrupt_record``.
+    As in the batch reader a malformed line stops the query (FAILFAST), unless
+    the caller chooses to drop such lines or to keep them (PERMISSIVE).
     """
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
@@ -43,7 +49,7 @@ def start_ingest(
     table_path: str,
     checkpoint: str,
     available_now: bool = True,
-    mode: str = "DROPMALFORMED",
+    mode: str = "FAILFAST",
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Append newly arrived files to the Parquet table at ``table_path``.
@@ -52,16 +58,11 @@ def start_ingest(
     incremental job); otherwise the query keeps polling the directory.
     """
     obs = observation_stream(spark, directory, mode, max_files_per_trigger)
-    # The file sink commits each batch through its metadata log, so a retried
-    # batch is written exactly once (foreachBatch + append would not be).
-    # Streams cannot sort, so streamed files are not station-ordered; a
-    # periodic batch rewrite (write_observation_table) restores the order.
-    w = (
-        obs.writeStream.format("parquet")
-        .option("path", table_path)
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("year")
-        .outputMode("append")
-    )
+    stream = f"{zlib.crc32(checkpoint.encode()):08x}"  # batches of another stream into the table have other names
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_observation_table(batch.select(*OBSERVATION_COLUMNS), table_path, "replace_batch", batch=f"stream-{stream}-{number}")
+
+    w = obs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -17,7 +17,7 @@ from surfacewx.operators import (
     with_position,
     within_radius,
 )
-from surfacewx.operators.joins import dimension_join
+from surfacewx.operators.joins import dimension_join, measured
 
 
 def _vals(spark, values, key=None):
@@ -176,13 +176,42 @@ def test_union_keeps_duplicates(spark):
     assert union_observations(a.limit(0)).count() == 0
 
 
-def test_spread_only_when_coarse(spark):
+def test_spread_only_when_asked(spark):
     from surfacewx.operators.partitioning import spread
 
     one = spark.range(0, 100, numPartitions=1)
     assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 100, numPartitions=6)
-    assert spread(many, 4) is many
+    assert spread(one, None) is one
+
+
+def test_long_strings_are_not_broadcast(spark):
+    fact = spark.range(50).select(F.col("id").alias("k"))
+    dim = spark.range(2000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 100_000).alias("t"), F.array(F.repeat(F.lit("y"), 10)).alias("a"))
+    assert checked_broadcast(dim)[1] is False and checked_broadcast(dim.drop("t"))[1] is True
+    assert measured(dim.select("t"))[1] >= 2000 * 100_000
+    joined = dimension_join(fact, dim, "k")
+    assert "BroadcastHashJoin Inner BuildRight" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 50
+
+
+def test_salt_from_named_columns_reads_only_them(spark, tmp_path):
+    path = str(tmp_path / "fact.parquet")
+    spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 24).alias("hour"), F.rand(1).alias("v"), F.lit("wide").alias("w1"), F.lit("wide").alias("w2")).write.parquet(path)
+    fact, dim = spark.read.parquet(path), spark.range(10).withColumnRenamed("id", "dk")
+    joined = salted_join(fact, dim, "k", "dk", "inner", buckets=4, salt_cols=["hour"]).agg(F.avg("v"))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(joined._jdf.queryExecution(), "formatted")
+    schema = next(x for x in plan.splitlines() if x.startswith("ReadSchema"))
+    assert "hour" in schema and "v:" in schema and "w1" not in schema and "w2" not in schema
+
+
+@pytest.mark.parametrize("longitude", [-95.366302, 264.633698, 180.0])
+def test_radius_keeps_unusual_coordinates(spark, longitude):
+    stations = spark.createDataFrame([("east", 29.761993, 264.633698, 12.0), ("usual", 29.761993, -95.366302, 12.0), ("over", 150.238007, 84.633698, 12.0), ("far", 99.999, -95.366302, 12.0)], "station_id string, latitude double, longitude double, elevation double")
+    near = {r.station_id for r in within_radius(stations, 29.761993, longitude, 12.0, 600_000.0).collect()}
+    assert near == (set() if longitude == 180.0 else {"east", "usual", "over"})
+    far = {r.station_id for r in within_radius(stations, 29.761993, -95.366302, 12.0, 8_000_000.0).collect()}
+    assert far == {"east", "usual", "over", "far"}
 
 
 def test_detect_hot_station_salted_equals_broadcast(spark):

@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from surfacewx.plans.oracle import ORACLE
+from surfacewx.plans.registry import QUERIES
 from surfacewx.schema import REPORT_FIELDS
 
-TABLES = ["supplier", "events", "lineitem"]
+TABLES = ["supplier", "events", "lineitem", "orders"]
 
 
 def _norm(v):
@@ -34,14 +36,15 @@ def duck(sf_small):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_mod.oracle_sql()) == set(entry_mod.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(entry_mod.oracle_sql()) <= set(entry_mod.queries())
 
 
-@pytest.mark.parametrize("key", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, sf_small, key):
-    df = entry_mod.queries()[key](spark, sf_small)
+    df = QUERIES[key](spark, sf_small)
     srows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(entry_mod.oracle_sql()[key])
+    cur = duck.execute(ORACLE[key])
     orows = cur.fetchall()
     ocols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(ocols)
