@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surfacewx.llm.common import mapped
+
 QUERY_CHUNK = 8192
 BLOCK = 2048
 
@@ -151,7 +153,7 @@ def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
                 for s in range(0, len(out), 1 << 16):
                     yield pa.RecordBatch.from_pylist([{"query_id": i, "vec_id": at, "score": x} for i, at, x in out[s : s + (1 << 16)]], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-        part = vectors.mapInArrow(run, schema)
+        part = mapped(vectors, run, schema)
         found = part if found is None else found.unionByName(part)
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

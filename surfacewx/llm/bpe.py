@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from surfacewx.llm.common import slices
+from surfacewx.llm.common import mapped, slices
 
 CACHED_WORDS = 500_000
 CACHED_PAIRS = 1_000_000
@@ -219,4 +219,4 @@ def encode_decode(df: DataFrame, vocabulary_path: str, text_col: str = "text", k
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*keep, "n_tokens", "ids", "decoded"])
 
     source = df.select(*keep, df[text_col].alias("_bpe_text"))
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *new]))
+    return mapped(source, run, T.StructType([*source.schema.fields[:-1], *new]))

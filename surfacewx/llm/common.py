@@ -3,8 +3,11 @@ components and sub-batches of Arrow data."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import surfacewx
 from surfacewx.session import ensure_checkpoint_dir
 
 #: A key with more than 1/MAX_HOT of all rows is hot; there are fewer than MAX_HOT of them.
@@ -93,6 +97,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: their Python
+    need not have it on its path. A package that already came as an archive
+    (``--py-files``) is left alone."""
+    sc, root = spark.sparkContext, Path(surfacewx.__file__).parent
+    if hasattr(sc, "_surfacewx_shipped") or not root.is_dir():
+        return
+    folder = tempfile.TemporaryDirectory()  # the driver's own: Spark serves the file to the executors from there
+    archive = f"{folder.name}/surfacewx-{sc.applicationId}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._surfacewx_shipped = folder  # goes with the application
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with the package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows and, but for single rows
     above it, ``size`` bytes of strings, so that what Python objects take

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import ascii_words, slices, wider, written
+from surfacewx.llm.common import ascii_words, mapped, slices, wider, written
 
 BLOCK_WINDOWS = 200_000
 SHINGLE = 3
@@ -44,7 +44,7 @@ def windows(benchmark: DataFrame, size: int = 10, item_col: str = "item_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], names=["item", "window"])
 
     texts = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string"))
-    return texts.mapInArrow(run, "item string, window string").groupBy("window").agg(F.collect_set("item").alias("items"))
+    return mapped(texts, run, "item string, window string").groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
 def _shingles(words: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
@@ -78,7 +78,7 @@ def _occurrences(docs: DataFrame, text_col: str, shingles: set) -> Counter:
                 seen.update(s for _, s in _at(ascii_words(text), sent.value))
         yield pa.RecordBatch.from_arrays([pa.array([b" ".join(s).decode() for s in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
 
-    counts = docs.select(text_col).mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    counts = mapped(docs.select(text_col), run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
     return Counter({tuple(r.s.encode().split(b" ")): r.n for r in counts.toLocalIterator()})
 
 
@@ -142,6 +142,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str =
                 new = [pa.array(n_words, pa.int32()), pa.array(hits, spans), pa.array(items, names)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=b.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = mapped(out, run, schema)
     n_hit = F.aggregate(hits_col, F.lit(0), lambda a, x: a + x["last"] - x["first"] + 1).cast("long")
     return out.select(*docs.columns, F.col(n_words_col).cast("long").alias(n_words_col), n_hit.alias(n_hit_col), hits_col, items_col)

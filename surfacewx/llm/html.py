@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import slices
+from surfacewx.llm.common import mapped, slices
 
 ROWS_PER_RANGE = 2000
 MAX_RANGES = 4096
@@ -279,7 +279,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(pages.schema[id_col].dataType)
-    parsed = source.select("id", "url", "host", "path", "tie", "html").mapInArrow(parse, schema)
+    parsed = mapped(source.select("id", "url", "host", "path", "tie", "html"), parse, schema)
     parts = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))) if ranges > 1 else 1
     dealt = parsed.repartition(parts, "part").sortWithinPartitions("part", *order)
-    return dealt.mapInArrow(difference, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    return mapped(dealt, difference, f"`{id_col}` {kind}, `{url_col}` string, text string")

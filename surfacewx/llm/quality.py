@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import slices, wider
+from surfacewx.llm.common import mapped, slices, wider
 
 DIMENSIONS = 1 << 18
 FIT_ROWS = 12_000
@@ -132,8 +132,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thresholds.tobytes()], pa.binary())], names=["w", "t"])
 
     # A repeated id can bring more rows than were chosen: the bound holds for rows too.
-    ready = found.mapInArrow(make, "h long, grade int, i binary, v binary").orderBy("h").limit(fit_rows)
-    row = ready.repartition(1).mapInArrow(learn, "w binary, t binary").first()
+    ready = mapped(found, make, "h long, grade int, i binary, v binary").orderBy("h").limit(fit_rows)
+    row = mapped(ready.repartition(1), learn, "w binary, t binary").first()
     if row is None:  # no rated row at all
         return fit([], grades)
     return OrdinalModel(np.frombuffer(row.w, np.float32), np.frombuffer(row.t, np.float64))
@@ -155,4 +155,4 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least
             made = [pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([float(t[at_least - 1]) for t in tails], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *into])
 
-    return docs.mapInArrow(run, wider(docs, **dict.fromkeys(into, "double")))
+    return mapped(docs, run, wider(docs, **dict.fromkeys(into, "double")))

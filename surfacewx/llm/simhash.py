@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import components, fresh, join_unique, slices, wider, written
+from surfacewx.llm.common import components, fresh, join_unique, mapped, slices, wider, written
 
 BLOCK = 4096
 MAX_BLOCKS = 256
@@ -71,7 +71,7 @@ def with_fingerprint(df: DataFrame, id_col: str, text_col: str, words: int = 3,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(fps, ">i8").astype(np.int64))], names=[id_col, "fp"])
 
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, fp long"
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(df.select(id_col, text_col), run, schema)
 
 
 def index_sets(min_matches: int, groups: int) -> list[tuple[int, ...]]:
@@ -166,7 +166,7 @@ def links(fps: DataFrame, n: int, distance: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
     dealt = tiles.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "fp")
-    return dealt.mapInArrow(run, "u long, v long")
+    return mapped(dealt, run, "u long, v long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -211,7 +211,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
             fps = b"".join([fingerprint(t, words, seed) for t in b.column(text_col).to_pylist()])
             yield b.append_column(print_col, pa.array(np.frombuffer(fps, ">i8").astype(np.int64)))
 
-    full = written(df.mapInArrow(run, wider(df, **{print_col: "long"})), "printed")
+    full = written(mapped(df, run, wider(df, **{print_col: "long"})), "printed")
     rows = full.select(F.col(id_col).alias("id"), F.col(print_col).alias("fp"))
     lookup, total = _components_of(rows, "id", distance)
     lowest = join_unique(rows, lookup, "fp", "n", total).filter(F.col("id").eqNullSafe(F.col("component_id")))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import ascii_words, slices, wider
+from surfacewx.llm.common import ascii_words, mapped, slices, wider
 
 BITS = 22
 DIMENSIONS = 1 << BITS
@@ -159,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((at.astype(np.int32).tobytes(), pa.binary()), ((model.weights(at) * values(at)).astype(np.float32).tobytes(), pa.binary()), (float(bias), pa.float64()))], names=["i", "w", "b"])
 
     # A repeated id can bring more rows than were chosen: the bound holds for rows too.
-    ready = found.mapInArrow(make, "h long, label int, x binary").orderBy("h").limit(fit_rows)
-    row = ready.repartition(1).mapInArrow(learn, "i binary, w binary, b double").first()
+    ready = mapped(found, make, "h long, label int, x binary").orderBy("h").limit(fit_rows)
+    row = mapped(ready.repartition(1), learn, "i binary, w binary, b double").first()
     if row is None:  # no labelled row at all
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     return Model(np.frombuffer(row.i, np.int32), np.frombuffer(row.w, np.float32), row.b)
@@ -180,4 +180,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
             scores = sent.value.scores(b.column(at).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, into])
 
-    return docs.mapInArrow(run, wider(docs, **{into: "double"}))
+    return mapped(docs, run, wider(docs, **{into: "double"}))

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import join_unique, shared_path, slices, written
+from surfacewx.llm.common import join_unique, mapped, shared_path, slices, written
 
 ARCHIVE_BYTES = 8 << 20
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.jsonl", "datapackage.json"
@@ -196,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = 0, archive_
         if held:
             yield put(held)
 
-    return written(rows.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return written(mapped(rows, run, "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False, tasks: int | None = None) -> DataFrame:
@@ -224,7 +224,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False, tasks: int | None
                         yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
     n = tasks or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(n, "path").mapInArrow(run, schema)
+    return mapped(manifest.select("path").repartition(n, "path"), run, schema)
 
 
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
