@@ -149,11 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows.sort()
         model = Ftrl()
         order = np.random.default_rng(0)
-        index = [np.append(np.frombuffer(x, np.int32), np.int32(DIMENSIONS)) for *_, x in rows]
-        sets = [(x, values(x)) for x in index]
+        sets = [(np.frombuffer(x, np.int32), label) for _, label, x in rows]  # no copies of the features
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
-                model.learn(*sets[i], rows[i][1])
+                index = np.append(sets[i][0], np.int32(DIMENSIONS))
+                model.learn(index, values(index), sets[i][1])
         at = np.flatnonzero(np.abs(model.z[:DIMENSIONS]) > model.l1)
         bias = model.weights(np.array([DIMENSIONS]))[0]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((at.astype(np.int32).tobytes(), pa.binary()), ((model.weights(at) * values(at)).astype(np.float32).tobytes(), pa.binary()), (float(bias), pa.float64()))], names=["i", "w", "b"])
