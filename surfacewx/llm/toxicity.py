@@ -79,7 +79,7 @@ def values(index: np.ndarray) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal logistic regression on sets of coordinates with fixed values."""
 
-    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 5.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)  # the last coordinate is the bias
 
