@@ -279,6 +279,15 @@ r AS (
   FROM unk o LEFT JOIN stations s ON o.k = s.s_suppkey)
 SELECT {REPORT_SELECT}, event_id FROM r"""
 
+# The same rows through files: the catalogue, the selected stations' readings, the whole job.
+ORACLE["station_scan"] = BASE + f"\nSELECT {STATION_COLS} FROM stations"
+ORACLE["observation_scan"] = BASE_SEL + """
+SELECT sel.station_id || '-' || CAST(year AS VARCHAR) AS observation_id, sel.station_id, year, month, day, hour, air_temperature,
+       dew_point_temperature, sea_level_pressure, wind_direction, wind_speed, total_cloud_cover, one_hour_precipitation,
+       six_hour_precipitation, wind_speed_x10
+FROM obs JOIN sel ON obs.k = sel.s_suppkey"""
+ORACLE["detect_files"] = ORACLE["flagship_outliers"]
+
 # The whole job around another centre (Dallas, 139 m), 300 km, delta 2.
 ORACLE["detect_dallas"] = (
     BASE

@@ -9,6 +9,7 @@ of each query, with the same column names and types.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,8 @@ from surfacewx.operators.report import format_report, sort_report
 from surfacewx.operators.sort import number_rows
 from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats, pooled_stats_many
 from surfacewx.operators.union import union_observations
-from surfacewx.plans.detect import detect, detect_stats, outlier_report
-from surfacewx.session import materialize
+from surfacewx.plans.detect import detect, detect_files, detect_stats, outlier_report, pruned
+from surfacewx.session import ensure_checkpoint_dir, materialize
 from surfacewx.schema import (
     DEFAULT_DELTA,
     DEFAULT_ELEVATION,
@@ -36,9 +37,9 @@ from surfacewx.schema import (
     REPORT_FIELDS,
     STATION_COLUMNS,
 )
-from surfacewx.sources.fixtures import observations_from_events, station_count, stations_from_supplier
-from surfacewx.sources.observations import parse_observations, render_observation_lines
-from surfacewx.sources.stations import dedupe_last, lookup_stations, parse_station_lines, render_station_lines
+from surfacewx.sources.fixtures import observations_from_events, station_count, stations_from_supplier, write_observation_files, write_station_csv
+from surfacewx.sources.observations import parse_observations, read_observation_lines, render_observation_lines
+from surfacewx.sources.stations import dedupe_last, lookup_stations, parse_station_lines, read_stations, render_station_lines, station_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -184,6 +185,53 @@ def parse_stations(spark: SparkSession, d: str) -> DataFrame:
     return parse_station_lines(lines).select(*STATION_COLUMNS)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _station_files(spark: SparkSession, d: str) -> str:
+    """The catalogue as CSV files; every third station also has an earlier line with another name."""
+    s = _stations(spark, d).withColumn("line", F.lit(1))
+    old = s.filter(F.col("s_suppkey") % 3 == 0).withColumns({"line": F.lit(0), "station_name": F.concat("station_name", F.lit(", \\"))})
+    path = _shared_folder(spark)
+    write_station_csv(station_text(s.unionByName(old), ["s_suppkey", "line"]), path, ["s_suppkey", "line"])
+    return path
+
+
+def _observation_files(spark: SparkSession, d: str) -> str:
+    """Every event's line in the file of its station and year, a third of the
+    files compressed. Beyond the default radius every 7th line is damaged."""
+    st = _stations(spark, d)
+    near = within_radius(st, *CENTRE, DEFAULT_RADIUS_M).select("s_suppkey", F.lit(True).alias("near"))
+    names = dimension_join(st.select("s_suppkey", "station_id"), near, "s_suppkey", "s_suppkey", "left")
+    obs = dimension_join(_obs(spark, d), materialize(names), "k", "s_suppkey")
+    obs = obs.withColumn("observation_id", F.concat_ws("-", "station_id", F.col("year").cast("string")))
+    lines = render_observation_lines(obs, keep=["event_id", "k", "near"])
+    value = F.when(F.col("near").isNull() & (F.col("event_id") % 7 == 0), F.concat("value", F.lit(" x"))).otherwise(F.col("value"))
+    path = _shared_folder(spark)
+    write_observation_files(lines.select(F.concat("observation_id", F.when(F.col("k") % 3 == 0, ".gz").otherwise("")).alias("file_name"), value.alias("value")), path)
+    return path
+
+
+def station_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue files read back, the later line winning."""
+    return read_stations(spark, _station_files(spark, d)).select(*STATION_COLUMNS)
+
+
+def observation_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Observation files read back, those of the selected stations
+    only (FAILFAST: the others hold bad lines)."""
+    ids = materialize(selected_ids(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M))
+    lines = read_observation_lines(spark, _observation_files(spark, d))
+    lines = semi_join(pruned(lines, ids, "station_id", "station_id"), ids, "station_id")
+    return parse_observations(lines).select(*[c for c in _PARSED if c != "event_id"])
+
+
+def detect_files_q(spark: SparkSession, d: str) -> DataFrame:
+    """C1 over files: the whole job from observation files and catalogue files."""
+    return detect_files(spark, _observation_files(spark, d), _station_files(spark, d))
+
+
 def _file_names(spark: SparkSession, d: str) -> DataFrame:
     """One synthetic observation-file path per event: plain, .gz, .txt.gz,
     and a non-observation name."""
@@ -370,6 +418,9 @@ QUERIES: dict[str, Query] = {
     "parse_malformed_dropped": parse_malformed_dropped,
     "parse_malformed_permissive": parse_malformed_permissive,
     "parse_stations": parse_stations,
+    "station_scan": station_scan,
+    "observation_scan": observation_scan,
+    "detect_files": detect_files_q,
     "observation_key": observation_key_q,
     "station_key": station_key_q,
     "stations_last_wins": stations_last_wins,

@@ -12,6 +12,11 @@ the JVM in one call.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +95,45 @@ def observations_from_events(events: DataFrame, n_stations: Column) -> DataFrame
         if name == "wind_speed":
             cols.append(sentinel_or_null(r).alias("wind_speed_x10"))
     return raw.select(*cols)
+
+
+def write_station_csv(text: DataFrame, path: str, order: list[str]) -> None:
+    """Rows of ``station_text`` as catalogue files with a header, every field
+    in quotes, lines in the ``order`` columns' order over all files."""
+    rows = text.orderBy(*order).drop(*order)
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def write_observation_files(lines: DataFrame, folder: str) -> None:
+    """``lines(file_name, value)`` as one text file per name (gzip where it
+    ends in ``.gz``) in ``folder``, a place that all executors share.
+
+    A file's lines are dealt to one task, which streams them. It appears under
+    its name when complete, so a task that runs again finds or replaces it."""
+    uri = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(uri)
+        files.create_dir(base, recursive=True)
+        name = part = out = None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                if files.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
+                    files.move(part, f"{base}/{name}")
+                else:
+                    files.delete_file(part)
+
+        for b in batches:
+            for own, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own != name:
+                    close()
+                    name, part = own, f"{base}/_{uuid.uuid4().hex}-{own}"  # Spark does not read names with an underscore in front
+                    out = files.open_output_stream(part)
+                out.write(f"{value}\n".encode())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["file_name"])
+
+    rows = lines.select("file_name", "value").repartition("file_name").sortWithinPartitions("file_name")
+    rows.mapInArrow(run, "file_name string").write.format("noop").mode("overwrite").save()

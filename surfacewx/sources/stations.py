@@ -172,23 +172,23 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
 
 
+def station_text(stations: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Inverse of decode_station_fields: STATION_SCHEMA rows -> STATION_CSV_FIELDS as text."""
+    rendered = {
+        "latitude": F.nullif(signed_fixed("latitude", LATITUDE_FORMAT), F.lit("")),
+        "longitude": F.nullif(signed_fixed("longitude", LONGITUDE_FORMAT), F.lit("")),
+        "elevation": F.nullif(signed_fixed("elevation", ELEVATION_FORMAT), F.lit("")),
+        "begin": F.date_format("begin", STATION_DATE_FORMAT),
+        "end": F.date_format("end", STATION_DATE_FORMAT),
+    }
+    return stations.select(*[rendered.get(n, F.col(n)).alias(n) for n in STATION_CSV_FIELDS], *[F.col(k) for k in keep])
+
+
 def render_station_lines(stations: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Inverse of parse_station_lines: STATION_SCHEMA rows -> quoted CSV lines."""
-    fields = [
-        F.col("usaf"),
-        F.col("wban"),
-        F.col("station_name"),
-        F.col("country"),
-        F.col("state"),
-        F.col("icao"),
-        F.nullif(signed_fixed("latitude", LATITUDE_FORMAT), F.lit("")),
-        F.nullif(signed_fixed("longitude", LONGITUDE_FORMAT), F.lit("")),
-        F.nullif(signed_fixed("elevation", ELEVATION_FORMAT), F.lit("")),
-        F.date_format("begin", STATION_DATE_FORMAT),
-        F.date_format("end", STATION_DATE_FORMAT),
-    ]
-    line = F.concat_ws(",", *[_quoted(c) for c in fields])
-    return stations.select(line.alias("value"), *[F.col(k) for k in keep])
+    keep = list(keep)
+    line = F.concat_ws(",", *[_quoted(F.col(n)) for n in STATION_CSV_FIELDS])
+    return station_text(stations, keep).select(line.alias("value"), *[F.col(k) for k in keep])
 
 
 def lookup_stations(stations: DataFrame, ids: Iterable[str]) -> DataFrame:

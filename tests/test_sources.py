@@ -15,6 +15,7 @@ from surfacewx.sources import (
     read_stations,
     render_observation_lines,
 )
+from surfacewx.sources.fixtures import write_observation_files
 
 GOOD = "2008 09 13 09   256   230  9856   340   278     8    -1 -9999"
 
@@ -259,3 +260,14 @@ def test_read_stations_dropmalformed(spark, tmp_path):
     )
     names = sorted(r.station_name for r in read_stations(spark, str(p), mode="DROPMALFORMED").collect())
     assert names == ["GOOD", "NO ELEV"]
+
+
+def test_observation_files_by_name_written_again_stay_single(spark, tmp_path):
+    folder = (tmp_path / "files").as_uri()
+    rows = [(f"72000{k}-00001-2008{'.gz' if k % 2 else ''}", GOOD) for k in range(5) for _ in range(k + 1)]
+    lines = spark.createDataFrame(rows, "file_name string, value string")
+    for _ in range(2):
+        write_observation_files(lines, folder)
+    got = read_observations(spark, folder).groupBy("station_id").count().collect()
+    assert {r.station_id: r["count"] for r in got} == {f"72000{k}-00001": k + 1 for k in range(5)}
+    assert not [f for f in (tmp_path / "files").iterdir() if f.name.startswith("_")]
