@@ -1,7 +1,7 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of a host are ordered by URL path, and each page is compared with the
-page before and the page after it. Pages become lines (the blocks of text
+page before and the page after it that are not copies of it. Pages become lines (the blocks of text
 that a browser would set apart); the lines of two neighbours are aligned by a
 longest common subsequence, and what both share is template: shared lines are
 deleted. Two checks of the markup follow. A line inside the page's own
@@ -55,6 +55,9 @@ NAMES = re.compile(
 )
 # Line flags.
 TEXT, CHROME_LINE, LOOSE = 0, 1, 2
+#: Pages that share this part of their characters, either way, are copies.
+COPY = 0.9
+LENGTH = np.uint64(0xFFFF)
 
 
 class Lines(HTMLParser):
@@ -190,6 +193,37 @@ def _row(above: np.ndarray, same: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(row)
 
 
+class Page:
+    """A page's line hashes (the low 16 bits are the line's length) and flags; ``lines`` are those not marked as chrome."""
+
+    def __init__(self, hashes: bytes, flags: bytes, lines: list[str] | None = None):
+        self.raw, self.lines = (hashes, flags), lines
+        self.hashes, self.flags = np.frombuffer(hashes, np.uint64), np.frombuffer(flags, np.uint8)
+        self.body = self.hashes[self.flags != CHROME_LINE]
+        self.members: list[tuple] = []  # (id, url) of equal pages
+
+    def copies(self, other: Page) -> bool:
+        """Whether the pages are equal, or each one's characters are in lines of the other but for less than ``1 - COPY``."""
+        if self.raw == other.raw:
+            return True
+        both = []
+        for one, two in ((self.body, other.body), (other.body, self.body)):
+            size = one & LENGTH
+            both.append(0 < COPY * size.sum() <= size[np.isin(one, two)].sum())
+        return all(both)
+
+    def without(self, others: list[Page | None]) -> Page:
+        """The page with its loose lines that one of ``others`` shares marked as chrome; a copy takes none."""
+        away = np.zeros(len(self.hashes), bool)
+        if (self.flags == LOOSE).any():
+            for other in others:
+                if other is not None and not self.copies(other):
+                    away |= shared(self.hashes, other.hashes)
+        away &= self.flags == LOOSE
+        gone = away[self.flags != CHROME_LINE]
+        return Page(self.raw[0], np.where(away, CHROME_LINE, self.flags).astype(np.uint8).tobytes(), [x for x, g in zip(self.lines, gone, strict=True) if not g])
+
+
 def with_place(pages: DataFrame, url: str) -> DataFrame:
     """``pages`` with ``host`` and ``path`` (query included) of the URL; empty where there is none."""
     u = F.coalesce(F.col(url).cast("string"), F.lit(""))
@@ -202,8 +236,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """``(id_col, url_col, text)``: the main text of every page, its lines joined by one space.
 
     Null or empty html gives the empty text; a null URL counts as the empty
-    host and path. Repeated rows come back as often as they stand there; equal
-    pages of a host that has no others are each other's neighbours. Ties in
+    host and path. Repeated rows come back as often as they stand there. Pages
+    of which each is a copy or near copy (``COPY``) of the one before are a run;
+    they meet the page before and the page after the run, and a host that is
+    one run is not differenced. Ties in
     the order are broken by id and a hash of the html. Other columns are not
     read; an empty table gives an empty result.
     """
@@ -233,7 +269,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 kept = np.array([f == TEXT or (f == LOOSE and not article) for _, f in found], bool)
                 p = bisect_right(lows, key) - 1
                 at = [(p, True)] + [(p - 1, False)] * (p > 0 and key == lows[p]) + [(p + 1, False)] * (p + 1 < len(lows) and key == highs[p])
-                hashed = np.array([xxhash.xxh64_intdigest(x.encode()) for x, _ in found], np.uint64).tobytes()
+                hashed = np.array([xxhash.xxh64_intdigest(x.encode()) & ~0xFFFF | min(len(x), 0xFFFF) for x, _ in found], np.uint64).tobytes()
                 mark = np.where(kept, [f for _, f in found], CHROME_LINE).astype(np.uint8).tobytes() if found else b""
                 for q, own in at:
                     rows.append(i)
@@ -247,34 +283,83 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield pa.RecordBatch.from_arrays([*made[0], *same, *made[1]], names=names)
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Finished pages (kind 0); pages of a run that goes on beyond the range on the left or
+        right (1); and for the ranges beside, the page after such a run (2) or before it (3)."""
+
         def rows() -> Iterator[dict | None]:
             for b in slices(batches):
                 yield from b.to_pylist()
             yield None
 
-        def text(page: dict, *others: dict | None) -> str:
-            own = np.frombuffer(page["hashes"], np.uint64)
-            gone = np.zeros(len(own), bool)
-            for other in others:
-                if other is not None and (other["part"], other["host"]) == (page["part"], page["host"]):
-                    gone |= shared(own, np.frombuffer(other["hashes"], np.uint64))
-            flags, lines = np.frombuffer(page["flags"], np.uint8), iter(page["lines"])
-            out = []
-            for flag, away in zip(flags, gone, strict=True):
-                line = next(lines) if flag != CHROME_LINE else None
-                if line is not None and not (away and flag == LOOSE):
-                    out.append(line)
-            return " ".join(out)
-
-        before = page = None
+        def close(run: list[Page], before: Page | None, after: Page | None, part: int, first: bool, last: bool) -> Iterator[tuple]:
+            if not any(page.members for page in run):
+                return
+            # A row of the range beside that begins or ends the run: the run goes on there.
+            left, right = not first, not last
+            for page in run:
+                if page.members:
+                    rest = page.without([before, after])
+                    wait = (left or right) and (rest.flags == LOOSE).any()
+                    for id_, url in page.members:
+                        yield (1, part, left, right, id_, url, None, rest.lines, rest.raw[1], rest.raw[0]) if wait else (0, part, False, False, id_, url, " ".join(rest.lines), None, None, None)
+            for kind, here, there, page in ((2, left, right, after), (3, right, left, before)):
+                if here:
+                    yield (kind, part, kind == 3 and there, kind == 2 and there, None, None, None, None, *(page.raw[::-1] if page else (None, None)))
+
+        def made() -> Iterator[tuple]:
+            run: list[Page] = []
+            before, at, first, last = None, None, True, True
+            for row in rows():
+                page, place = None, None
+                if row is not None:
+                    page, place = Page(row["hashes"], row["flags"], row["lines"]), (row["part"], row["host"])
+                if run and place == at and page.copies(run[-1]):
+                    if page.raw != run[-1].raw:
+                        run.append(page)
+                    elif row["emit"] and not run[-1].members:
+                        run[-1].lines = page.lines
+                else:
+                    if run:
+                        yield from close(run, before, page if place == at else None, at[0], first, last)
+                    before = run[-1] if run and place == at else None
+                    run, at = [page], place
+                    first = row is not None and row["emit"]
+                if row is not None:
+                    last = row["emit"]
+                    if row["emit"]:
+                        run[-1].members.append((row["id"], row["url"]))
+
         held: list[tuple] = []
-        for after in rows():
-            if page is not None and page["emit"]:
-                held.append((page["id"], page["url"], text(page, before, after)))
-            if held and (len(held) >= 256 or after is None):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (id_type, pa.string(), pa.string()), strict=True)], names=[id_col, url_col, "text"])
+        names = ["kind", "part", "left", "right", "id", "url", "text", "lines", "flags", "hashes"]
+        types = [pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), id_type, pa.string(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+        for one in made():
+            held.append(one)
+            if len(held) >= 256:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
                 held = []
-            before, page = page, after
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each range, the pages that end a run on its left and right, through ranges that are one run."""
+        found = {(r["kind"], r["part"]): r for b in batches for r in b.to_pylist()}  # at most two for each range
+        out = {}
+        for kind, on, step in ((2, "right", 1), (3, "left", -1)):
+            for part in sorted((p for k, p in found if k == kind), reverse=kind == 2):
+                row = found[kind, part]
+                page = out.get((kind, part), (None, None)) if row[on] else (row["flags"], row["hashes"])
+                out[kind, part - step] = page
+        parts = sorted({p for _, p in out})
+        columns = [[out.get((kind, p), (None, None))[i] for p in parts] for kind in (2, 3) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["at", "flags2", "hashes2", "flags3", "hashes3"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = []
+            for r in b.to_pylist():
+                others = [Page(r[f"hashes{k}"], r[f"flags{k}"]) for k, on in ((2, "right"), (3, "left")) if r[on] and r[f"hashes{k}"] is not None]
+                texts.append(" ".join(Page(r["hashes"], r["flags"], r["lines"]).without(others).lines))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -282,4 +367,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     parsed = mapped(source.select("id", "url", "host", "path", "tie", "html"), parse, schema)
     parts = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions"))) if ranges > 1 else 1
     dealt = parsed.repartition(parts, "part").sortWithinPartitions("part", *order)
-    return mapped(dealt, difference, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    made = mapped(dealt, difference, f"kind int, part int, left boolean, right boolean, id {kind}, url string, text string, lines array<string>, flags binary, hashes binary")
+    done = made.filter("kind = 0").select("id", "url", "text")
+    if len(cuts) > 1:  # the three readers of ``dealt`` share its shuffle
+        ends = mapped(made.filter("kind >= 2").select("kind", "part", "left", "right", "flags", "hashes").repartition(1), beyond, "at int, flags2 binary, hashes2 binary, flags3 binary, hashes3 binary")
+        wait = made.filter("kind = 1").join(F.broadcast(ends), F.col("part") == F.col("at"), "left")
+        done = done.union(mapped(wait.select("id", "url", "left", "right", "lines", "flags", "hashes", "flags2", "hashes2", "flags3", "hashes3"), finish, f"id {kind}, url string, text string"))
+    return done.toDF(id_col, url_col, "text")

@@ -337,6 +337,22 @@ def test_page_text(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_page_text_of_copies_and_near_copies(spark, monkeypatch):
+    story = [f"a sentence of the story, the {k}th" for k in range(20)]
+
+    def page(own, *more):
+        return "".join(f"<p>{x}</p>" for x in ["Top of site", *own, *more, "End of site"])
+
+    rows = [(0, "http://s.org/a", page(["first one"]))]
+    rows += [(k, f"http://s.org/m?v={k:02d}", page(story, *[f"seen {k}"] * (k % 2))) for k in range(1, 40)]
+    rows += [(40, "http://s.org/z", page(["last one"])), (41, "http://t.org/7", "<p>twice here</p>"), (42, "http://t.org/7?utm_source=feed", "<p>twice here</p>"), (43, "no url", "plain"), (43, "no url", "plain")]
+    want = sorted([(0, "first one"), (40, "last one"), (41, "twice here"), (42, "twice here"), (43, "plain"), (43, "plain")] + [(k, " ".join(story + [f"seen {k}"] * (k % 2))) for k in range(1, 40)])
+    df = table(spark, rows, "page_id long, url string, html string")
+    for size in (2000, 7, 2):
+        monkeypatch.setattr(html, "ROWS_PER_RANGE", size)
+        assert sorted((r.page_id, r.text) for r in html.extract_text(df).collect()) == want
+
+
 def test_page_text_does_not_depend_on_the_cuts(spark, monkeypatch):
     rows = [(k, f"http://{'hot' if k % 3 else 'h%d' % (k % 9)}.org/{k // 2}", f"<div>top {k // 8}</div><p>own {k}</p><p>pair {k // 4}</p>") for k in range(300)]
     df = table(spark, rows, "page_id long, url string, html string")
