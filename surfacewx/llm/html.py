@@ -46,31 +46,44 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: Start tags that do not end an open paragraph.
 INSIDE_P = VOID - {"hr"} | frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp script small span strike strong style sub sup time tt u var svg".split())
 HIDDEN = frozenset("head title script style template noscript iframe object svg math canvas audio video select textarea button datalist".split())
-CHROME = frozenset("nav aside footer form dialog menu search".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
+CHROME = frozenset("nav aside footer dialog menu search".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar alertdialog".split())
+#: Whole tokens of a class or id.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|site-header|page-header|header|"
-    r"comments?|replies|respond|disqus|share|sharing|social|newsletter|subscribe|related|recommended|popup|modal|overlay|pagination|pager|skip-link|toolbar|login|signup)(?:$|[\s_-])",
+    r"(?:^|\s)(?:ads?|advert\w*|ad[_-](?:banner|box|container|slot|unit|wrapper)|sponsor\w*|promo\w*|banner|cookies?|cookie[_-](?:banner|bar|consent|notice)|consent|notices?|alert|side-bar|(?:(?:site|page|main|top|bottom|left|right|global)[_-])?"
+    r"(?:sidebar|menu|navbar|nav|navigation|footer)|breadcrumbs?|comments?|replies|respond|disqus|share|sharing|social|newsletter|subscribe|related|recommended|popup|modal|overlay|pagination|"
+    r"pager|skip-link|toolbar|login|signup)(?:$|\s)",
     re.I,
 )
+#: As above, but an article may have a header of its own.
+HEADERS = re.compile(r"(?:^|\s)(?:masthead|(?:site|page|main|top|global)[_-]header|header)(?:$|\s)", re.I)
+# What makes an element chrome: nothing, a form round it, a class or id, its tag or role.
+BY_FORM, BY_NAME, BY_TAG = 1, 2, 3
+# Whether inside an article: one in its own right, or one inside something that a class or id names as chrome.
+OWN, NAMED = 1, 2
 # Line flags.
-TEXT, CHROME_LINE, LOOSE = 0, 1, 2
+TEXT, CHROME_LINE, LOOSE, NAMED_TEXT = 0, 1, 2, 3
 #: Pages that share this part of their characters, either way, are copies.
 COPY = 0.9
 LENGTH = np.uint64(0xFFFF)
 
 
 class Lines(HTMLParser):
-    """Lines of a page: ``(text, flag)``; ``LOOSE`` is neither inside an article nor named as something else."""
+    """Lines of a page: ``(text, flag)``; ``LOOSE`` is neither inside an article nor named as something else.
+
+    An article or main element starts afresh inside a form, and main inside
+    anything that is chrome only by class or id; an article there gives
+    ``NAMED_TEXT``, the page's text if no other article has any.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag, and whether inside: hidden, chrome, article
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, and whether inside: hidden, chrome, article
         self.parts: list[str] = []
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
     def cut(self) -> None:
         if self.parts:
@@ -78,13 +91,13 @@ class Lines(HTMLParser):
             self.parts = []
             hidden, chrome, article = self.state()
             if text and not hidden:
-                self.lines.append((text, CHROME_LINE if chrome else TEXT if article else LOOSE))
+                self.lines.append((text, CHROME_LINE if chrome else (LOOSE, TEXT, NAMED_TEXT)[article]))
 
     def end(self, tags: set | frozenset, stop: frozenset) -> None:
         """Close the innermost open element of ``tags`` that no element of ``stop`` encloses."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in tags:
-                outside = self.open[i - 1][1:] if i else (False, False, False)
+                outside = self.open[i - 1][1:] if i else (False, 0, 0)
                 if self.state() != outside or any(x[0] in BLOCKS for x in self.open[i:]):
                     self.cut()
                 del self.open[i:]
@@ -105,9 +118,18 @@ class Lines(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         role = given.get("role", "").strip().lower()
         hidden = hidden or tag in HIDDEN or "hidden" in given
-        named = tag not in ("html", "body", "article", "main") and bool(NAMES.search(given.get("class", "")) or NAMES.search(given.get("id", "")))
-        chrome = chrome or tag in CHROME or role in ROLES or named or (tag == "header" and not article)
-        article = article or tag in ("article", "main") or role in ("article", "main")
+        main = tag == "main" or role == "main"
+        if main or tag == "article" or role == "article":
+            if chrome == BY_NAME and not main:
+                article = NAMED
+            elif chrome < BY_TAG:
+                article = article or OWN
+            chrome = chrome if chrome == BY_TAG else 0
+        names = (given.get("class", ""), given.get("id", ""))
+        named = tag not in ("html", "body", "article", "main") and any(NAMES.search(x) or (not article and HEADERS.search(x)) for x in names)
+        if tag in CHROME or role in ROLES or (tag == "header" and not article):
+            chrome = BY_TAG
+        chrome = max(chrome, BY_NAME * named, BY_FORM * (tag == "form" or role == "form"))
         if (hidden, chrome, article) != self.state() and tag not in BLOCKS:
             self.cut()
         self.open.append((tag, hidden, chrome, article))
@@ -138,7 +160,8 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     parser.feed(html)
     parser.close()
     parser.cut()
-    return parser.lines
+    named = CHROME_LINE if any(f == TEXT for _, f in parser.lines) else TEXT
+    return [(x, named if f == NAMED_TEXT else f) for x, f in parser.lines]
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -353,6 +353,23 @@ def test_page_text_of_copies_and_near_copies(spark, monkeypatch):
         assert sorted((r.page_id, r.text) for r in html.extract_text(df).collect()) == want
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='layout has-sidebar'><article>own</article></div>", "own"),
+        ("<div class='post comments-open'><article>own</article></div>", "own"),
+        ("<form id=aspnet><ul class=menu><li>Home</ul><article>own</article></form>", "own"),
+        ("<div class=sidebar><article>own</article></div>", "own"),
+        ("<div class=banner><main>own<nav>go</nav></main></div>", "own"),
+        ("<article><div class='entry-header'>title</div><div class=header>lead</div>own</article>", "title lead own"),
+        ("<article>own<form>mail me</form><div id=comments><article>me first</article></div></article><div class='related'><article>teaser</article></div>", "own"),
+        ("<main>own<form>mail me</form></main><aside><article>x</article></aside><nav><form><main>y</main></form></nav>", "own"),
+    ],
+)
+def test_article_inside_wrappers(page, text):
+    assert [x for x, f in html.page_lines(page) if f == html.TEXT] == text.split()
+
+
 def test_page_text_does_not_depend_on_the_cuts(spark, monkeypatch):
     rows = [(k, f"http://{'hot' if k % 3 else 'h%d' % (k % 9)}.org/{k // 2}", f"<div>top {k // 8}</div><p>own {k}</p><p>pair {k // 4}</p>") for k in range(300)]
     df = table(spark, rows, "page_id long, url string, html string")
