@@ -61,6 +61,10 @@ HEADERS = re.compile(r"(?:^|\s)(?:masthead|(?:site|page|main|top|global)[_-]head
 BY_FORM, BY_NAME, BY_TAG = 1, 2, 3
 # Whether inside an article: one in its own right, or one inside something that a class or id names as chrome.
 OWN, NAMED = 1, 2
+#: Marked sections that the standard parser takes.
+KNOWN_SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![a-z0-9_.-])\s*\S", re.I)
+#: Character references with more digits than Python reads: leading zeros, and numbers beyond Unicode.
+ZEROS, BEYOND = re.compile(r"&#0{8,}(?=[0-9])"), re.compile(r"&#0*[1-9][0-9]{7,};?")
 # Line flags.
 TEXT, CHROME_LINE, LOOSE, NAMED_TEXT = 0, 1, 2, 3
 #: Pages that share this part of their characters, either way, are copies.
@@ -144,6 +148,12 @@ class Lines(HTMLParser):
             return
         self.end({tag}, CONTAINERS - {tag} if tag not in BLOCKS else frozenset())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` up to ``>`` (or the end of the page) is a comment, as in browsers; the base class raises on unknown ones."""
+        if KNOWN_SECTION.match(self.rawdata, i):
+            return super().parse_marked_section(i, report)
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
 
@@ -157,7 +167,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     if not html:
         return []
     parser = Lines()
-    parser.feed(html)
+    parser.feed(BEYOND.sub("\ufffd", ZEROS.sub("&#", html)))
     parser.close()
     parser.cut()
     named = CHROME_LINE if any(f == TEXT for _, f in parser.lines) else TEXT

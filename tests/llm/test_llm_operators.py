@@ -370,6 +370,23 @@ def test_article_inside_wrappers(page, text):
     assert [x for x, f in html.page_lines(page) if f == html.TEXT] == text.split()
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a <![foo]> b", "a b"),
+        ("<p>a <![ b", "a"),
+        ("<p>a <![ b> c <![]> d", "a c d"),
+        ("<p>a <![if !IE]>b<![endif]> <![CDATA[x]]>c", "a b c"),
+        ("<p>a <![cdata", "a"),
+        ("<p>a <![ if]> b", "a b"),
+        ("<p>a <![cdata-x[ b ]> c <![1]> d <!x> e", "a c d e"),
+        ("<p>a &#" + "9" * 5000 + "; b &#" + "0" * 5000 + "65; c", "a \ufffd b A c"),
+    ],
+)
+def test_malformed_pages(page, text):
+    assert " ".join(x for x, _ in html.page_lines(page)) == text
+
+
 def test_page_text_does_not_depend_on_the_cuts(spark, monkeypatch):
     rows = [(k, f"http://{'hot' if k % 3 else 'h%d' % (k % 9)}.org/{k // 2}", f"<div>top {k // 8}</div><p>own {k}</p><p>pair {k // 4}</p>") for k in range(300)]
     df = table(spark, rows, "page_id long, url string, html string")
