@@ -4,11 +4,13 @@ Pages of a host are ordered by URL path, and each page is compared with the
 page before and the page after it that are not copies of it. Pages become lines (the blocks of text
 that a browser would set apart); the lines of two neighbours are aligned by a
 longest common subsequence, and what both share is template: shared lines are
-deleted. Two checks of the markup follow. A line inside the page's own
-``article`` or ``main`` element is its text even if a neighbour quotes it; and
-lines that the markup names as menus, headers, footers, adverts and the like,
-or that lie outside an article the page has, are not text even if no
-neighbour shares them.
+deleted.
+
+That decides only on pages without text in an ``article`` or ``main`` element.
+Where a page has some, markup replaces differencing: all lines in it that the
+markup does not name as menus, headers, footers, adverts and the like are its
+text, even if a neighbour quotes them, and all other lines go, even if no
+neighbour shares them. Lines named so go on every page.
 
 Only hashes of lines are compared. Pages are dealt to tasks in ranges of the
 order, cut by rows and not by host, so a host with a third of all pages is

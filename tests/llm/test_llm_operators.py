@@ -387,6 +387,17 @@ def test_malformed_pages(page, text):
     assert " ".join(x for x, _ in html.page_lines(page)) == text
 
 
+def test_markup_decides_where_there_is_an_article():
+    page = "<article><p>own</p><p>quoted</p></article><p>outside</p>"
+    flags = np.array([f for _, f in html.page_lines(page)], np.uint8)
+    assert flags.tolist() == [html.TEXT, html.TEXT, html.LOOSE]
+    hashes = (np.arange(1, 4, dtype=np.uint64) << np.uint64(16) | np.uint64(5)).tobytes()
+    one = html.Page(hashes, np.where(flags == html.TEXT, flags, html.CHROME_LINE).astype(np.uint8).tobytes(), ["own", "quoted"])
+    other = html.Page(np.array([9 << 16 | 5, 2 << 16 | 5, 8 << 16 | 5, 7 << 16 | 5], np.uint64).tobytes(), bytes(4), list("abcd"))
+    assert one.without([other]).lines == ["own", "quoted"]
+    assert "markup replaces" in html.__doc__
+
+
 def test_page_text_does_not_depend_on_the_cuts(spark, monkeypatch):
     rows = [(k, f"http://{'hot' if k % 3 else 'h%d' % (k % 9)}.org/{k // 2}", f"<div>top {k // 8}</div><p>own {k}</p><p>pair {k // 4}</p>") for k in range(300)]
     df = table(spark, rows, "page_id long, url string, html string")
