@@ -4,7 +4,7 @@ One weight vector over hashed features gives a document's latent quality
 ``f``; ordered thresholds turn it into grades, ``P(grade > k) = s(f - t_k)``
 with the logistic ``s``. All grades share the weights. Features are hashed
 n-grams of word shapes (case, digits, punctuation), of repeats of the word
-before, and single words, each family scaled by the square root of its share
+before, and single words (long ones in pieces), each family scaled by the square root of its share
 of the text, so they say how much of a text looks so whatever its length.
 
 Fitting takes a bounded sample of rated rows, chosen by a hash of their id;
@@ -27,6 +27,8 @@ from surfacewx.llm.common import mapped, slices, wider
 DIMENSIONS = 1 << 18
 FIT_ROWS = 12_000
 CACHED_WORDS = 200_000
+#: Words above ``LONG`` characters (a text without white space is one) count as consecutive pieces of ``PIECE``.
+LONG, PIECE = 64, 8
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
@@ -36,7 +38,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+        shape = _RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
         value = self[word] = zlib.crc32(word.lower().strip(".,;:!?").encode()) << 32 | zlib.crc32(shape.encode())
         return value
 
@@ -44,6 +46,8 @@ class _Words(dict):
 def features(text: str | None, words: _Words) -> tuple[np.ndarray, np.ndarray]:
     """Indices (rising) and values of a text's features; none for a text without words."""
     tokens = text.split() if text else []
+    if max(map(len, tokens), default=0) > LONG:
+        tokens = [x for w in tokens for x in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
     if not tokens:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     both = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))

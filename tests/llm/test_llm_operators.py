@@ -597,6 +597,19 @@ def test_quality_takes_any_text(spark):
     assert quality.score(docs.limit(0), quality.train(docs, ratings.limit(0), grades=3)).count() == 0
 
 
+def test_quality_reads_whole_words():
+    rnd = random.Random(5)
+
+    def text(signs):
+        return "\u6c49\u5b57" * rnd.randrange(40, 60) + "".join(rnd.choice("abcdefgh") + rnd.choice(signs) for _ in range(400))
+
+    made = [(*quality.features(text(s), quality._Words()), g) for _ in range(60) for g, s in enumerate(("#0%&", "\u3002\uff0c.,"))]
+    model = quality.fit(made[:80], 2)
+    assert all((model.tails(i, v)[0] > 0.5) == g for i, v, g in made[80:])
+    short = "Short words, as before: 64 " + "x" * 64
+    assert len(quality.features(short, quality._Words())[0]) == len(quality.features(short + " ", quality._Words())[0]) < len(quality.features(short + "y#1", quality._Words())[0])
+
+
 def test_digest_columns(spark, sf_small):
     rows = {r.conv_id: r for r in queries.op1_chat_formatting(spark, sf_small).collect()}
     said = "</s>[INST] ok [/INST]"
