@@ -115,10 +115,11 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
 
     Ratings with a null id or a grade out of range are left out; of several
     for one id the lowest counts. The sample is those with the smallest hash
-    of the id; it and the model are all that reaches one task or the driver.
+    of the id among those with a document; it and the model are all that reaches
+    one task or the driver.
     """
     rated = ratings.filter(F.col(id_col).isNotNull() & F.col(grade_col).between(0, grades - 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(grade_col).cast("int").alias("grade"))
-    some = rated.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(fit_rows)
+    some = rated.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(fit_rows)
     found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("doc") == F.col("id")).select("h", "grade", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,10 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Labels with a null id or another value are left out; of several for one
     id the largest counts. The sample is the rows with the smallest hash of
-    the id. Without any labelled row the model scores everything 0.5.
+    the id; labels without a document take no place in it. Without any labelled row the model scores everything 0.5.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-    some = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(fit_rows)
+    labelled = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    some = labelled.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(fit_rows)
     found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("doc") == F.col("id")).select("h", "label", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

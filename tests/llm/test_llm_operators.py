@@ -610,6 +610,16 @@ def test_quality_reads_whole_words():
     assert len(quality.features(short, quality._Words())[0]) == len(quality.features(short + " ", quality._Words())[0]) < len(quality.features(short + "y#1", quality._Words())[0])
 
 
+def test_fits_leave_out_labels_without_documents(spark):
+    docs = table(spark, [(k, "fine words" if k % 2 else "nasty ### words") for k in range(9000, 9060)], DOC)
+    labels = table(spark, [(k, k % 2, 1 - k % 2) for k in range(10_000)], "doc_id long, grade int, toxic int")
+    here = labels.filter("doc_id >= 9000 and doc_id < 9060")
+    some, all_ = (toxicity.train(docs, x, fit_rows=100) for x in (labels, here))
+    assert len(some.index) and some.index.tolist() == all_.index.tolist() and some.weight.tolist() == all_.weight.tolist()
+    some, all_ = (quality.train(docs, x, grades=2, fit_rows=100) for x in (labels, here))
+    assert some.weights.any() and some.weights.tolist() == all_.weights.tolist() and some.thresholds.tolist() == all_.thresholds.tolist()
+
+
 def test_digest_columns(spark, sf_small):
     rows = {r.conv_id: r for r in queries.op1_chat_formatting(spark, sf_small).collect()}
     said = "</s>[INST] ok [/INST]"
