@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfacewx.llm import ann, bpe, chat, decontam, html, quality, sharding, simhash, toxicity, warc
+from surfacewx.llm import ann, bpe, chat, decontam, html, jaccard, quality, sharding, simhash, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
@@ -104,9 +104,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "expected_grade", "tail_prob", (F.col("tail_prob") >= 0.5).alias("keep"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_bpe_encoding, op3_warc_archives, op4_sharding, op5_toxicity, op6_html_extraction, op7_decontamination, op8_simhash, op9_nearest, op10_quality)
+    for f in (op1_chat_formatting, op2_bpe_encoding, op3_warc_archives, op4_sharding, op5_toxicity, op6_html_extraction, op7_decontamination, op8_simhash, op9_nearest, op10_quality, op11_jaccard_join)
 }
 
 _CONTROL = r"([<\[])(/?s>|</?SYS>>|\|im_(?:start|sep|end)\|>|/?INST\])"
