@@ -11,10 +11,14 @@ and classes with the same size and prefix are collapsed into one group.
 2. First only neighbours in a list (by size) and each group's members against
    its first member are verified: work in proportion to the prefixes. What
    they link gets one label.
-3. Then every pair of a list is filtered, but for those of one label. The
-   pairs left are expanded into members of different labels and verified.
-   A group pair within one label is skipped, since its links are known not
-   to change the components.
+3. Then every pair of a list is filtered, but for those of one label, whose
+   links would not change the components. A third bound joins the two: each
+   set has a parity bit map about twice its size, and the bits in which two
+   differ are a lower bound of the shingles that only one of them has. A group
+   carries the map of its first member and how far its others are from it.
+   A first pass takes of each list only a spanning forest of its labels, the
+   most alike pairs, verifies these and joins labels; the second takes all
+   pairs left, expands them into members of different labels and verifies.
 
 Lists above ``BLOCK`` entries are split into blocks and each pair of blocks
 is a group of its own; hot shingles, hot hubs and hot classes are split too.
@@ -41,6 +45,8 @@ RARITY_BITS = 22
 ROW_BITS = 25
 #: A shingle with more than 1/HOT of all classes' count, by the sketch, has its list split into HOT_SALTS.
 HOT, HOT_SALTS = 1024, 64
+#: Bits of a parity map at most: 512 bytes.
+MAX_PARITY = 4096
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -63,6 +69,16 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(made)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A set's parity bit map as 64-bit words: bit b tells whether an odd
+    number of shingles falls on it. About two bits a shingle, 64 to MAX_PARITY."""
+    bits = min(max(64, 1 << int(2 * len(shingles) - 1).bit_length()), MAX_PARITY)
+    at, n = np.unique(shingles & np.uint64(bits - 1), return_counts=True)
+    odd = np.zeros(bits, bool)
+    odd[at[n % 2 == 1].astype(np.int64)] = True
+    return np.packbits(odd).view(np.int64)
+
+
 def prefix_size(n: int, percent: int) -> int:
     """Shingles of a set of ``n`` of which one at least is shared with any set that reaches the threshold."""
     return n - (percent * n + 99) // 100 + 1
@@ -84,8 +100,9 @@ def _rarity(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """``(id, n, digest, alike, prefix)`` of every row: the size and digest of
-    its set, the digest of size and prefix, and the prefix, rarest first."""
+    """``(id, n, digest, alike, prefix, map)`` of every row: the size and digest
+    of its set, the digest of size and prefix, the prefix, rarest first, and
+    the parity map."""
     order = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +113,14 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
                 if len(s):
                     rank = np.argsort(order.value[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], kind="stable")
                     prefix = s[rank[: prefix_size(len(s), percent)]].tobytes()
-                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(len(s).to_bytes(8, "little") + prefix), prefix))
+                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(len(s).to_bytes(8, "little") + prefix), prefix, parity(s)))
                 else:
-                    out.append((0, None, None, None))
-            n, digest, alike, prefix = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(alike, pa.binary()), pa.array(prefix, pa.binary())], names=["id", "n", "digest", "alike", "prefix"])
+                    out.append((0, None, None, None, None))
+            n, digest, alike, prefix, bits = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(alike, pa.binary()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "digest", "alike", "prefix", "map"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), run, f"id {kind}, n long, digest binary, alike binary, prefix binary")
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), run, f"id {kind}, n long, digest binary, alike binary, prefix binary, map array<long>")
 
 
 def _lists(groups: DataFrame, n_classes: int, rarity: np.ndarray) -> DataFrame:
@@ -192,21 +209,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(mapped(both, run, "u long, v long"), "links")
 
 
-def _rest(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _rest(lists: DataFrame, spread: DataFrame, groups: DataFrame, percent: int, forest: bool) -> DataFrame:
     """The group pairs of the lists that pass the bounds and are not known to
-    lie within one label; ``labels(g, low, high)``: the least and the largest
-    label of a group's members."""
-    known = lists.select("token", "g", "n", "pos").join(labels, "g")
+    lie within one label. ``spread(g, low, high, far)``: the least and the
+    largest label of a group's members and how far a member's map is from the
+    first's. With ``forest``, of each list or pair of blocks only as many as
+    would join its labels, the most alike first."""
+    known = lists.select("token", "g", "n", "pos").join(spread, "g")
     mixed = known.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count(F.lit(1)).alias("m")).filter("a < z")
     total = lists.count()
     placed = join_unique(known, mixed, "token", "m", total).withColumn("parts", F.least(F.ceil(F.col("m") / BLOCK), F.lit(MAX_BLOCKS)).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "g", "n", "pos", "low", "high")
+    placed = placed.join(groups.select("g", "map"), "g").withColumn("own", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "g", "n", "pos", "low", "high", "far", "map")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in _with_end(batches):
-            cols = [np.zeros(0, np.int64)] * 9 if b is None else [c.to_numpy().astype(np.int64) for c in b.columns]
+            cols = [c[:0] for c in rest or [np.zeros(0, np.int64)] * 11] if b is None else [c.to_numpy().astype(np.int64) for c in b.columns[:-1]] + [np.array([*map(_words, b.column(10)), None], object)[:-1]]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             token, i, j = cols[:3]
@@ -214,20 +234,40 @@ def _rest(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             bounds = np.concatenate([[0], cuts, [len(token)] if b is None else []]).astype(np.int64)
             for at in np.flatnonzero(np.diff(bounds) > 1):
                 s, e = bounds[at], bounds[at + 1]
-                for u, v in _tile(int(i[s]), int(j[s]), *(c[s:e] for c in cols[3:]), percent):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["g1", "g2"])
+                own, g, n, pos, low, high, far, maps = (c[s:e] for c in cols[3:])
+                found = _tile(int(i[s]), int(j[s]), own, g, n, pos, low, high, far, maps, percent)
+                for x, y in _forest(found, low) if forest else ((x, y) for x, y, _ in found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[x], g[y])), pa.array(np.maximum(g[x], g[y]))], names=["g1", "g2"])
             rest = [c[bounds[-1] :].copy() for c in cols]
 
     dealt = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return mapped(dealt, run, "g1 long, g2 long").distinct()
 
 
-def _tile(i: int, j: int, own: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of two blocks of a list, or of one, that pass the bounds and are not of one label."""
+def _words(bits: pa.Scalar) -> np.ndarray:
+    return bits.values.to_numpy().view(np.uint64)
+
+
+def _differ(maps: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the maps of each pair differ, the wider one folded to the other's width."""
+    out, width = np.zeros(len(x), np.int64), np.array([len(m) for m in maps])
+    least = np.minimum(width[x], width[y])
+    for w in np.unique(least):
+        chosen = np.flatnonzero(least == w)
+        spots, at = np.unique(np.concatenate([x[chosen], y[chosen]]), return_inverse=True)
+        rows = np.stack([np.bitwise_xor.reduce(maps[k].reshape(-1, w), axis=0) for k in spots])
+        a, b = at[: len(chosen)], at[len(chosen) :]
+        out[chosen] = np.bitwise_count(rows[a] ^ rows[b]).sum(axis=1)
+    return out
+
+
+def _tile(i: int, j: int, own: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, far: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of two blocks of a list, or of one, that pass the bounds and
+    are not of one label: rows, rows and in how many bits their maps differ."""
     left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
     if not len(left) or not len(right):
         return
-    step = max(1, (1 << 20) // len(right))
+    step = max(1, (1 << 17) // len(right))
     for s in range(0, len(left), step):
         a, b = left[s : s + step, None], right[None, :]
         ok = (low[a] != high[b]) | (high[a] != low[b])
@@ -236,9 +276,38 @@ def _tile(i: int, j: int, own: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np
         if i == j:
             ok &= g[a] < g[b]
         x, y = np.nonzero(ok)
+        x, y = a[x, 0], right[y]
         if len(x):
-            u, v = g[a[x, 0]], g[right[y]]
-            yield np.minimum(u, v), np.maximum(u, v)
+            apart = _differ(maps, x, y)
+            near = (100 + percent) * (apart - far[x] - far[y]) <= (100 - percent) * (n[x] + n[y])
+            if near.any():
+                yield x[near], y[near], apart[near]
+
+
+def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of pairs ``(x, y, apart)`` a spanning forest of the labels they join, nearest first."""
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for x, y, apart in pairs:
+        a, b = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        order = np.lexsort((apart, b, a))
+        first = order[np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])]
+        for u, v, *pair in zip(a[first].tolist(), b[first].tolist(), apart[first].tolist(), x[first].tolist(), y[first].tolist(), strict=True):
+            best[u, v] = min(best.get((u, v), tuple(pair)), tuple(pair))
+    up: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while up.setdefault(k, k) != k:
+            up[k] = k = up[up[k]]
+        return k
+
+    out = []
+    for (u, v), (_, x, y) in sorted(best.items(), key=lambda e: e[1]):
+        if root(u) != root(v):
+            up[root(u)] = root(v)
+            out.append((x, y))
+    if out:
+        x, y = np.array(out, np.int64).T
+        yield x, y
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -260,14 +329,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(_prefixes(docs, id_col, text_col, words, percent, rarity), "prefixes")
     full = rows.filter("n > 0")
     classes = full.groupBy("digest").agg(
-        F.first("n").alias("n"), F.first("alike").alias("alike"), F.first("prefix").alias("prefix"),
+        F.first("n").alias("n"), F.first("alike").alias("alike"), F.first("prefix").alias("prefix"), F.first("map").alias("map"),
         F.min("id").alias("id"), F.min(F.xxhash64("id")).alias("pick"), F.count(F.lit(1)).alias("size"),
     )
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     n_classes, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = classes.groupBy("alike").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("c").alias("hub"), F.count(F.lit(1)).alias("m"))
+    groups = classes.groupBy("alike").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("c").alias("hub"), F.min_by("map", "c").alias("map"), F.count(F.lit(1)).alias("m"))
     groups = written(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
-    members = written(join_unique(classes.select("c", "digest", "pick", "alike"), groups.select("alike", "g", "hub", "m"), "alike", "m", n_classes).drop("alike"), "members")
+    of_group = groups.select("alike", "g", "hub", "m", F.col("map").alias("first_map"))
+    members = join_unique(classes.select("c", "digest", "pick", "alike", "map"), of_group, "alike", "m", n_classes)
+    apart = F.aggregate(F.zip_with("map", "first_map", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    members = written(members.select("c", "digest", "pick", "g", "hub", apart.alias("far")), "members")
     lists = written(_lists(groups, n_classes, rarity), "lists")
 
     def expanded(classes_of: DataFrame) -> DataFrame:
@@ -279,15 +351,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = near.join(hubs.toDF("g1", "x"), "g1").join(hubs.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
     pairs = written(members.filter("c <> hub").select(F.col("hub").alias("u"), F.col("c").alias("v")).unionByName(across), "near")
     links = _verified(pairs, written(expanded(pairs), "sets"), percent)
+    for forest in (True, False):
+        roots = components(links).select(F.col("node").alias("c"), "root")
+        labels = written(members.select("g", "c", "far").join(roots, "c", "left").select("g", "c", "far", F.coalesce("root", "c").alias("label")), "labels")
+        spread = written(labels.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").cast("long").alias("far")), "spread")
+        rest = _rest(lists, spread, groups, percent, forest)
+        if forest:
+            pairs = rest.join(hubs.toDF("g1", "x"), "g1").join(hubs.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+        else:
+            rest = rest.unionByName(spread.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
+            left, right = labels.select("g", "c", "label").toDF("g1", "u", "a"), labels.select("g", "c", "label").toDF("g2", "v", "z")
+            pairs = rest.join(left, "g1").join(right, "g2").filter("a <> z AND (g1 <> g2 OR u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        pairs = written(pairs, "candidates")
+        more = _verified(pairs, written(expanded(pairs), "sets"), percent)
+        links = roots.toDF("u", "v").unionByName(more)
     roots = components(links).select(F.col("node").alias("c"), "root")
-    labels = written(members.select("g", "c").join(roots, "c", "left").select("g", "c", F.coalesce("root", "c").alias("label")), "labels")
-    spread = written(labels.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")), "spread")
-    rest = _rest(lists, spread, percent).unionByName(spread.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
-    left, right = labels.toDF("g1", "u", "a"), labels.toDF("g2", "v", "z")
-    others = rest.join(left, "g1").join(right, "g2").filter("a <> z AND (g1 <> g2 OR u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    others = written(others, "others")
-    more = _verified(others, written(expanded(others), "sets"), percent)
-    roots = components(roots.toDF("u", "v").unionByName(more)).select(F.col("node").alias("c"), "root")
     rooted = written(classes.select("digest", "c", "id", "size").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
     lowest = written(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("k")), "lowest")
     lookup = written(join_unique(rooted.select("digest", "size", "root"), lowest, "root", "k", n_classes).select("digest", "size", "component_id"), "lookup")
