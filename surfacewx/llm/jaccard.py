@@ -174,8 +174,24 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataF
                 yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.binary()), pa.array(list(made.values()), pa.binary())], names=["digest", "shingles"])
 
     texts = docs.select(F.xxhash64(F.col(id_col)).alias("pick"), F.col(text_col).cast("binary").alias("text"))
-    found = mapped(texts, run, "digest binary, shingles binary").join(wanted.select("c", "digest"), "digest")
-    return found.groupBy("c").agg(F.first("shingles").alias("shingles"))
+    found = mapped(texts, run, "digest binary, shingles binary").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    return found.join(wanted.select("c", "digest"), "digest").select("c", "shingles")
+
+
+def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose parity maps, ``maps(c, n, map)``, allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in [b.slice(k, 4096) for k in range(0, b.num_rows, 4096)]:
+                u, v, n, m = (c.to_numpy() for c in part.columns[:4])
+                held = np.array([*map(_words, part.column(4)), *map(_words, part.column(5)), None], object)[:-1]
+                apart = _differ(held, np.arange(len(u)), np.arange(len(u)) + len(u))
+                near = (100 + percent) * apart <= (100 - percent) * (n + m)
+                yield pa.RecordBatch.from_arrays([pa.array(u[near]), pa.array(v[near])], names=["u", "v"])
+
+    both = pairs.join(maps.toDF("u", "n", "a"), "u").join(maps.toDF("v", "m", "z"), "v")
+    return mapped(both.select("u", "v", "n", "m", "a", "z"), run, "u long, v long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,39 +225,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(mapped(both, run, "u long, v long"), "links")
 
 
-def _rest(lists: DataFrame, spread: DataFrame, groups: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _tiles(lists: DataFrame, spread: DataFrame) -> DataFrame:
+    """The entries of lists that hold more than one label, with the blocks (i, j) they meet in."""
+    known = lists.select("token", "g", "n", "pos").join(spread, "g")
+    mixed = known.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count(F.lit(1)).alias("m")).filter("a < z")
+    placed = join_unique(known, mixed, "token", "m", lists.count()).withColumn("parts", F.least(F.ceil(F.col("m") / BLOCK), F.lit(MAX_BLOCKS)).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "g", "n", "pos", "low", "high", "far")
+
+
+def _by_tile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each tile of sorted rows; with 11 columns the last holds parity maps."""
+    rest = None
+    for b in _with_end(batches):
+        if b is None:
+            cols = [c[:0] for c in rest] if rest is not None else [np.zeros(0, np.int64)] * width
+        else:
+            cols = [c.to_numpy().astype(np.int64) for c in b.columns[:10]] + [np.array([*map(_words, c), None], object)[:-1] for c in b.columns[10:]]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        token, i, j = cols[:3]
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        bounds = np.concatenate([[0], cuts, [len(token)] if b is None else []]).astype(np.int64)
+        for at in np.flatnonzero(np.diff(bounds) > 1):
+            yield [c[bounds[at] : bounds[at + 1]] for c in cols]
+        rest = [c[bounds[-1] :].copy() for c in cols]
+
+
+def _meeting(lists: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
+    """The entries ``(token, g, n, pos)`` that meet one of another label within the bounds: as many rows at most as there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, i, j, own, g, n, pos, low, high, far in _by_tile(batches, 10):
+            met = np.zeros(len(g), bool)
+            for x, y in _tile(int(i[0]), int(j[0]), own, g, n, pos, low, high, percent):
+                met[x] = met[y] = True
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (token, g, n.astype(np.int32), pos.astype(np.int32))], names=["token", "g", "n", "pos"])
+
+    dealt = _tiles(lists, spread).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return mapped(dealt, run, "token long, g long, n int, pos int").distinct()
+
+
+def _rest(lists: DataFrame, spread: DataFrame, maps: DataFrame, percent: int, forest: bool) -> DataFrame:
     """The group pairs of the lists that pass the bounds and are not known to
     lie within one label. ``spread(g, low, high, far)``: the least and the
     largest label of a group's members and how far a member's map is from the
-    first's. With ``forest``, of each list or pair of blocks only as many as
-    would join its labels, the most alike first."""
-    known = lists.select("token", "g", "n", "pos").join(spread, "g")
-    mixed = known.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count(F.lit(1)).alias("m")).filter("a < z")
-    total = lists.count()
-    placed = join_unique(known, mixed, "token", "m", total).withColumn("parts", F.least(F.ceil(F.col("m") / BLOCK), F.lit(MAX_BLOCKS)).cast("int"))
-    placed = placed.join(groups.select("g", "map"), "g").withColumn("own", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "g", "n", "pos", "low", "high", "far", "map")
+    group's in ``maps(g, map)``. With ``forest``, of each list or pair of
+    blocks only as many as would join its labels, the most alike first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in _with_end(batches):
-            cols = [c[:0] for c in rest or [np.zeros(0, np.int64)] * 11] if b is None else [c.to_numpy().astype(np.int64) for c in b.columns[:-1]] + [np.array([*map(_words, b.column(10)), None], object)[:-1]]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            token, i, j = cols[:3]
-            cuts = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            bounds = np.concatenate([[0], cuts, [len(token)] if b is None else []]).astype(np.int64)
-            for at in np.flatnonzero(np.diff(bounds) > 1):
-                s, e = bounds[at], bounds[at + 1]
-                own, g, n, pos, low, high, far, maps = (c[s:e] for c in cols[3:])
-                found = _tile(int(i[s]), int(j[s]), own, g, n, pos, low, high, far, maps, percent)
-                for x, y in _forest(found, low) if forest else ((x, y) for x, y, _ in found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[x], g[y])), pa.array(np.maximum(g[x], g[y]))], names=["g1", "g2"])
-            rest = [c[bounds[-1] :].copy() for c in cols]
-
-    dealt = tiles.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return mapped(dealt, run, "g1 long, g2 long").distinct()
+        for _, i, j, own, g, n, pos, low, high, far, bits in _by_tile(batches, 11):
+            found = _near(_tile(int(i[0]), int(j[0]), own, g, n, pos, low, high, percent), bits, far, n, percent)
+            for x, y in _forest(found, low) if forest else ((x, y) for x, y, _ in found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(g[x], g[y])), pa.array(np.maximum(g[x], g[y]))], names=["g1", "g2"])
+
+    dealt = _tiles(lists, spread).join(maps, "g").select("token", "i", "j", "own", "g", "n", "pos", "low", "high", "far", "map")
+    return mapped(dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j"), run, "g1 long, g2 long").distinct()
 
 
 def _words(bits: pa.Scalar) -> np.ndarray:
@@ -261,9 +301,8 @@ def _differ(maps: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tile(i: int, j: int, own: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, far: np.ndarray, maps: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The pairs of two blocks of a list, or of one, that pass the bounds and
-    are not of one label: rows, rows and in how many bits their maps differ."""
+def _tile(i: int, j: int, own: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of two blocks of a list, or of one, that are not of one label and pass the bounds on size and place."""
     left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
     if not len(left) or not len(right):
         return
@@ -276,12 +315,17 @@ def _tile(i: int, j: int, own: np.ndarray, g: np.ndarray, n: np.ndarray, pos: np
         if i == j:
             ok &= g[a] < g[b]
         x, y = np.nonzero(ok)
-        x, y = a[x, 0], right[y]
         if len(x):
-            apart = _differ(maps, x, y)
-            near = (100 + percent) * (apart - far[x] - far[y]) <= (100 - percent) * (n[x] + n[y])
-            if near.any():
-                yield x[near], y[near], apart[near]
+            yield a[x, 0], right[y]
+
+
+def _near(pairs: Iterator[tuple[np.ndarray, np.ndarray]], maps: np.ndarray, far: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs whose parity maps allow the threshold, and in how many bits these differ."""
+    for x, y in pairs:
+        apart = _differ(maps, x, y)
+        near = (100 + percent) * (apart - far[x] - far[y]) <= (100 - percent) * (n[x] + n[y])
+        if near.any():
+            yield x[near], y[near], apart[near]
 
 
 def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -329,15 +373,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = written(_prefixes(docs, id_col, text_col, words, percent, rarity), "prefixes")
     full = rows.filter("n > 0")
     classes = full.groupBy("digest").agg(
-        F.first("n").alias("n"), F.first("alike").alias("alike"), F.first("prefix").alias("prefix"), F.first("map").alias("map"),
+        F.first("n").alias("n"), F.first("alike").alias("alike"), F.first("map").alias("map"),
         F.min("id").alias("id"), F.min(F.xxhash64("id")).alias("pick"), F.count(F.lit(1)).alias("size"),
     )
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     n_classes, total = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    groups = classes.groupBy("alike").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("c").alias("hub"), F.min_by("map", "c").alias("map"), F.count(F.lit(1)).alias("m"))
+    groups = full.groupBy("alike").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     groups = written(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
-    of_group = groups.select("alike", "g", "hub", "m", F.col("map").alias("first_map"))
-    members = join_unique(classes.select("c", "digest", "pick", "alike", "map"), of_group, "alike", "m", n_classes)
+    hubs = classes.groupBy("alike").agg(F.min("c").alias("hub"), F.min_by("map", "c").alias("first_map"), F.count(F.lit(1)).alias("m"))
+    hubs = written(hubs.join(groups.select("alike", "g"), "alike"), "hubs")
+    members = join_unique(classes.select("c", "digest", "pick", "alike", "map"), hubs, "alike", "m", n_classes)
     apart = F.aggregate(F.zip_with("map", "first_map", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     members = written(members.select("c", "digest", "pick", "g", "hub", apart.alias("far")), "members")
     lists = written(_lists(groups, n_classes, rarity), "lists")
@@ -346,23 +391,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         wanted = members.join(classes_of.select(F.explode(F.array("u", "v")).alias("c")).distinct(), "c")
         return _sets(docs, id_col, text_col, words, wanted.select("c", "digest", "pick"))
 
-    hubs = groups.select("g", "hub")
+    maps, first_maps, hubs = classes.select("c", "n", "map"), hubs.select("g", F.col("first_map").alias("map")), hubs.select("g", "hub")
     near = lists.filter(F.col("prev_g").isNotNull() & _within("n", "pos", "prev_n", "prev_pos", percent)).select(F.least("g", "prev_g").alias("g1"), F.greatest("g", "prev_g").alias("g2")).distinct()
     across = near.join(hubs.toDF("g1", "x"), "g1").join(hubs.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    pairs = written(members.filter("c <> hub").select(F.col("hub").alias("u"), F.col("c").alias("v")).unionByName(across), "near")
+    pairs = members.filter("c <> hub").select(F.col("hub").alias("u"), F.col("c").alias("v")).unionByName(across)
+    pairs = written(_plausible(pairs, maps, percent), "near")
     links = _verified(pairs, written(expanded(pairs), "sets"), percent)
     for forest in (True, False):
         roots = components(links).select(F.col("node").alias("c"), "root")
         labels = written(members.select("g", "c", "far").join(roots, "c", "left").select("g", "c", "far", F.coalesce("root", "c").alias("label")), "labels")
         spread = written(labels.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").cast("long").alias("far")), "spread")
-        rest = _rest(lists, spread, groups, percent, forest)
+        if forest:
+            lists = written(_meeting(lists, spread, percent), "meeting")
+        rest = _rest(lists, spread, first_maps, percent, forest)
         if forest:
             pairs = rest.join(hubs.toDF("g1", "x"), "g1").join(hubs.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
         else:
             rest = rest.unionByName(spread.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
             left, right = labels.select("g", "c", "label").toDF("g1", "u", "a"), labels.select("g", "c", "label").toDF("g2", "v", "z")
             pairs = rest.join(left, "g1").join(right, "g2").filter("a <> z AND (g1 <> g2 OR u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        pairs = written(pairs, "candidates")
+        pairs = written(_plausible(pairs, maps, percent), "candidates")
         more = _verified(pairs, written(expanded(pairs), "sets"), percent)
         links = roots.toDF("u", "v").unionByName(more)
     roots = components(links).select(F.col("node").alias("c"), "root")
