@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surfacewx.llm import ann, bpe, chat, decontam, html, jaccard, quality, sharding, simhash, toxicity, warc
+from surfacewx.llm import ann, bpe, chat, decontam, html, jaccard, phrases, quality, sharding, simhash, toxicity, trie, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARDS = [f"shard-{i:04d}" for i in range(256)]
@@ -108,9 +108,21 @@ def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of rebuilt conversations: each begins with the first turns of the one at the multiple of five below it."""
+    conv = F.col("conv")
+    head = F.pmod(F.crc32(conv.cast("string").cast("binary")), F.lit(9))
+    turns, convs = trie.with_borrowed_heads(trie.numbered_turns(_table(spark, sf_dir, "conversations")), conv - conv % 5, head, most=8)
+    return trie.prefix_trie(turns, convs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_bpe_encoding, op3_warc_archives, op4_sharding, op5_toxicity, op6_html_extraction, op7_decontamination, op8_simhash, op9_nearest, op10_quality, op11_jaccard_join)
+    for f in (op1_chat_formatting, op2_bpe_encoding, op3_warc_archives, op4_sharding, op5_toxicity, op6_html_extraction, op7_decontamination, op8_simhash, op9_nearest, op10_quality, op11_jaccard_join, op12_phrase_mining, op13_prefix_trie)
 }
 
 _CONTROL = r"([<\[])(/?s>|</?SYS>>|\|im_(?:start|sep|end)\|>|/?INST\])"
@@ -177,4 +189,58 @@ s AS (
   SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.e, c.e)) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 20""",
+    "op11_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT r, hash(array_to_string(w[s:s + 3], ' ')) AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 2))) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+pairs AS (SELECT a.r AS u, b.r AS v, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN sizes a ON a.r = u JOIN sizes b ON b.r = v WHERE 100 * o >= 85 * (a.n + b.n - o)),
+reach AS (SELECT r, r AS v FROM words UNION SELECT reach.r, links.v FROM reach JOIN links ON links.u = reach.v),
+low AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN words ON words.r = reach.v GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM words LEFT JOIN sizes USING (r) JOIN low USING (r)""",
+    "op12_phrase_mining": r"""
+WITH told AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS parts FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(parts), '[^\x20\x09]+') AS w FROM told),
+grams AS (
+  SELECT lang, k, w[s:s + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 100),
+covered AS (SELECT DISTINCT lang, part AS g, a FROM (SELECT lang, a, unnest([g[1:k - 1], g[2:k]]) AS part FROM often WHERE k > 2)),
+alive AS (SELECT * FROM often o WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = o.lang AND c.g = o.g AND c.a = o.a)),
+cuts AS (SELECT lang, g, a, k, c, g[1:c] AS g1, g[c + 1:k] AS g2 FROM (SELECT *, unnest(range(1, k)) AS c FROM alive)),
+scored AS (
+  SELECT u.lang, u.g, u.a, u.c, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * u.a * t.n // (x.f::HUGEINT * y.f)) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.g = u.g1 JOIN f y ON y.lang = u.lang AND y.g = u.g2 JOIN totals t ON t.lang = u.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
+    "op13_prefix_trie": r"""
+WITH told AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, octet_length(encode(coalesce(text, ''))) AS size,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL),
+lens AS (SELECT c, count(*) AS len, [ascii(x) FOR x IN string_split(c::VARCHAR, '')] AS digits FROM told GROUP BY c),
+plan AS (
+  SELECT c, len, c - c % 5 AS donor,
+    xor(list_reduce(list_concat([4294967295], flatten([[b, -1, -1, -1, -1, -1, -1, -1, -1] FOR b IN digits])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h FROM lens),
+given AS (SELECT p.c, p.donor, p.h, least(p.h, coalesce(d.len, 0)) AS lent, least(p.h, coalesce(d.len, 0)) + greatest(p.len - p.h, 0) AS depth FROM plan p LEFT JOIN lens d ON d.c = p.donor),
+turns AS (
+  SELECT g.c, t.pos, t.size, t.t FROM given g JOIN told t ON t.c = g.donor AND t.pos <= g.h
+  UNION ALL SELECT g.c, g.lent + t.pos - g.h, t.size, t.t FROM given g JOIN told t ON t.c = g.c AND t.pos > g.h),
+keyed AS (SELECT c, pos AS depth, size, string_agg(t, '') OVER (PARTITION BY c ORDER BY pos) AS key FROM turns),
+marks AS (
+  SELECT c, depth, size, sha256(key) AS key, lag(sha256(key), 1, 'root') OVER (PARTITION BY c ORDER BY depth) AS up FROM keyed
+  UNION ALL SELECT c, 0, 0, 'root', NULL FROM lens),
+nodes AS (SELECT depth, key, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size, max(up) AS up FROM marks GROUP BY depth, key),
+kids AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.key = n.key),
+sums AS (
+  SELECT m.depth, m.key, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved_tokens
+  FROM full f JOIN marks m ON m.c = f.conv_id AND m.depth <= f.depth GROUP BY ALL),
+ends AS (SELECT m.depth, m.key, sha256(string_agg(m.c::VARCHAR, ',' ORDER BY m.c)) AS ends FROM marks m JOIN given g ON g.c = m.c AND g.depth = m.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM full f JOIN sums s ON s.depth = f.depth AND s.key = f.key LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.key = f.up LEFT JOIN ends e ON e.depth = f.depth AND e.key = f.key""",
 }
