@@ -236,11 +236,11 @@ marks AS (
   UNION ALL SELECT c, 0, 0, 'root', NULL FROM lens),
 nodes AS (SELECT depth, key, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size, max(up) AS up FROM marks GROUP BY depth, key),
 kids AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
-full AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.key = n.key),
+whole AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.key = n.key),
 sums AS (
   SELECT m.depth, m.key, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved_tokens
-  FROM full f JOIN marks m ON m.c = f.conv_id AND m.depth <= f.depth GROUP BY ALL),
+  FROM whole f JOIN marks m ON m.c = f.conv_id AND m.depth <= f.depth GROUP BY ALL),
 ends AS (SELECT m.depth, m.key, sha256(string_agg(m.c::VARCHAR, ',' ORDER BY m.c)) AS ends FROM marks m JOIN given g ON g.c = m.c AND g.depth = m.depth GROUP BY ALL)
 SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
-FROM full f JOIN sums s ON s.depth = f.depth AND s.key = f.key LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.key = f.up LEFT JOIN ends e ON e.depth = f.depth AND e.key = f.key""",
+FROM whole f JOIN sums s ON s.depth = f.depth AND s.key = f.key LEFT JOIN nodes p ON p.depth = f.depth - 1 AND p.key = f.up LEFT JOIN ends e ON e.depth = f.depth AND e.key = f.key""",
 }
