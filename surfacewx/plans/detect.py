@@ -17,6 +17,7 @@ from surfacewx.operators.outliers import find_outliers
 from surfacewx.operators.radius import selected_ids, within_radius
 from surfacewx.operators.report import format_report, sort_report
 from surfacewx.operators.stats import pooled_stats
+from surfacewx.plans.table import merged_statistics
 from surfacewx.schema import (
     DEFAULT_DELTA,
     DEFAULT_ELEVATION,
@@ -56,6 +57,7 @@ def selected_observations(
     station_key: str = "station_id",
     station_columns: list[str] | None = None,
     materialize_selection: bool = True,
+    prune: bool | None = None,
 ) -> DataFrame:
     """Observations of the stations within the radius, with station metadata.
 
@@ -65,6 +67,12 @@ def selected_observations(
     observation side when station coordinates are functions of the join key
     (it would then compute a distance per observation).
 
+    With ``prune`` the selection's key range, and few ids, are also literal
+    filters on the observations, which costs two small jobs and pays where a
+    scan can skip by a stored key. By default that is taken to be so for the
+    key ``station_id`` (the ingested table's), not for others, which may be
+    computed.
+
     ``observation_id`` is derived as ``station_id-year`` when the input has
     none (observations that do not come from files).
     """
@@ -76,7 +84,9 @@ def selected_observations(
 
         sel = materialize(sel)
     narrow = [c for c in ("month", "day", "hour", "event_id") if c in obs.columns]
-    joined = dimension_join(pruned(obs, sel, obs_key, station_key), sel, obs_key, station_key, "inner", salt_cols=narrow or None)
+    if prune if prune is not None else obs_key == "station_id":
+        obs = pruned(obs, sel, obs_key, station_key)
+    joined = dimension_join(obs, sel, obs_key, station_key, "inner", salt_cols=narrow or None)
     if "observation_id" not in joined.columns:
         joined = joined.withColumn(
             "observation_id", F.concat_ws("-", F.col("station_id"), F.col("year").cast("string"))
@@ -100,6 +110,8 @@ def detect(
     formatted: bool = True,
     sort: bool = True,
     materialize: bool = False,
+    statistics: DataFrame | None = None,
+    prune: bool | None = None,
 ) -> DataFrame:
     """Report of the observations strictly above mean + delta * stddev.
 
@@ -114,12 +126,22 @@ def detect(
     threshold pushed down. With ``materialize`` the outlier rows are
     checkpointed before the sort (see ``materialize_outliers``), which spares
     the sampling job's read: worth it on raw text.
+
+    ``statistics``: the partials kept with an ingested table
+    (``surfacewx.plans.table.table_statistics``). The threshold is then merged
+    from those of the selected stations, a row per station and year, and the
+    observations are not read for it.
     """
     cols = ["station_id", "station_name", "country", "state", "latitude", "longitude", "elevation"]
     joined = selected_observations(
-        obs, stations, latitude, longitude, elevation, radius_m, obs_key, station_key, station_columns=cols
+        obs, stations, latitude, longitude, elevation, radius_m, obs_key, station_key, station_columns=cols, prune=prune
     )
-    out = find_outliers(joined, value_col, delta)
+    if statistics is None:
+        out = find_outliers(joined, value_col, delta)
+    else:
+        sel = selected_ids(stations, latitude, longitude, elevation, radius_m)
+        pooled = merged_statistics(statistics, value_col, sel)
+        out = joined.filter(F.col(value_col) > pooled.select(F.col("mean") + F.lit(float(delta)) * F.col("stddev")).scalar())
     return _finish(out, value_col, tiebreak, keep, formatted, sort, materialize)
 
 
@@ -235,7 +257,7 @@ def detect_files(
         from pyspark import StorageLevel
 
         obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
-    report = detect(obs, stations, latitude, longitude, elevation, radius_m, delta, value_col, materialize=True)
+    report = detect(obs, stations, latitude, longitude, elevation, radius_m, delta, value_col, materialize=True, prune=False)
     if output is not None:
         from surfacewx.sinks.csv import write_report_csv
 

@@ -308,3 +308,20 @@ sel AS (
 SELECT {REPORT_SELECT}, event_id
 FROM o WHERE wind_speed > (SELECT m + 2e0 * s FROM st)"""
 )
+
+# Queries that reach the same rows by another way: from the ingested table, from a report file.
+ORACLE["ingested_detect"] = ORACLE["flagship_outliers"]
+ORACLE["report_file"] = ORACLE["flagship_outliers"]
+ORACLE["ingested_stats"] = BASE_SEL + SEL_OBS + "\nSELECT " + _stats_cols() + ", (SELECT max(wind_speed) FROM o) AS high FROM st"
+ORACLE["ingest_counts"] = """
+SELECT CASE WHEN event_id % 2 = 0 THEN 'kept' ELSE 'dropped' END AS batch, count(*) AS lines,
+       count(*) FILTER (WHERE event_id % 7 = 0) AS bad, count(*) FILTER (WHERE event_id % 7 <> 0) AS n_rows
+FROM events GROUP BY ALL"""
+ORACLE["ingest_quarantine"] = BASE + LINES + """
+SELECT 'kept' AS batch, observation_id, regexp_extract(observation_id, '^(.*)-', 1) AS station_id, value AS line
+FROM damaged WHERE event_id % 7 = 0 AND event_id % 2 = 0"""
+ORACLE["sql_distance"] = ORACLE["distance"]
+ORACLE["sql_keys"] = BASE + FILE_NAMES + """
+SELECT event_id, observation_id, CASE WHEN contains(observation_id, '-') THEN regexp_extract(observation_id, '^(.*)-', 1) END AS station_id,
+       CAST(floor(event_id / 16e0 * 10e0 + 0.5e0) AS BIGINT) AS tenths
+FROM keys"""

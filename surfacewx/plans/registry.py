@@ -25,8 +25,12 @@ from surfacewx.operators.report import format_report, sort_report
 from surfacewx.operators.sort import number_rows
 from surfacewx.operators.stats import merge_partials, partial_stats, pooled_stats, pooled_stats_many
 from surfacewx.operators.union import union_observations
+from surfacewx.functions.sql import register_sql_functions
 from surfacewx.plans.detect import detect, detect_files, detect_stats, outlier_report, pruned
+from surfacewx.plans.ingest import read_observation_table
+from surfacewx.plans.table import ingest_lines, merged_statistics, table_ingests, table_quarantine, table_statistics
 from surfacewx.session import ensure_checkpoint_dir, materialize
+from surfacewx.sinks.file import write_report_file
 from surfacewx.schema import (
     DEFAULT_DELTA,
     DEFAULT_ELEVATION,
@@ -409,6 +413,83 @@ def outlier_report_q(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- ingested table, report file, SQL functions
+def _ingested(spark: SparkSession, d: str) -> str:
+    """A table of two batches of observation lines; the second is first
+    ingested with half of its lines only, then replaced."""
+    names = materialize(_stations(spark, d).select("s_suppkey", "station_id"))
+    obs = dimension_join(_obs(spark, d, spread(_table(spark, d, "events"), _cores(spark))), names, "k", "s_suppkey")
+    obs = obs.withColumn("observation_id", F.concat_ws("-", "station_id", F.col("year").cast("string")))
+    lines = materialize(render_observation_lines(obs, keep=["event_id"]))
+    path = _shared_folder(spark)
+    ingest_lines(lines.filter("event_id % 2 = 0"), path, "even")
+    ingest_lines(lines.filter("event_id % 4 = 1"), path, "odd")
+    ingest_lines(lines.filter("event_id % 2 = 1"), path, "odd")
+    return path
+
+
+def ingested_stats(spark: SparkSession, d: str) -> DataFrame:
+    """A1 A2 over the selection, from the statistics kept with the table."""
+    sel = selected_ids(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M)
+    s = merged_statistics(table_statistics(spark, _ingested(spark, d)), "wind_speed", sel)
+    return s.select("n", _r("mean", 6).alias("mean"), _r("stddev", 6).alias("stddev"), "high")
+
+
+def ingested_detect(spark: SparkSession, d: str) -> DataFrame:
+    """C1 over the ingested table, its threshold from the kept statistics."""
+    path = _ingested(spark, d)
+    return detect(read_observation_table(spark, path), _stations(spark, d), *CENTRE, DEFAULT_RADIUS_M, DEFAULT_DELTA, statistics=table_statistics(spark, path))
+
+
+def _accounted(spark: SparkSession, d: str) -> str:
+    """A table of damaged lines: a batch whose bad lines are kept, one whose bad lines are dropped."""
+    lines = _damaged_lines(spark, d).withColumn("station_id", station_key("observation_id"))
+    path = _shared_folder(spark)
+    ingest_lines(lines.filter("event_id % 2 = 0"), path, "kept", "PERMISSIVE")
+    ingest_lines(lines.filter("event_id % 2 = 1"), path, "dropped", "DROPMALFORMED")
+    return path
+
+
+def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines read and bad lines of each batch, with the rows the table has of it."""
+    path = _accounted(spark, d)
+    rows = spark.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"))
+    return table_ingests(spark, path).join(rows, "batch", "left").select("batch", "lines", "bad", "n_rows")
+
+
+def ingest_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """S2 PERMISSIVE: the bad lines of the batch that keeps them, as text."""
+    return table_quarantine(spark, _accounted(spark, d)).select("batch", "observation_id", "station_id", "line")
+
+
+def report_file(spark: SparkSession, d: str) -> DataFrame:
+    """K1: the C1 report written as one file at an exact path and read back."""
+    path = f"{_shared_folder(spark)}/results.txt"
+    write_report_file(flagship_outliers(spark, d), path)
+    read = spark.read.option("header", True).csv(path).toDF(*REPORT_FIELDS)
+    return read.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in REPORT_FIELDS])
+
+
+def sql_distance(spark: SparkSession, d: str) -> DataFrame:
+    """X1 X2 from SQL text alone."""
+    register_sql_functions(spark)
+    lat, lon, elev = CENTRE
+    stations = _stations(spark, d)
+    return spark.sql(
+        f"SELECT station_id, round(weather_distance_m({lat}D, {lon}D, {elev}D, latitude, longitude, elevation), 3) AS distance_m FROM {{stations}}",
+        stations=stations,
+    )
+
+
+def sql_keys(spark: SparkSession, d: str) -> DataFrame:
+    """X5 X12 X13 from SQL text alone: the keys of file names."""
+    register_sql_functions(spark)
+    return spark.sql(
+        "SELECT event_id, observation_key(path) AS observation_id, station_key(observation_key(path)) AS station_id, round_half_up_x10(event_id / 16.0D) AS tenths FROM {files}",
+        files=_file_names(spark, d),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "flagship_outliers": flagship_outliers,
     "detect_dallas": detect_dallas,
@@ -442,5 +523,12 @@ QUERIES: dict[str, Query] = {
     "enrich_outliers": enrich_outliers,
     "format_report": format_report_q,
     "outlier_report": outlier_report_q,
+    "ingested_stats": ingested_stats,
+    "ingested_detect": ingested_detect,
+    "ingest_counts": ingest_counts,
+    "ingest_quarantine": ingest_quarantine,
+    "report_file": report_file,
+    "sql_distance": sql_distance,
+    "sql_keys": sql_keys,
 }
 
