@@ -7,18 +7,17 @@ links). Two sets that reach the threshold share a shingle of their prefixes,
 and classes with the same size and prefix are collapsed into one group.
 
 1. Groups meet in the lists of their prefix shingles. Length and positional
-   bounds filter group pairs.
-2. First only neighbours in a list (by size) and each group's members against
-   its first member are verified: work in proportion to the prefixes. What
-   they link gets one label.
-3. Then every pair of a list is filtered, but for those of one label, whose
-   links would not change the components. A third bound joins the two: each
-   set has a parity bit map about twice its size, and the bits in which two
-   differ are a lower bound of the shingles that only one of them has. A group
-   carries the map of its first member and how far its others are from it.
-   A first pass takes of each list only a spanning forest of its labels, the
-   most alike pairs, verifies these and joins labels; the second takes all
-   pairs left, expands them into members of different labels and verifies.
+   bounds filter group pairs; entries that meet no other group drop out.
+   Then a third bound: each set has a parity bit map about twice its size, and
+   the bits in which two differ are a lower bound of the shingles that only
+   one of them has. A group carries the map of its first member and how far
+   its others are from it.
+2. A first pass takes of each list only a spanning forest of its groups, the
+   most alike pairs, and each group's members against its first. They are
+   verified, and what they link gets one label.
+3. The second pass takes every group pair left that is not of one label (other
+   links would not change the components), expands it into members of
+   different labels and verifies these.
 
 Lists above ``BLOCK`` entries are split into blocks and each pair of blocks
 is a group of its own; hot shingles, hot hubs and hot classes are split too.
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surfacewx.llm.common import components, join_unique, mapped, slices, written
@@ -124,9 +123,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
 
 
 def _lists(groups: DataFrame, n_classes: int, rarity: np.ndarray) -> DataFrame:
-    """``(token, g, n, pos, prev_g, prev_n, prev_pos)``: the entries of the
-    lists of prefix shingles that more than one group has, each with its
-    neighbour before it in the order of size."""
+    """``(token, g, n, pos)``: the entries of the lists of prefix shingles that more than one group has."""
     order = groups.sparkSession.sparkContext.broadcast(rarity)
     hot = min(255, int(4 * np.log2(n_classes / HOT + 1))) if n_classes > HOT else 255
 
@@ -144,18 +141,9 @@ def _lists(groups: DataFrame, n_classes: int, rarity: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), salt, g, n.astype(np.int32), pos.astype(np.int32))], names=["token", "salt", "g", "n", "pos"])
 
     made = mapped(groups.select("g", "n", "prefix"), post, "token long, salt int, g long, n int, pos int")
-    near = Window.partitionBy("token", "salt").orderBy("n", "g")
-    columns = [F.lag(c).over(near).alias(f"prev_{c}") for c in ("g", "n", "pos")]
-    listed = made.select("token", "salt", "g", "n", "pos", *columns, F.lead("g").over(near).alias("next_g"))
-    return listed.filter("salt > 0 OR prev_g IS NOT NULL OR next_g IS NOT NULL").drop("salt", "next_g")
-
-
-def _within(n1: str, pos1: str, n2: str, pos2: str, percent: int) -> Column:
-    """The bounds on a pair whose first common shingle stands at these places:
-    sizes near enough, and enough shingles left for the overlap needed."""
-    low, high = F.least(n1, n2).cast("long"), F.greatest(n1, n2).cast("long")
-    left = F.least(F.col(n1) - F.col(pos1), F.col(n2) - F.col(pos2)).cast("long")
-    return (100 * low >= percent * high) & ((100 + percent) * left >= percent * (low + high))
+    beside = Window.partitionBy("token", "salt").orderBy("g")
+    listed = made.select("*", F.lag("g").over(beside).alias("before"), F.lead("g").over(beside).alias("after"))
+    return listed.filter("salt > 0 OR before IS NOT NULL OR after IS NOT NULL").select("token", "g", "n", "pos")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -382,9 +370,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = written(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
     hubs = classes.groupBy("alike").agg(F.min("c").alias("hub"), F.min_by("map", "c").alias("first_map"), F.count(F.lit(1)).alias("m"))
     hubs = written(hubs.join(groups.select("alike", "g"), "alike"), "hubs")
-    members = join_unique(classes.select("c", "digest", "pick", "alike", "map"), hubs, "alike", "m", n_classes)
+    members = join_unique(classes.select("c", "digest", "pick", "n", "alike", "map"), hubs, "alike", "m", n_classes)
     apart = F.aggregate(F.zip_with("map", "first_map", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    members = written(members.select("c", "digest", "pick", "g", "hub", apart.alias("far")), "members")
+    members = written(members.select("c", "digest", "pick", "n", "g", "hub", apart.alias("far")), "members")
     lists = written(_lists(groups, n_classes, rarity), "lists")
 
     def expanded(classes_of: DataFrame) -> DataFrame:
@@ -392,27 +380,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _sets(docs, id_col, text_col, words, wanted.select("c", "digest", "pick"))
 
     maps, first_maps, hubs = classes.select("c", "n", "map"), hubs.select("g", F.col("first_map").alias("map")), hubs.select("g", "hub")
-    near = lists.filter(F.col("prev_g").isNotNull() & _within("n", "pos", "prev_n", "prev_pos", percent)).select(F.least("g", "prev_g").alias("g1"), F.greatest("g", "prev_g").alias("g2")).distinct()
-    across = near.join(hubs.toDF("g1", "x"), "g1").join(hubs.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-    pairs = members.filter("c <> hub").select(F.col("hub").alias("u"), F.col("c").alias("v")).unionByName(across)
-    pairs = written(_plausible(pairs, maps, percent), "near")
+    # First pass: each group has a label of its own.
+    spread = members.groupBy("g").agg(F.min("hub").alias("low"), F.min("hub").alias("high"), F.max("far").cast("long").alias("far"))
+    spread = written(spread, "spread")
+    lists = written(_meeting(lists, spread, percent), "meeting")
+    across = _rest(lists, spread, first_maps, percent, forest=True).join(hubs.toDF("g1", "x"), "g1").join(hubs.toDF("g2", "y"), "g2")
+    inside = members.filter(F.col("c") != F.col("hub")).filter((100 + percent) * F.col("far") <= 2 * (100 - percent) * F.col("n"))
+    pairs = across.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).unionByName(inside.select(F.col("hub").alias("u"), F.col("c").alias("v")))
+    pairs = written(pairs, "candidates")
     links = _verified(pairs, written(expanded(pairs), "sets"), percent)
-    for forest in (True, False):
-        roots = components(links).select(F.col("node").alias("c"), "root")
-        labels = written(members.select("g", "c", "far").join(roots, "c", "left").select("g", "c", "far", F.coalesce("root", "c").alias("label")), "labels")
-        spread = written(labels.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").cast("long").alias("far")), "spread")
-        if forest:
-            lists = written(_meeting(lists, spread, percent), "meeting")
-        rest = _rest(lists, spread, first_maps, percent, forest)
-        if forest:
-            pairs = rest.join(hubs.toDF("g1", "x"), "g1").join(hubs.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
-        else:
-            rest = rest.unionByName(spread.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
-            left, right = labels.select("g", "c", "label").toDF("g1", "u", "a"), labels.select("g", "c", "label").toDF("g2", "v", "z")
-            pairs = rest.join(left, "g1").join(right, "g2").filter("a <> z AND (g1 <> g2 OR u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        pairs = written(_plausible(pairs, maps, percent), "candidates")
-        more = _verified(pairs, written(expanded(pairs), "sets"), percent)
-        links = roots.toDF("u", "v").unionByName(more)
+    # Second pass: all that is left between labels.
+    roots = components(links).select(F.col("node").alias("c"), "root")
+    labels = written(members.select("g", "c", "far").join(roots, "c", "left").select("g", "c", "far", F.coalesce("root", "c").alias("label")), "labels")
+    spread = written(labels.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").cast("long").alias("far")), "spread")
+    rest = _rest(lists, spread, first_maps, percent, forest=False).unionByName(spread.filter("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
+    left, right = labels.select("g", "c", "label").toDF("g1", "u", "a"), labels.select("g", "c", "label").toDF("g2", "v", "z")
+    pairs = rest.join(left, "g1").join(right, "g2").filter("a <> z AND (g1 <> g2 OR u < v)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = written(_plausible(pairs, maps, percent), "candidates")
+    more = _verified(pairs, written(expanded(pairs), "sets"), percent)
+    links = roots.toDF("u", "v").unionByName(more)
     roots = components(links).select(F.col("node").alias("c"), "root")
     rooted = written(classes.select("digest", "c", "id", "size").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
     lowest = written(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("k")), "lowest")
