@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -64,7 +65,9 @@ BY_FORM, BY_NAME, BY_TAG = 1, 2, 3
 # Whether inside an article: one in its own right, or one inside something that a class or id names as chrome.
 OWN, NAMED = 1, 2
 #: Marked sections that the standard parser takes.
-KNOWN_SECTION = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![a-z0-9_.-])\s*\S", re.I)
+KNOWN_SECTION = re.compile(r"<!\[(temp|cdata|ignore|include|rcdata|if|else|endif)(?![a-z0-9_.-])\s*\S", re.I)
+#: What ends a comment, a marked section and a conditional one.
+COMMENT_END, SECTION_END, CONDITION_END = re.compile(r"--!?\s*>"), re.compile(r"\]\s*\]\s*>"), re.compile(r"\]\s*>")
 #: Character references with more digits than Python reads: leading zeros, and numbers beyond Unicode.
 ZEROS, BEYOND = re.compile(r"&#0{8,}(?=[0-9])"), re.compile(r"&#0*[1-9][0-9]{7,};?")
 # Line flags.
@@ -86,6 +89,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
         self.open: list[tuple[str, bool, int, int]] = []  # tag, and whether inside: hidden, chrome, article
+        self.at: dict[str, list[int]] = {}  # tag to its places in ``open``
+        self.last: dict[tuple, int] = {}  # where a pattern last matches
         self.parts: list[str] = []
 
     def state(self) -> tuple[bool, int, int]:
@@ -101,15 +106,14 @@ class Lines(HTMLParser):
 
     def end(self, tags: set | frozenset, stop: frozenset) -> None:
         """Close the innermost open element of ``tags`` that no element of ``stop`` encloses."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                outside = self.open[i - 1][1:] if i else (False, 0, 0)
-                if self.state() != outside or any(x[0] in BLOCKS for x in self.open[i:]):
-                    self.cut()
-                del self.open[i:]
-                return
-            if self.open[i][0] in stop:
-                return
+        i = max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+        if i < 0 or any(self.at[t][-1] > i for t in stop if self.at.get(t)):
+            return
+        outside = self.open[i - 1][1:] if i else (False, 0, 0)
+        if self.state() != outside or any(x[0] in BLOCKS for x in self.open[i:]):
+            self.cut()
+        while len(self.open) > i:
+            self.at[self.open.pop()[0]].pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in INSIDE_P:
@@ -138,6 +142,7 @@ class Lines(HTMLParser):
         chrome = max(chrome, BY_NAME * named, BY_FORM * (tag == "form" or role == "form"))
         if (hidden, chrome, article) != self.state() and tag not in BLOCKS:
             self.cut()
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, hidden, chrome, article))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -150,10 +155,21 @@ class Lines(HTMLParser):
             return
         self.end({tag}, CONTAINERS - {tag} if tag not in BLOCKS else frozenset())
 
+    def ends(self, pattern: re.Pattern, i: int) -> bool:
+        """Whether ``pattern`` matches at or after ``i``; the page is searched once, not once per opening."""
+        key = pattern, len(self.rawdata)
+        if key not in self.last:
+            self.last[key] = max((m.start() for m in pattern.finditer(self.rawdata)), default=-1)
+        return self.last[key] >= i
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return COMMENT_END.search(self.rawdata, i + 4).end() if self.ends(COMMENT_END, i + 4) else -1
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """``<![`` up to ``>`` (or the end of the page) is a comment, as in browsers; the base class raises on unknown ones."""
-        if KNOWN_SECTION.match(self.rawdata, i):
-            return super().parse_marked_section(i, report)
+        if m := KNOWN_SECTION.match(self.rawdata, i):
+            end = CONDITION_END if m[1].lower() in ("if", "else", "endif") else SECTION_END
+            return end.search(self.rawdata, i + 3).end() if self.ends(end, i + 3) else -1
         return self.rawdata.find(">", i) + 1 or len(self.rawdata)
 
     def handle_data(self, data: str) -> None:
@@ -165,12 +181,20 @@ CONTAINERS = frozenset("article aside body button div footer form header main na
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """The lines of a whole page in order, white space folded, character references decoded."""
+    """The lines of a whole page in order, white space folded, character references decoded.
+
+    No tag ends behind the last ``>``: what stands there is text, however many tags it opens.
+    The time is in proportion to the page's length, malformed pages included."""
     if not html:
         return []
+    html = BEYOND.sub("\ufffd", ZEROS.sub("&#", html))
+    end = html.rfind(">") + 1
     parser = Lines()
-    parser.feed(BEYOND.sub("\ufffd", ZEROS.sub("&#", html)))
+    parser.feed(html[:end])
     parser.close()
+    rest = html[end:]
+    section = next((m.start() for m in re.finditer(r"<!\[", rest) if not KNOWN_SECTION.match(rest, m.start())), len(rest))
+    parser.handle_data(unescape(rest[:section]))
     parser.cut()
     named = CHROME_LINE if any(f == TEXT for _, f in parser.lines) else TEXT
     return [(x, named if f == NAMED_TEXT else f) for x, f in parser.lines]
