@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacewx.llm.common import mapped
+from surfacewx.llm.common import mapped, written
 
 QUERY_CHUNK = 8192
 BLOCK = 2048
@@ -116,6 +116,11 @@ def _blocks(ids: np.ndarray, column: pa.Array) -> Iterator[Block]:
             yield Block(ids[some], flat[starts[some][:, None] + np.arange(d)])
 
 
+def chunk_of(chunks: int) -> Column:
+    """The chunk of a query row ``(id, v)``."""
+    return F.pmod(F.xxhash64("id", "v"), F.lit(chunks))
+
+
 def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible
     by ``every`` the ``k`` rows with the largest inner products, its own id
@@ -128,14 +133,15 @@ def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     """
     spark = df.sparkSession
     vectors = df.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    queries = vectors.filter(F.col("id") % every == 0)
-    # Ids over ``every`` number the queries; a hash of them fills the chunks evenly.
+    # Equal rows ask the same, so each stands once; rows of one id with different vectors
+    # are dealt apart by a hash of both, so that a chunk's bound holds whatever the ids are.
+    queries = written(vectors.filter(F.col("id") % every == 0).distinct(), "queries")
     n = queries.count()
     chunks = max(1, -(-n // query_chunk))
     found = None
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     for chunk in range(chunks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).toArrow()
+        rows = queries.filter(chunk_of(chunks) == chunk).toArrow()
         column = rows.column("v").combine_chunks()
         sent = spark.sparkContext.broadcast([(b.ids, b.vectors) for b in _blocks(rows.column("id").to_numpy(), column)])
 
