@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surfacewx.llm.common import mapped, slices
+from surfacewx.llm.common import fresh, mapped, quoted, slices
 
 CACHED_WORDS = 500_000
 CACHED_PAIRS = 1_000_000
@@ -204,11 +205,14 @@ def encode_decode(df: DataFrame, vocabulary_path: str, text_col: str = "text", k
     decoded again, special tokens included).
 
     The driver reads the vocabulary (a few MB, fixed) and broadcasts it. Null
-    texts count as empty: no ids, empty ``decoded``. Rows keep their number.
+    texts count as empty: no ids, empty ``decoded``. Rows keep their number; an
+    empty table gives an empty result. Texts of any length are encoded whole, and
+    a text is one task's work. Which columns are named like the new ones is the
+    session's choice (``N_TOKENS`` is, unless it is case-sensitive).
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if c not in (text_col, "n_tokens", "ids", "decoded")] if keep is None else keep
+    keep = df.drop(text_col, "n_tokens", "ids", "decoded").columns if keep is None else keep
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,5 +222,5 @@ def encode_decode(df: DataFrame, vocabulary_path: str, text_col: str = "text", k
             made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([vocabulary.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*keep, "n_tokens", "ids", "decoded"])
 
-    source = df.select(*keep, df[text_col].alias("_bpe_text"))
+    source = df.select(*map(quoted, keep), F.col(text_col).alias(fresh(df, "_bpe_text")))
     return mapped(source, run, T.StructType([*source.schema.fields[:-1], *new]))

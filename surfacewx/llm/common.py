@@ -144,6 +144,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as text that Spark reads as that name, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def position(df: DataFrame, name: str) -> int:
+    """The place of the column that the session takes ``name`` for; Spark's own error if there is none."""
+    df.select(name)
+    return df.columns.index(name) if name in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+
 def wider(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with further columns (name to type) behind."""
     new = df.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]).schema

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import mapped, slices, wider
+from surfacewx.llm.common import mapped, position, slices, wider
 
 DIMENSIONS = 1 << 18
 FIT_ROWS = 12_000
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_least
     Columns of ``docs`` that are named like the new ones give way to them."""
     docs = docs.drop(*into)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at = position(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()

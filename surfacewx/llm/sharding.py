@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surfacewx.llm.common import quoted
+
 SLOTS = 65537
 
 
@@ -47,12 +49,15 @@ def place(df: DataFrame, shards: Sequence[str], key_cols: Sequence[str] = ("doc_
     The slot is a hash of the key columns modulo the table's size; null is a
     key like any other, and equal keys always go to the same shard. Nothing
     is shuffled: the table, ``slots`` short rows whatever the input, is
-    broadcast. Columns named ``slot`` or ``shard`` in ``df`` are replaced.
+    broadcast. Columns that the session takes for ``slot`` or ``shard`` (``Slot``
+    too, unless it is case-sensitive) are replaced, but may be keys. An empty
+    table gives an empty result.
     """
     spark = df.sparkSession
     table = spark.createDataFrame([(s, shards[i]) for s, i in enumerate(lookup_table(shards, slots))], "slot int, shard string")
-    keyed = df.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(*key_cols), F.lit(slots)).cast("int"))
-    return keyed.join(F.broadcast(table), "slot").select(*[c for c in df.columns if c not in ("slot", "shard")], "slot", "shard")
+    kept = [quoted(c) for c in df.drop("slot", "shard").columns]
+    keyed = df.select(*kept, F.pmod(F.xxhash64(*key_cols), F.lit(slots)).cast("int").alias("slot"))
+    return keyed.join(F.broadcast(table), "slot").select(*kept, "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 8) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import ascii_words, mapped, slices, wider
+from surfacewx.llm.common import ascii_words, mapped, position, slices, wider
 
 BITS = 22
 DIMENSIONS = 1 << BITS
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
     alike. A column of ``docs`` that is named like the new one gives way to it."""
     docs = docs.drop(into)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at = position(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()

@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -245,6 +246,25 @@ def test_lookup_table_is_filled_in_turns():
             sharding.lookup_table(*bad)
 
 
+def test_columns_named_like_the_new_ones_in_another_case(spark):
+    df = table(spark, [(1, "a b", "x", 7), (2, None, "y", 8)], "doc_id long, Text string, Slot string, N_TOKENS int")
+    placed = sharding.place(df, ["s1", "s2"], key_cols=["slot"])
+    assert placed.columns == ["doc_id", "Text", "N_TOKENS", "slot", "shard"]
+    assert dict(placed.dtypes)["slot"] == "int" and placed.count() == 2
+    want = df.select(F.pmod(F.xxhash64("Slot"), F.lit(sharding.SLOTS)).cast("int")).collect()
+    assert sorted(r.slot for r in placed.collect()) == sorted(r[0] for r in want)
+    assert sharding.place(df.limit(0), ["s1"]).count() == 0
+    coded = bpe.encode_decode(df, queries.vocabulary_path(), text_col="text")
+    assert coded.columns == ["doc_id", "Slot", "n_tokens", "ids", "decoded"]
+    assert [r.decoded for r in coded.orderBy("doc_id").collect()] == ["a b", ""]
+    dotted = df.withColumnRenamed("Slot", "a.b")
+    assert sharding.place(dotted, ["s1"]).columns[2] == "a.b"
+    model = toxicity.Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
+    assert [r.score for r in toxicity.score(df, model).collect()] == [0.5, 0.5]
+    graded = quality.score(df, quality.fit([], 3))
+    assert graded.columns == [*df.columns, "expected_grade", "tail_prob"] and graded.count() == 2
+
+
 def test_placement(spark, tmp_path):
     df = table(spark, [(k % 50 if k % 7 else None, "old", k) for k in range(500)], "doc_id long, shard string, x long")
     names = ["a", "b", "c"]
@@ -387,6 +407,61 @@ def test_malformed_pages(page, text):
     assert " ".join(x for x, _ in html.page_lines(page)) == text
 
 
+@pytest.mark.parametrize(
+    "start, unit, end",
+    [
+        ("", "<a ", ""),
+        ("", "<a ", ">"),
+        ("", "<!--", ""),
+        ("", "<!--x>", ""),
+        ("", "<!--", "--!>"),
+        ("", "<![cdata[ x>", "]>"),
+        ("", "<![if x>", ""),
+        ("", "<a x='\">", ""),
+        ("", "</", ""),
+        ("", "<?", ""),
+        ("", "&#", ""),
+        ("<script>", "</", ">"),
+        ("<span>" * 60_000, "<h2>x</h2>", ""),
+        ("<li><div>" + "<span>" * 60_000, "<li>x</li>", ""),
+        ("<td><table>" + "<b>" * 60_000, "</td>", ""),
+    ],
+)
+def test_a_page_of_a_megabyte_takes_seconds(start, unit, end):
+    page = start + unit * (-(-(1 << 20) // len(unit))) + end
+    before = time.process_time()
+    html.page_lines(page)
+    assert time.process_time() - before < 20
+
+
+def test_open_elements_are_found_as_by_a_walk():
+    class Walk(html.Lines):
+        def end(self, tags, stop):
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][0] in tags:
+                    outside = self.open[i - 1][1:] if i else (False, 0, 0)
+                    if self.state() != outside or any(x[0] in html.BLOCKS for x in self.open[i:]):
+                        self.cut()
+                    while len(self.open) > i:
+                        self.at[self.open.pop()[0]].pop()
+                    return
+                if self.open[i][0] in stop:
+                    return
+
+    rnd = random.Random(5)
+    tags = ["p", "div", "li", "ul", "td", "tr", "table", "span", "b", "article", "nav", "dt", "dd", "button", "form"]
+    for _ in range(400):
+        page = "".join(rnd.choice([f"<{t}>", f"</{t}>", f"w{k} "]) for k in range(60) for t in [rnd.choice(tags)])
+        got = []
+        for kind in (html.Lines, Walk):
+            parser = kind()
+            parser.feed(page)
+            parser.close()
+            parser.cut()
+            got.append((parser.lines, parser.open))
+        assert got[0] == got[1], page
+
+
 def test_markup_decides_where_there_is_an_article():
     page = "<article><p>own</p><p>quoted</p></article><p>outside</p>"
     flags = np.array([f for _, f in html.page_lines(page)], np.uint8)
@@ -532,6 +607,18 @@ def test_near_duplicates_and_what_stays(spark):
 # ---- 9 nearest neighbours
 
 
+def test_queries_of_one_id_are_dealt_to_many_chunks(spark):
+    rnd = np.random.default_rng(1)
+    same = [(0, [1.0, 2.0, 3.0])] * 500
+    rows = [(0, rnd.normal(size=3).tolist()) for _ in range(2000)] + same + [(k, rnd.normal(size=3).tolist()) for k in range(1, 400)]
+    df = table(spark, rows, "vec_id long, embedding array<double>")
+    dealt = df.filter("vec_id = 0").selectExpr("vec_id id", "embedding v").distinct().groupBy(ann.chunk_of(20)).count().collect()
+    assert len(dealt) == 20 and max(r[1] for r in dealt) < 200
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(df, k=5, query_chunk=100).collect()}
+    best = sorted((-max(float(ann.products(np.array([v]), np.array([w]))[0]) for i, v in rows if i == 0), k) for k, w in rows if k)[:5]
+    assert [got[0, n] for n in range(1, 6)] == [(k, -s) for s, k in best]
+
+
 def test_bounds_hold():
     rnd = np.random.default_rng(0)
     for scale in (1e-30, 1.0, 1e30):
