@@ -25,6 +25,7 @@ from surfacewx.schema import (
     DEFAULT_LONGITUDE,
     DEFAULT_RADIUS_M,
 )
+from surfacewx.sources.manifest import read_manifest, read_manifest_lines
 from surfacewx.sources.observations import parse_observations, read_observation_lines
 from surfacewx.sources.stations import read_stations
 
@@ -233,6 +234,7 @@ def detect_files(
     single_file: bool = True,
     persist: bool = False,
     partitions: int | None = None,
+    manifest: str | None = None,
 ) -> DataFrame:
     """``detect`` on raw observation files and a station CSV; writes the CSV
     report to ``output`` when given and returns the report DataFrame.
@@ -242,6 +244,10 @@ def detect_files(
     many are selected. With few, their ids are also literals, and the scan
     opens no other file.
 
+    With ``manifest``, the path of a table that ``write_manifest`` made, the
+    files are those of its rows, packed into tasks by size, and
+    ``observations_path`` is not read or listed.
+
     The statistics and the outlier filter each read the observations. On raw
     text that means two parses; ``persist`` keeps the parsed observations
     (memory, spilling to disk; recomputed from the files if an executor is
@@ -250,8 +256,12 @@ def detect_files(
     """
     stations = read_stations(spark, stations_path, mode=mode)
     ids = materialize_outliers(selected_ids(stations, latitude, longitude, elevation, radius_m))
-    lines = read_observation_lines(spark, observations_path, partitions=partitions)
-    lines = semi_join(pruned(lines, ids, "station_id", "station_id"), ids, "station_id")
+    if manifest is not None:
+        files = pruned(read_manifest(spark, manifest), ids, "station_id", "station_id")
+        lines = read_manifest_lines(semi_join(files, ids, "station_id"))
+    else:
+        lines = read_observation_lines(spark, observations_path, partitions=partitions)
+        lines = semi_join(pruned(lines, ids, "station_id", "station_id"), ids, "station_id")
     obs = parse_observations(lines, mode=mode)
     if persist:
         from pyspark import StorageLevel

@@ -287,6 +287,8 @@ SELECT sel.station_id || '-' || CAST(year AS VARCHAR) AS observation_id, sel.sta
        six_hour_precipitation, wind_speed_x10
 FROM obs JOIN sel ON obs.k = sel.s_suppkey"""
 ORACLE["detect_files"] = ORACLE["flagship_outliers"]
+ORACLE["manifest_scan"] = ORACLE["observation_scan"]
+ORACLE["detect_manifest"] = ORACLE["flagship_outliers"]
 
 # The whole job around another centre (Dallas, 139 m), 300 km, delta 2.
 ORACLE["detect_dallas"] = (

@@ -42,6 +42,7 @@ from surfacewx.schema import (
     STATION_COLUMNS,
 )
 from surfacewx.sources.fixtures import observations_from_events, station_count, stations_from_supplier, write_observation_files, write_station_csv
+from surfacewx.sources.manifest import read_manifest_lines, write_manifest
 from surfacewx.sources.observations import parse_observations, read_observation_lines, render_observation_lines
 from surfacewx.sources.stations import dedupe_last, lookup_stations, parse_station_lines, read_stations, render_station_lines, station_text
 
@@ -236,6 +237,21 @@ def detect_files_q(spark: SparkSession, d: str) -> DataFrame:
     return detect_files(spark, _observation_files(spark, d), _station_files(spark, d))
 
 
+def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
+    """As ``observation_scan``, the selected stations' files read by a manifest."""
+    ids = materialize(selected_ids(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M))
+    files = write_manifest(spark, _observation_files(spark, d), _shared_folder(spark))
+    lines = read_manifest_lines(semi_join(pruned(files, ids, "station_id", "station_id"), ids, "station_id"))
+    return parse_observations(lines).select(*[c for c in _PARSED if c != "event_id"])
+
+
+def detect_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """C1 over files that a manifest names."""
+    manifest, folder = _shared_folder(spark), _observation_files(spark, d)
+    write_manifest(spark, folder, manifest)
+    return detect_files(spark, folder, _station_files(spark, d), manifest=manifest)
+
+
 def _file_names(spark: SparkSession, d: str) -> DataFrame:
     """One synthetic observation-file path per event: plain, .gz, .txt.gz,
     and a non-observation name."""
@@ -502,6 +518,8 @@ QUERIES: dict[str, Query] = {
     "station_scan": station_scan,
     "observation_scan": observation_scan,
     "detect_files": detect_files_q,
+    "manifest_scan": manifest_scan,
+    "detect_manifest": detect_manifest,
     "observation_key": observation_key_q,
     "station_key": station_key_q,
     "stations_last_wins": stations_last_wins,

@@ -6,6 +6,7 @@ from surfacewx.sources.fixtures import (
     station_count,
     stations_from_supplier,
 )
+from surfacewx.sources.manifest import list_files, packed, read_manifest, read_manifest_lines, write_manifest
 from surfacewx.sources.observations import (
     empty_observations,
     parse_observations,
@@ -26,6 +27,11 @@ __all__ = [
     "observation_raw_from_events",
     "stations_from_supplier",
     "station_count",
+    "list_files",
+    "packed",
+    "read_manifest",
+    "read_manifest_lines",
+    "write_manifest",
     "empty_observations",
     "parse_observations",
     "read_observation_lines",

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from surfacewx.functions.decode import scaled_or_null, sentinel_or_null
 from surfacewx.schema import MEASURES
+from surfacewx.sources.files import place
 
 _USAF = "format_string('%06d', 720000 + s_suppkey)"
 _WBAN = "format_string('%05d', s_nationkey)"
@@ -110,10 +111,9 @@ def write_observation_files(lines: DataFrame, folder: str) -> None:
 
     A file's lines are dealt to one task, which streams them. It appears under
     its name when complete, so a task that runs again finds or replaces it."""
-    uri = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = fs.FileSystem.from_uri(uri)
+        files, base = place(folder)
         files.create_dir(base, recursive=True)
         name = part = out = None
 
