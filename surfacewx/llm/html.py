@@ -107,7 +107,7 @@ class Lines(HTMLParser):
     def end(self, tags: set | frozenset, stop: frozenset) -> None:
         """Close the innermost open element of ``tags`` that no element of ``stop`` encloses."""
         i = max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
-        if i < 0 or any(self.at[t][-1] > i for t in stop if self.at.get(t)):
+        if i < 0 or (i < len(self.open) - 1 and any(self.at[t][-1] > i for t in stop if self.at.get(t))):
             return
         outside = self.open[i - 1][1:] if i else (False, 0, 0)
         if self.state() != outside or any(x[0] in BLOCKS for x in self.open[i:]):
