@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surfacewx.llm.common import join_unique, mapped, shared_path, slices, written
+from surfacewx.sources.files import place
 
 ARCHIVE_BYTES = 8 << 20
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.jsonl", "datapackage.json"
@@ -39,7 +40,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    """Of a path as Hadoop writes it, ``s3a://`` too."""
+    return place(path)
 
 
 def payload_digest(payload: bytes) -> str:
