@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from surfacewx.llm.common import fresh, mapped, quoted, slices
 
-CACHED_WORDS = 500_000
+#: Words held between slices, by number and by characters: long words fill memory sooner.
+CACHED_WORDS, CACHED_CHARS = 500_000, 8 << 20
 CACHED_PAIRS = 1_000_000
 _TAIL = 4
 _NEVER = 1 << 60
@@ -87,6 +88,7 @@ class Vocabulary:
             sizes[b] |= set().union(*(sizes.get(b[k:], ()) for k in range(1, len(b))))
         self.sizes = {b: tuple(sorted(x, reverse=True)) for b, x in sizes.items()}
         self.words: dict[str, bytes] = {}
+        self.held = 0  # characters of the words held
         self.apart: dict[tuple[int, int], bool] = {}
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -175,10 +177,12 @@ class Vocabulary:
                 parts.append(row)
             else:
                 parts.append(split(text))
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > CACHED_WORDS or self.held > CACHED_CHARS:
             self.words.clear()
+            self.held = 0
         self.words.update(self.special)
         new = list(set().union(*parts).difference(self.words))
+        self.held += sum(map(len, new))
         collecting = gc.isenabled()
         gc.disable()  # a trie has no cycles, and looking for them takes longer than the walk
         try:

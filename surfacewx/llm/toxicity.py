@@ -28,7 +28,8 @@ BITS = 22
 DIMENSIONS = 1 << BITS
 FIT_ROWS = 16_000
 THRESHOLD = 0.7
-CACHED_WORDS = 300_000
+#: Words held between slices, by number and by bytes.
+CACHED_WORDS, CACHED_BYTES = 300_000, 8 << 20
 STEM = 4
 PAIR_VALUE = 0.3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -39,12 +40,14 @@ class Words(dict):
 
     def __init__(self):
         self.hashes, self.stems = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.held = 0  # bytes of the words
 
     def __missing__(self, word: bytes) -> int:
         n = len(self)
         if n == len(self.hashes):
             self.hashes, self.stems = np.concatenate([self.hashes, self.hashes]), np.concatenate([self.stems, self.stems])
         self[word] = n
+        self.held += len(word)
         self.hashes[n] = zlib.crc32(word) | len(word) << 32
         stem = word.decode()[:STEM].encode()
         self.stems[n] = zlib.crc32(stem) | (1 << 40 if len(stem) < len(word) else 1 << 41)
@@ -53,8 +56,9 @@ class Words(dict):
 
 def hashed(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Document numbers and coordinates of all features of several texts, repeats included."""
-    if len(words) > CACHED_WORDS:
+    if len(words) > CACHED_WORDS or words.held > CACHED_BYTES:
         words.clear()
+        words.held = 0
     rows = [ascii_words(t.lower()) if t else [] for t in texts]
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     doc = np.repeat(np.arange(len(rows)), sizes)

@@ -161,6 +161,22 @@ def test_bpe_equals_the_library(vocabulary):
     assert vocabulary.decode(broken.tobytes()) == library.decode(broken.tolist(), skip_special_tokens=False)
 
 
+def test_long_words_do_not_stay(vocabulary):
+    rnd = random.Random(2)
+    long = ["".join(rnd.choice("abcdefgh") for _ in range(200_000)) for _ in range(60)]
+    want = [vocabulary.encode([x])[0] for x in long[:2]]
+    for x in long:
+        vocabulary.encode([x])
+    assert sum(map(len, vocabulary.words)) <= bpe.CACHED_CHARS + 400_000 and [vocabulary.encode([x])[0] for x in long[:2]] == want
+    words = toxicity.Words()
+    first = toxicity.hashed(["a short text", long[0]], words)
+    for x in long:
+        toxicity.hashed([x], words)
+    assert sum(map(len, words)) == words.held <= toxicity.CACHED_BYTES + 200_000
+    again = toxicity.hashed(["a short text", long[0]], words)
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
 def test_bpe_rows(spark):
     df = table(spark, [(1, None, 5), (2, "", 6), (3, "same text", 7), (3, "same text", 7)], "doc_id long, text string, ids int")
     got = bpe.encode_decode(df, queries.vocabulary_path()).collect()
