@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from surfacewx.session import ensure_checkpoint_dir
 
 #: A key with more than 1/MAX_HOT of all rows is hot; there are fewer than MAX_HOT of them.
 MAX_HOT = 1024
+#: Below so many edges the components' joins need no look at hot nodes.
+SPLIT_FROM = 1 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -46,9 +48,9 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, key: str, count_col: str, total: int) -> DataFrame:
-    """``rows`` inner-joined with ``lookup``, which has one row per key and in
-    ``count_col`` the key's number of rows.
+def join_unique(rows: DataFrame, lookup: DataFrame, key: str, count_col: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left) with ``lookup``, which has one
+    row per key and in ``count_col`` the key's number of rows.
 
     Keys with more than ``total / MAX_HOT`` rows, fewer than ``MAX_HOT`` by
     construction, are joined by broadcast, so their rows stay where they are;
@@ -57,7 +59,7 @@ def join_unique(rows: DataFrame, lookup: DataFrame, key: str, count_col: str, to
     is_hot = F.col(count_col) * MAX_HOT > total
     hot = lookup.filter(is_hot)
     near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup.filter(~is_hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup.filter(~is_hot), key, how)
     return near.unionByName(far)
 
 
@@ -69,27 +71,35 @@ def components(edges: DataFrame) -> DataFrame:
     larger neighbours are linked to its smallest neighbour, then each node
     and its smaller neighbours are. At the end every edge leads to a root.
     Edges live in written tables; only a count and a checksum reach the driver.
+    A node with a large share of all edges meets its smallest neighbour by
+    broadcast (:func:`join_unique`). Up to ``SPLIT_FROM`` edges no node can have
+    more than a task holds with ease, and a plain join saves jobs.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    def lowest(df: DataFrame) -> DataFrame:
-        return df.groupBy("u").agg(F.min("v").alias("m"))
+    def with_lowest(df: DataFrame, edges_of: DataFrame, least: Column, total: int) -> tuple[DataFrame, DataFrame]:
+        """``df`` with ``m``, the smallest neighbour of ``u`` among ``edges_of``, and the table of these."""
+        low = edges_of.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n"))
+        if total <= SPLIT_FROM:
+            return df.join(low.drop("n"), "u"), low
+        low = written(low, "lowest")
+        spent.append(low)
+        return join_unique(df, low, "u", "n", total).drop("n"), low
 
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = state(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = lowest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "edges")
-        low = lowest(large)
-        joined = large.join(low, "u")
+        spent: list[DataFrame] = []
+        joined, _ = with_lowest(both.filter("v > u"), both, F.least(F.min("u"), F.min("v")), 2 * before[0])
+        large = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        joined, low = with_lowest(large, large, F.min("v"), before[0])
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         then = written(small, "edges")
-        drop_written(large)
-        drop_written(now)
+        for done in (large, now, *spent):
+            drop_written(done)
         now, after = then, state(then)
         if after == before:
             break

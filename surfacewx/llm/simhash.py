@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surfacewx.llm.common import components, fresh, join_unique, mapped, slices, wider, written
+from surfacewx.llm.common import components, fresh, join_unique, mapped, quoted, slices, wider, written
 
 BLOCK = 4096
 MAX_BLOCKS = 256
 WIDE_INDEX = 1 << 26
 _CHUNK = 1 << 16
+#: Up to so many 64-bit words of kept rows (16 bytes each with its number) are broadcast.
+MAP_WORDS = 1 << 21
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> bytes:
@@ -82,21 +84,39 @@ def index_sets(min_matches: int, groups: int) -> list[tuple[int, ...]]:
     return [c for g in range(groups) for c in combinations(range(g * 8 // groups, (g + 1) * 8 // groups), size)]
 
 
-def _links(a: np.ndarray, b: np.ndarray, same: bool, t: int, first: np.ndarray, min_matches: int, distance: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of ``a`` the indices in ``b`` (later ones if ``same``) that
-    reach the tally, are within the distance and have ``t`` as the first
-    index set they share."""
-    weights = (1 << np.arange(8)).astype(np.int64)
+def tallied(a: np.ndarray, b: np.ndarray, same: bool, min_matches: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of ``a`` and ``b`` (later ones of ``b`` if ``same``) that
+    share at least ``min_matches`` positional bytes, in order: the index hits
+    of each pair are counted position by position, and only pairs that reach
+    the minimum come out."""
+    left, right = a.view(np.uint8).reshape(-1, 8), np.ascontiguousarray(b.view(np.uint8).reshape(-1, 8).T)
     step = max(1, (1 << 20) // len(b))
     for s in range(0, len(a), step):
-        x = a[s : s + step, None] ^ b[None, :]
-        shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0) @ weights  # bit p: byte p (from the low end) agrees
-        ok = (np.bitwise_count(shared) >= min_matches) & (first[shared] == t)
-        ok &= np.bitwise_count(x) <= distance
+        rows = left[s : s + step]
+        tally = np.zeros((len(rows), len(b)), np.uint8)
+        for p in range(8):
+            tally += rows[:, p, None] == right[p]
         if same:
-            ok &= np.arange(len(b))[None, :] > np.arange(s, s + len(x))[:, None]
-        for r in np.flatnonzero(ok.any(axis=1)):
-            yield s + int(r), np.flatnonzero(ok[r])
+            tally[np.arange(len(b))[None, :] <= np.arange(s, s + len(rows))[:, None]] = 0
+        i, j = np.nonzero(tally >= min_matches)
+        yield s + i, j
+
+
+def _links(a: np.ndarray, b: np.ndarray, same: bool, t: int, first: np.ndarray, min_matches: int, distance: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of ``a`` the indices in ``b`` (later ones if ``same``) that
+    reach the tally, are verified to lie within the distance and have ``t`` as
+    the first index set they share."""
+    weights = (1 << np.arange(8)).astype(np.int64)
+    for i, j in tallied(a, b, same, min_matches):
+        x = a[i] ^ b[j]
+        near = np.bitwise_count(x) <= distance
+        i, j, x = i[near], j[near], x[near]
+        shared = (x.view(np.uint8).reshape(-1, 8) == 0) @ weights  # bit p: byte p (from the low end) agrees
+        here = first[shared] == t
+        i, j = i[here], j[here]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for at, end in zip(starts, [*starts[1:], len(i)], strict=False):
+            yield int(i[at]), j[at:end]
 
 
 def _forest(own: np.ndarray, fps: np.ndarray, i: int, j: int, t: int, first: np.ndarray, min_matches: int, distance: int) -> list[tuple[int, int]]:
@@ -120,7 +140,9 @@ def links(fps: DataFrame, n: int, distance: int = 3) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints ``fps(fp long)`` that
     connect exactly those joined by chains of at most ``distance`` bits.
 
-    ``n`` (their number, or more) only chooses the index. ``distance`` 0 to 7."""
+    ``n``, their number, chooses the index and which lists are hot: lists with
+    a large share of all entries are cut where they are, by broadcast of their
+    keys. ``distance`` 0 to 7."""
     min_matches = 8 - distance
     groups = 2 if n <= WIDE_INDEX and min_matches > 1 else 1
     sets = index_sets(min_matches, groups)
@@ -139,9 +161,9 @@ def links(fps: DataFrame, n: int, distance: int = 3) -> DataFrame:
         return out
 
     posted = fps.select("fp", F.explode(F.array(*[key(t) for t in range(len(sets))])).alias("k"))
-    long_lists = posted.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK)
+    long_lists = written(posted.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "lists")
     blocks = F.least(F.ceil(F.coalesce("m", F.lit(1)) / BLOCK), F.lit(MAX_BLOCKS)).cast("int")
-    placed = posted.join(long_lists, "k", "left").select("k", "fp", blocks.alias("nb"))
+    placed = join_unique(posted, long_lists, "k", "m", n * len(sets), "left").select("k", "fp", blocks.alias("nb"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     tiles = placed.select("k", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -203,18 +225,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
     """One row of each component of :func:`near_duplicates`, with all columns
     of ``df``: a row with the component's smallest id. Where several rows of
-    a component have this id, one of those with the smallest fingerprint stays."""
-    print_col, kept_id, kept_fp = (fresh(df, c) for c in ("simhash_fp", "kept_id", "kept_fp"))
+    a component have this id, one of those with the smallest fingerprint stays.
+
+    Survivors are chosen on narrow rows and come back as a bit map over row
+    numbers, broadcast while it is at most ``MAP_WORDS`` words, so texts are
+    not shuffled; beyond that rows are joined by number. Nulls, empty texts
+    and an empty table as in :func:`near_duplicates`."""
+    print_col, row_col, word_col, bits_col = (fresh(df, c) for c in ("simhash_fp", "simhash_row", "simhash_word", "simhash_bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fps = b"".join([fingerprint(t, words, seed) for t in b.column(text_col).to_pylist()])
             yield b.append_column(print_col, pa.array(np.frombuffer(fps, ">i8").astype(np.int64)))
 
-    full = written(mapped(df, run, wider(df, **{print_col: "long"})), "printed")
-    rows = full.select(F.col(id_col).alias("id"), F.col(print_col).alias("fp"))
+    made = mapped(df, run, wider(df, **{print_col: "long"}))
+    full = written(made.withColumn(row_col, F.monotonically_increasing_id()), "printed")
+    rows = full.select(F.col(id_col).alias("id"), F.col(print_col).alias("fp"), F.col(row_col).alias("row"))
     lookup, total = _components_of(rows, "id", distance)
     lowest = join_unique(rows, lookup, "fp", "n", total).filter(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = lowest.groupBy("root").agg(F.min("fp").alias(kept_fp), F.min("id").alias(kept_id)).drop("root")
-    out = full.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(print_col) == F.col(kept_fp)))
-    return out.dropDuplicates([id_col, print_col]).select(*df.columns)
+    kept = lowest.groupBy("root").agg(F.min(F.struct("fp", "row"))["row"].alias("row"))
+    # Row numbers run on within a written partition, so the kept ones are dense bits of few words.
+    word, bit = F.shiftrightunsigned("row", 6), F.col("row").bitwiseAND(F.lit(63)).cast("int")
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+    maps = written(kept.groupBy(word.alias(word_col)).agg(bits.alias(bits_col)), "kept")
+    if maps.count() <= MAP_WORDS:  # texts stay where they are
+        out = full.withColumn(word_col, F.shiftrightunsigned(row_col, 6)).join(F.broadcast(maps), word_col)
+        out = out.filter(F.call_function("getbit", F.col(bits_col), F.col(row_col).bitwiseAND(F.lit(63)).cast("int")) == 1)
+    else:
+        numbers = maps.select(word_col, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at"), bits_col).filter(F.call_function("getbit", F.col(bits_col), F.col("at")) == 1)
+        out = full.join(numbers.select((F.shiftleft(word_col, 6) + F.col("at")).alias(row_col)), row_col, "left_semi")
+    return out.select(*[F.col(quoted(c)) for c in df.columns])
