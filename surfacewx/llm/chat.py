@@ -15,8 +15,9 @@ only by a turn that is itself longer than half of it. Later windows repeat the
 system turn and, where room is left, up to ``history_turns`` turns before
 them; what is repeated is outside the loss mask.
 
-Prefix sums are taken within chunks of ``CHUNK`` turn numbers and over chunks,
-so a conversation that holds much of the table is dealt to many tasks.
+Prefix sums are taken within chunks, which are ranges of rows in the order of
+the turns, and over chunks, so a conversation that holds much of the table is
+dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from surfacewx.llm.common import written
 START, SEP, END, OPEN, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>"
 #: First character and rest of every control string.
 CONTROL = r"([<\[])(/?s>|</?SYS>>|\|im_(?:start|sep|end)\|>|/?INST\])"
-CHUNK = 256
+#: Characters of a role or text that take part in dealing rows to chunks.
+DEALT = 256
 
 
 def escape(text: Column) -> Column:
@@ -66,7 +68,9 @@ def format_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 2
     Null roles and texts count as empty; rows with a null conversation id
     make one conversation; a null turn number comes first. Rows with the same
     number follow in order of role and text, and all are kept. Other columns
-    are not read; an empty table gives no window.
+    are not read; an empty table gives no window. Conversations are cut by rows;
+    only turns of one conversation that agree in number, role and the first
+    ``DEALT`` characters stay together.
     """
     c = F.col
     rows = turns.select(
@@ -74,8 +78,11 @@ def format_windows(turns: DataFrame, budget: int = 1024, history_tokens: int = 2
         F.coalesce(c(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(c(text_col).cast("string"), F.lit("")).alias("text"),
     )
     head = F.concat(F.lit(START), escape(c("role")), F.lit(SEP))
-    rows = rows.select("conv", "turn", "role", "text", head.alias("head"), escape(c("text")).alias("body"), F.coalesce(F.floor(c("turn") / CHUNK), F.lit(-(1 << 60))).alias("chunk"))
+    rows = rows.select("conv", "turn", "role", "text", head.alias("head"), escape(c("text")).alias("body"))
     rows = rows.withColumn("cost", F.ceil((F.octet_length("head") + F.octet_length("body") + len(END)) / 4).cast("long"))
+    # Chunks are ranges of rows in the order of the turns, whatever the turn numbers are.
+    ranged = rows.repartitionByRange(c("conv").asc_nulls_first(), c("turn").asc_nulls_first(), F.left("role", F.lit(DEALT)), F.left("text", F.lit(DEALT)))
+    rows = written(ranged.withColumn("chunk", F.spark_partition_id().cast("long")), "ranges")
     inside = Window.partitionBy("conv", "chunk").orderBy(F.asc_nulls_first("turn"), "role", "text")
     rows = rows.withColumns({"nth": F.row_number().over(inside), "sofar": F.sum("cost").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - c("cost")})
 
