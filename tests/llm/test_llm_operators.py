@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from surfacewx.llm import ann, bpe, chat, decontam, html, quality, queries, sharding, simhash, toxicity, warc
+from surfacewx.llm import ann, bpe, chat, common, decontam, html, quality, queries, sharding, simhash, toxicity, warc
 from surfacewx.llm.common import components, join_unique, shared_path, slices
 
 DOC = "doc_id long, text string"
@@ -30,7 +30,9 @@ def table(spark, rows, schema):
 # ---- helpers
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("split_from", [1 << 20, 0])
+def test_components_match_union_find(spark, monkeypatch, split_from):
+    monkeypatch.setattr(common, "SPLIT_FROM", split_from)
     rnd = random.Random(3)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2060)]
     parent = {}
@@ -57,6 +59,13 @@ def test_join_unique_keeps_every_row_of_a_hot_key(spark):
     assert out.filter("k = 1").agg(F.min("low")).first()[0] == 0
 
 
+def test_join_unique_keeps_rows_without_a_match_if_asked(spark):
+    rows = table(spark, [(1 if k % 3 == 0 else k % 50, k) for k in range(3000)], "k long, x long")
+    lookup = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k < 20")
+    out = join_unique(rows, lookup, "k", "n", 3000, "left")
+    assert out.count() == 3000 and out.filter("n is null").count() == rows.filter("k >= 20").count()
+
+
 def test_slices_bound_rows_and_bytes():
     import pyarrow as pa
 
@@ -131,6 +140,22 @@ def test_chat_nulls_ties_and_no_rows(spark):
     assert chat.format_windows(table(spark, [], schema)).count() == 0
 
 
+def test_one_conversation_of_null_turns_is_dealt_to_many_chunks(spark, monkeypatch):
+    """A third of the rows and more in one conversation, all with a null turn number."""
+    told = [(None, None, "user", f"text {k:04d}") for k in range(600)] + [(k, 1, "user", "x") for k in range(900)]
+    tables, before = {}, spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(chat, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made = chat.format_windows(table(spark, told, "conv_id long, turn long, role string, text string"), 60, 20, 3).filter("conv_id is null").orderBy("window").collect()
+        most = tables["ranges"].groupBy("conv", "chunk").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert most <= 450  # of 600: range partitions hold about 1500 / 8 rows
+    talk = [("user", f"text {k:04d}") for k in range(600)]
+    assert [(r.window, r.formatted, [tuple(s) for s in r.loss_spans], r.n_repeated, r.n_new) for r in made] == brute_windows(talk, 60, 20, 3)
+
+
 def test_chat_query_runs_no_python(spark, sf_small):
     plan = queries.op1_chat_formatting(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -521,8 +546,8 @@ def brute_hits(text, items, size=10):
     return len(words), len(hit), sorted(map(str, who))
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_decontamination_matches_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "listed"), [(200_000, 64), (3, 64), (200_000, 1), (5, 0)])
+def test_decontamination_matches_brute_force(spark, block, listed):
     rnd = random.Random(4)
     vocab = ["a", "b", "the", "É", "x1", "Zed"]
 
@@ -531,10 +556,10 @@ def test_decontamination_matches_brute_force(spark, block):
 
     items = [(k, say(rnd.choice([1, 2, 4, 9, 10, 11, 14]))) for k in range(14)] + [(50, None), (51, "..."), (3, say(12)), (60, "a a a a a a a a a a a a")]
     docs = [(k, say(rnd.randrange(0, 60)) + (items[k % 14][1] if k % 2 else "") + say(5), "h") for k in range(40)] + [(100, None, "h"), (101, "", "h"), (102, "a " * 300, "h"), (None, items[0][1], "h")]
-    made = decontam.mark(table(spark, docs, "doc_id long, text string, hits string"), table(spark, items, "item_id long, text string"), block_windows=block)
+    made = decontam.mark(table(spark, docs, "doc_id long, text string, hits string"), table(spark, items, "item_id long, text string"), block_windows=block, window_items=listed)
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in made.collect()}
     assert got == {k: brute_hits(t, items) for k, t, _ in docs}
-    if block > 3:
+    if (block, listed) == (200_000, 64):
         none = decontam.mark(made.select("doc_id", "text"), table(spark, [], "item_id long, text string"))
         assert none.agg(F.sum("n_hit")).first()[0] == 0
         assert decontam.mark(made.limit(0).select("doc_id", "text"), table(spark, items, "item_id long, text string")).count() == 0
@@ -605,6 +630,44 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, block, wide
     assert {f: find2(f) for f in fps} == {f: find(f) for f in fps}
 
 
+def test_only_pairs_that_reach_the_tally_are_verified():
+    rnd = np.random.default_rng(5)
+    a = rnd.integers(0, 3, (300, 8), dtype=np.uint8)  # bytes of three values: many pairs share some, few share five
+    b = rnd.integers(0, 3, (200, 8), dtype=np.uint8)
+    left, right = (x.copy().view(np.uint64).ravel() for x in (a, b))
+    want = [(i, j) for i in range(300) for j in range(200) if (a[i] == b[j]).sum() >= 5]
+    got = [(int(i), int(j)) for x, y in simhash.tallied(left, right, False, 5) for i, j in zip(x, y, strict=True)]
+    assert got == want and 0 < len(got) < 300 * 200 / 5
+    own = [(int(i), int(j)) for x, y in simhash.tallied(left, left, True, 5) for i, j in zip(x, y, strict=True)]
+    assert own == [(i, j) for i in range(300) for j in range(i + 1, 300) if (a[i] == a[j]).sum() >= 5]
+
+
+def test_distances_are_taken_of_tallied_pairs_alone(monkeypatch):
+    rnd = np.random.default_rng(6)
+    fps = np.unique(rnd.integers(0, 1 << 63, 400, dtype=np.uint64) & np.uint64(0xFFFFFF))  # all share five bytes of zeros
+    many = np.unique(rnd.integers(0, 1 << 63, 400, dtype=np.uint64))  # hardly any pair shares five
+    sizes = []
+    count = np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: sizes.append(x.size) or count(x))
+    first = np.zeros(256, np.int64)
+    for x in (fps, many):
+        list(simhash._links(x, x, True, 0, first, 5, 3))
+    assert sizes == [len(fps) * (len(fps) - 1) // 2, 0]
+
+
+@pytest.mark.parametrize("words", [1 << 21, 0])
+def test_what_stays_by_bit_map_or_by_join(spark, monkeypatch, words):
+    monkeypatch.setattr(simhash, "MAP_WORDS", words)
+    rows = [(k, f"alpha beta gamma delta text number {k % 90}", "x") for k in range(400)] + [(7, "alpha beta gamma delta text number 7", "y")]
+    df = table(spark, rows, "doc_id long, text string, simhash_row string").repartition(5)
+    want = {r.component_id for r in simhash.near_duplicates(df).collect()}
+    kept = simhash.keep_one(df)
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(got) == sorted(want) and kept.columns == df.columns
+    if words:
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().toString()
+
+
 def test_near_duplicates_and_what_stays(spark):
     long = " ".join(f"w{k}" for k in range(400))
     rows = [(5, long), (3, long + " more"), (9, "short"), (10, None), (11, ""), (3, long + " more"), (None, "short"), (20, "quite another text of some words"), (12, "  \n"), (7, long.upper())]
