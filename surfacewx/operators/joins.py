@@ -8,6 +8,9 @@ the session has it on (it splits only the oversized partitions, from runtime
 shuffle statistics, and copies only the matching dimension partition), else
 by salting the fact side and replicating the dimension once per salt.
 ``surfacewx.join.skew`` = ``auto`` (default) | ``aqe`` | ``salt`` chooses.
+Before that shuffle, joins that keep only matching rows drop most others by a
+broadcast Bloom filter of the dimension's keys (``operators.prefilter``;
+``surfacewx.join.prefilter`` = ``false`` turns it off).
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from surfacewx.operators.prefilter import can_prefilter, prefilter
+
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_SALT_BUCKETS = 32
 
@@ -107,16 +112,31 @@ def dimension_join(
         # dimension's, with the key once (the fact side's).
         dim = dim.withColumnRenamed(dim_key, "_dim_key")
         dim_key = "_dim_key"
-    small, ok = checked_broadcast(dim, max_bytes)
-    if ok:
+    n, size = measured(dim)
+    if size <= _max_bytes(dim, max_bytes):
+        small = F.broadcast(dim)
         out = fact.join(small, F.col(fact_key) == small[dim_key], how)
-    elif _skew_strategy(fact) == "aqe":
-        out = fact.join(dim, F.col(fact_key) == dim[dim_key], how)
-    else:
-        out = salted_join(fact, dim, fact_key, dim_key, how, buckets, salt_cols)
+        return out.drop("_dim_key") if "_dim_key" in out.columns else out
+    wanted = (fact.sparkSession.conf.get("surfacewx.join.prefilter", None) or "true").lower() == "true"
+    if wanted and how in ("inner", "left_semi") and can_prefilter(fact, dim, fact_key, dim_key, n):
+        fact = prefilter(fact, dim, fact_key, dim_key, n)
+        if how == "left_semi":
+            # Catalyst would push a semi join below the filter's join; an inner join with distinct keys stays above.
+            # Dealt by another hash, the keys get an exchange of their own, which adaptive skew handling needs.
+            keys = dim.select(dim_key).distinct().repartition(F.xxhash64(dim_key))
+            keys = keys.withColumnRenamed(dim_key, "_selected_key")
+            return _shuffle_join(fact, keys, fact_key, "_selected_key", "inner", buckets, salt_cols).drop("_selected_key")
+    out = _shuffle_join(fact, dim, fact_key, dim_key, how, buckets, salt_cols)
     return out.drop("_dim_key") if "_dim_key" in out.columns else out
 
 
+def _shuffle_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str, buckets: int, salt_cols: Sequence[str] | None) -> DataFrame:
+    """The join above the broadcast bound, by whichever way splits hot keys here."""
+    if _skew_strategy(fact) == "aqe":
+        return fact.join(dim, F.col(fact_key) == dim[dim_key], how)
+    return salted_join(fact, dim, fact_key, dim_key, how, buckets, salt_cols)
+
+
 def _skew_strategy(df: DataFrame) -> str:
     """``aqe`` when adaptive skew-join handling is on (and not overridden),
     else ``salt``."""
@@ -129,13 +149,13 @@ def _skew_strategy(df: DataFrame) -> str:
     return "aqe" if aqe and skew else "salt"
 
 
-def semi_join(obs: DataFrame, selected: DataFrame, key: str = "station_id", selected_key: str | None = None) -> DataFrame:
+def semi_join(obs: DataFrame, selected: DataFrame, key: str = "station_id", selected_key: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """Observations whose station is among ``selected`` (left semi join).
 
     Duplicate ids on the selected side change nothing for a semi join, so
     they are not removed (no extra shuffle)."""
     sk = selected_key or key
-    return dimension_join(obs, selected.select(sk), key, sk, "left_semi")
+    return dimension_join(obs, selected.select(sk), key, sk, "left_semi", max_bytes)
 
 
 def enrich(records: DataFrame, stations: DataFrame, key: str = "station_id", station_key: str | None = None, columns: list[str] | None = None) -> DataFrame:

@@ -225,6 +225,8 @@ hav AS (""",
     "selected_ids": BASE_SEL + "\nSELECT DISTINCT station_id FROM sel",
     "semi_join_stations": BASE_SEL + """
 SELECT event_id, k, wind_speed FROM obs WHERE k IN (SELECT s_suppkey FROM sel)""",
+    "semi_join_prefiltered": BASE_SEL + """
+SELECT o.event_id, o.k, o.wind_speed FROM obs o JOIN (SELECT DISTINCT s_suppkey FROM sel) s ON o.k = s.s_suppkey""",
     "pooled_stats": BASE + """
 SELECT count(wind_speed) AS n, round(avg(wind_speed), 6) AS mean, round(stddev_samp(wind_speed), 6) AS stddev
 FROM obs""",

@@ -339,6 +339,13 @@ def semi_join_stations(spark: SparkSession, d: str) -> DataFrame:
     return semi_join(_obs(spark, d), sel, "k", "s_suppkey").select("event_id", "k", "wind_speed")
 
 
+def semi_join_prefiltered(spark: SparkSession, d: str) -> DataFrame:
+    """The same above the broadcast bound: observations pass a Bloom filter
+    of the selection, then join it by shuffle."""
+    sel = materialize(within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M).select("s_suppkey"))
+    return semi_join(_obs(spark, d), sel, "k", "s_suppkey", max_bytes=0).select("event_id", "k", "wind_speed")
+
+
 # ---------------------------------------------------------------- stats
 def pooled_stats_q(spark: SparkSession, d: str) -> DataFrame:
     """Count, mean, sample stddev of wind speed over all observations."""
@@ -530,6 +537,7 @@ QUERIES: dict[str, Query] = {
     "within_radius_any_coordinates": within_radius_any_coordinates,
     "selected_ids": selected_ids_q,
     "semi_join_stations": semi_join_stations,
+    "semi_join_prefiltered": semi_join_prefiltered,
     "pooled_stats": pooled_stats_q,
     "measure_stats": measure_stats,
     "partial_stats": partial_stats_q,
