@@ -8,9 +8,9 @@ the session has it on (it splits only the oversized partitions, from runtime
 shuffle statistics, and copies only the matching dimension partition), else
 by salting the fact side and replicating the dimension once per salt.
 ``surfacewx.join.skew`` = ``auto`` (default) | ``aqe`` | ``salt`` chooses.
-Before that shuffle, joins that keep only matching rows drop most others by a
-broadcast Bloom filter of the dimension's keys (``operators.prefilter``;
-``surfacewx.join.prefilter`` = ``false`` turns it off).
+Before that shuffle, joins that keep only matching rows drop most others, if
+asked (``prefiltered`` or ``surfacewx.join.prefilter`` = ``true``), by a
+broadcast Bloom filter of the dimension's keys (``operators.prefilter``).
 """
 
 from __future__ import annotations
@@ -99,6 +99,7 @@ def dimension_join(
     max_bytes: int | None = None,
     buckets: int = DEFAULT_SALT_BUCKETS,
     salt_cols: Sequence[str] | None = None,
+    prefiltered: bool = False,
 ) -> DataFrame:
     """Join a fact side with a dimension: broadcast when the dimension is
     provably small, otherwise a shuffle join that splits hot keys (adaptive
@@ -117,7 +118,7 @@ def dimension_join(
         small = F.broadcast(dim)
         out = fact.join(small, F.col(fact_key) == small[dim_key], how)
         return out.drop("_dim_key") if "_dim_key" in out.columns else out
-    wanted = (fact.sparkSession.conf.get("surfacewx.join.prefilter", None) or "true").lower() == "true"
+    wanted = prefiltered or (fact.sparkSession.conf.get("surfacewx.join.prefilter", None) or "false").lower() == "true"
     if wanted and how in ("inner", "left_semi") and can_prefilter(fact, dim, fact_key, dim_key, n):
         fact = prefilter(fact, dim, fact_key, dim_key, n)
         if how == "left_semi":
@@ -149,13 +150,13 @@ def _skew_strategy(df: DataFrame) -> str:
     return "aqe" if aqe and skew else "salt"
 
 
-def semi_join(obs: DataFrame, selected: DataFrame, key: str = "station_id", selected_key: str | None = None, max_bytes: int | None = None) -> DataFrame:
+def semi_join(obs: DataFrame, selected: DataFrame, key: str = "station_id", selected_key: str | None = None, max_bytes: int | None = None, prefiltered: bool = False) -> DataFrame:
     """Observations whose station is among ``selected`` (left semi join).
 
     Duplicate ids on the selected side change nothing for a semi join, so
     they are not removed (no extra shuffle)."""
     sk = selected_key or key
-    return dimension_join(obs, selected.select(sk), key, sk, "left_semi", max_bytes)
+    return dimension_join(obs, selected.select(sk), key, sk, "left_semi", max_bytes, prefiltered=prefiltered)
 
 
 def enrich(records: DataFrame, stations: DataFrame, key: str = "station_id", station_key: str | None = None, columns: list[str] | None = None) -> DataFrame:

@@ -343,7 +343,7 @@ def semi_join_prefiltered(spark: SparkSession, d: str) -> DataFrame:
     """The same above the broadcast bound: observations pass a Bloom filter
     of the selection, then join it by shuffle."""
     sel = materialize(within_radius(_stations(spark, d), *CENTRE, DEFAULT_RADIUS_M).select("s_suppkey"))
-    return semi_join(_obs(spark, d), sel, "k", "s_suppkey", max_bytes=0).select("event_id", "k", "wind_speed")
+    return semi_join(_obs(spark, d), sel, "k", "s_suppkey", max_bytes=0, prefiltered=True).select("event_id", "k", "wind_speed")
 
 
 # ---------------------------------------------------------------- stats

@@ -51,7 +51,7 @@ def test_large_joins_give_the_rows_of_a_plain_join(spark, how, strategy):
     dim = spark.createDataFrame([(str(k), k) for k in range(0, 900, 9)] + [("7", 7), ("7", 8), (None, 1)], "k string, w long")
     spark.conf.set("surfacewx.join.skew", strategy)
     try:
-        got = dimension_join(fact, dim, "k", how=how, max_bytes=0)
+        got = dimension_join(fact, dim, "k", how=how, max_bytes=0, prefiltered=True)
         want = fact.join(dim.withColumnRenamed("k", "dk"), F.col("k") == F.col("dk"), how)
         want = want.drop("dk") if "dk" in want.columns else want
         assert got.columns == want.columns
@@ -62,12 +62,12 @@ def test_large_joins_give_the_rows_of_a_plain_join(spark, how, strategy):
 
 def test_empty_sides_and_keys_of_two_types(spark):
     fact = _fact(spark)
-    assert semi_join(fact, fact.limit(0), "k", max_bytes=-1).count() == 0
-    assert semi_join(fact.limit(0), fact, "k", max_bytes=0).count() == 0
+    assert semi_join(fact, fact.limit(0), "k", max_bytes=-1, prefiltered=True).count() == 0
+    assert semi_join(fact.limit(0), fact, "k", max_bytes=0, prefiltered=True).count() == 0
     numbers = spark.range(5).select(F.col("id").alias("k"))
     ints = fact.select("id", F.col("k").cast("int").alias("k"))
     assert not can_prefilter(ints, numbers, "k", "k", 5)
-    assert semi_join(ints, numbers, "k", max_bytes=0).count() == ints.filter("k < 5").count()
+    assert semi_join(ints, numbers, "k", max_bytes=0, prefiltered=True).count() == ints.filter("k < 5").count()
 
 
 def test_only_the_selected_share_is_shuffled(spark, tmp_path):
@@ -120,7 +120,7 @@ def test_a_hot_selected_key_is_split(spark):
         spark.conf.set(k, v)
     try:
         fact = _fact(spark)
-        df = semi_join(fact, fact.filter("id < 4000").select("k"), "k", max_bytes=0)
+        df = semi_join(fact, fact.filter("id < 4000").select("k"), "k", max_bytes=0, prefiltered=True)
         n = len(df.collect())
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
