@@ -9,6 +9,10 @@ observations until the report is read.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +21,16 @@ from surfacewx.operators.outliers import find_outliers
 from surfacewx.operators.radius import selected_ids, within_radius
 from surfacewx.operators.report import format_report, sort_report
 from surfacewx.operators.stats import pooled_stats
-from surfacewx.plans.table import merged_statistics
+from surfacewx.plans.table import _delete, merged_statistics
 from surfacewx.schema import (
     DEFAULT_DELTA,
     DEFAULT_ELEVATION,
     DEFAULT_LATITUDE,
     DEFAULT_LONGITUDE,
     DEFAULT_RADIUS_M,
+    REPORT_SORT_KEYS,
 )
+from surfacewx.session import ensure_checkpoint_dir
 from surfacewx.sources.manifest import read_manifest, read_manifest_lines
 from surfacewx.sources.observations import parse_observations, read_observation_lines
 from surfacewx.sources.stations import read_stations
@@ -219,6 +225,24 @@ def detect_stats(
     return pooled_stats(joined, value_col)
 
 
+@contextmanager
+def parsed_once(obs: DataFrame) -> Iterator[DataFrame]:
+    """``obs`` as Parquet in the checkpoint directory, for the time of the
+    block: what computes it runs once, however often the block reads it.
+
+    A scan of many small files has a task for every 32 of them or so. They are
+    put together, without a shuffle, so that the parts are fewer than the files.
+    """
+    spark = obs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{ensure_checkpoint_dir(spark)}/parsed-{uuid.uuid4().hex}"
+    try:
+        obs.coalesce(tasks).write.parquet(path)
+        yield spark.read.schema(obs.schema).parquet(path)
+    finally:
+        _delete(spark, path)
+
+
 def detect_files(
     spark: SparkSession,
     observations_path: str | list[str],
@@ -248,11 +272,13 @@ def detect_files(
     files are those of its rows, packed into tasks by size, and
     ``observations_path`` is not read or listed.
 
-    The statistics and the outlier filter each read the observations. On raw
-    text that means two parses; ``persist`` keeps the parsed observations
-    (memory, spilling to disk; recomputed from the files if an executor is
-    lost) so the text is parsed once. It is released after writing when
-    ``output`` is given. For repeated runs, ingest to Parquet instead.
+    The statistics and the outlier filter each read the observations. The
+    text is opened and parsed once all the same: the columns that the report
+    needs are written as Parquet to the checkpoint directory, read from there
+    and deleted when the outliers are found. ``persist`` keeps the parsed
+    observations instead (memory, spilling to disk; recomputed from the files
+    if an executor is lost). It is released after writing when ``output`` is
+    given. For repeated runs, ingest to Parquet instead.
     """
     stations = read_stations(spark, stations_path, mode=mode)
     ids = materialize_outliers(selected_ids(stations, latitude, longitude, elevation, radius_m))
@@ -263,11 +289,18 @@ def detect_files(
         lines = read_observation_lines(spark, observations_path, partitions=partitions)
         lines = semi_join(pruned(lines, ids, "station_id", "station_id"), ids, "station_id")
     obs = parse_observations(lines, mode=mode)
+
+    def report_of(parsed: DataFrame) -> DataFrame:
+        return detect(parsed, stations, latitude, longitude, elevation, radius_m, delta, value_col, materialize=True, prune=False)
+
     if persist:
         from pyspark import StorageLevel
 
         obs = obs.persist(StorageLevel.MEMORY_AND_DISK)
-    report = detect(obs, stations, latitude, longitude, elevation, radius_m, delta, value_col, materialize=True, prune=False)
+        report = report_of(obs)
+    else:
+        with parsed_once(obs.select(*dict.fromkeys([*REPORT_SORT_KEYS, "station_id", value_col, "wind_speed_x10"]))) as parsed:
+            report = report_of(parsed)
     if output is not None:
         from surfacewx.sinks.csv import write_report_csv
 

@@ -15,7 +15,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,31 +111,44 @@ def write_observation_files(lines: DataFrame, folder: str) -> None:
     """``lines(file_name, value)`` as one text file per name (gzip where it
     ends in ``.gz``) in ``folder``, a place that all executors share.
 
-    A file's lines are dealt to one task, which streams them. It appears under
-    its name when complete, so a task that runs again finds or replaces it."""
+    A file's lines are dealt to one task, which streams them, all that a batch
+    has of a file at once. It appears under its name when complete, so a task
+    that runs again finds or replaces it. Until then it is in a folder of the
+    task's own: tasks that create files in one folder wait for one another.
+    The number of tasks is the session's number of shuffle partitions: by
+    their bytes adaptive execution would leave too few for the cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = place(folder)
-        files.create_dir(base, recursive=True)
-        name = part = out = None
+        own = f"{base}/_{uuid.uuid4().hex}"  # Spark does not read names with an underscore in front
+        files.create_dir(own, recursive=True)
+        name = out = None
 
         def close() -> None:
             if out is not None:
                 out.close()
                 if files.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
-                    files.move(part, f"{base}/{name}")
-                else:
-                    files.delete_file(part)
+                    files.move(f"{own}/{name}", f"{base}/{name}")
 
         for b in batches:
-            for own, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if own != name:
+            if not b.num_rows:
+                continue
+            runs = pc.run_end_encode(b.column(0))
+            text = pc.binary_join_element_wise(pc.fill_null(b.column(1), "None"), "", "\n")  # each line with its end
+            ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=np.int64)
+            data, start = memoryview(text.buffers()[2]), 0
+            for next_name, last in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if next_name != name:
                     close()
-                    name, part = own, f"{base}/_{uuid.uuid4().hex}-{own}"  # Spark does not read names with an underscore in front
-                    out = files.open_output_stream(part)
-                out.write(f"{value}\n".encode())
+                    name = next_name
+                    out = files.open_output_stream(f"{own}/{name}")
+                end = int(ends[last - 1])
+                out.write(data[start:end])
+                start = end
         close()
+        files.delete_dir(own)
         yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], names=["file_name"])
 
-    rows = lines.select("file_name", "value").repartition("file_name").sortWithinPartitions("file_name")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.select("file_name", "value").repartition(tasks, "file_name").sortWithinPartitions("file_name")
     rows.mapInArrow(run, "file_name string").write.format("noop").mode("overwrite").save()

@@ -146,6 +146,48 @@ def test_detect_files_persist_same_result(spark, files):
     assert _bag(report) == plain
 
 
+def test_detect_files_opens_the_text_once(spark, files, monkeypatch):
+    import surfacewx.plans.detect as detect_module
+
+    def lines_in(folder):
+        return sum((gzip.open if f.endswith(".gz") else open)(os.path.join(folder, f)).read().count(b"\n" if f.endswith(".gz") else "\n") for f in os.listdir(folder) if "-" in f)
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(*args, **kwargs):
+        lines = read_observation_lines(*args, **kwargs)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return lines.mapInArrow(run, lines.schema)
+
+    expected = _bag(detect_files(spark, files["dir"], files["catalogue"]))
+    monkeypatch.setattr(detect_module, "read_observation_lines", counted)
+    assert _bag(detect_files(spark, files["dir"], files["catalogue"])) == expected
+    assert seen.value == lines_in(files["dir"])
+    # what was parsed is gone afterwards
+    left = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [f for f in os.listdir(left) if f.startswith("parsed-")]
+
+
+def test_parsed_once_leaves_nothing_after_a_failure(spark, files, tmp_path):
+    (tmp_path / "722430-12960-2024").write_text("a bad line\n")
+    from surfacewx.plans.detect import parsed_once
+
+    with pytest.raises(Exception, match="Malformed observation line"):
+        with parsed_once(read_observations(spark, str(tmp_path))):
+            pass
+    left = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [f for f in os.listdir(left) if f.startswith("parsed-")]
+    good = read_observations(spark, files["dir"])
+    with parsed_once(good) as parsed:
+        assert parsed.schema.simpleString() == good.schema.simpleString()
+        assert sorted(map(str, parsed.collect())) == sorted(map(str, good.collect()))
+
+
 def test_cli_writes_report_and_reads_parquet(spark, files):
     out = str(files["root"] / "cli_out.txt")
     assert cli_main([files["dir"], out, "--stations", files["catalogue"]]) == 0

@@ -271,3 +271,39 @@ def test_observation_files_by_name_written_again_stay_single(spark, tmp_path):
     got = read_observations(spark, folder).groupBy("station_id").count().collect()
     assert {r.station_id: r["count"] for r in got} == {f"72000{k}-00001": k + 1 for k in range(5)}
     assert not [f for f in (tmp_path / "files").iterdir() if f.name.startswith("_")]
+
+
+def test_observation_files_are_made_in_folders_of_their_tasks(spark, tmp_path, monkeypatch):
+    import surfacewx.sources.fixtures as module
+
+    class Files:
+        """The local files; creating one in the shared folder itself is an error."""
+
+        def __init__(self, files, base):
+            self.files, self.base = files, base
+
+        def open_output_stream(self, path):
+            assert path.rpartition("/")[0] != self.base, path
+            return self.files.open_output_stream(path)
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+    folder = str(tmp_path / "files")
+    lines = {f"72000{k}-00001-2008{'.gz' if k % 3 == 0 else ''}": [f"{k} é {i} " * (i % 4) for i in range(1 + 5 * k)] for k in range(9)}
+    rows = [(name, value) for i in range(50) for name, own in lines.items() for value in own[i : i + 1]] + [("720009-00001-2008", None)]
+    place = module.place
+
+    def checked(path):
+        files, base = place(path)
+        return Files(files, base), base
+
+    monkeypatch.setattr(module, "place", checked)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # files go on over several batches
+    try:
+        module.write_observation_files(spark.createDataFrame(rows, "file_name string, value string").repartition(3), folder)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.file: sorted(r.lines) for r in spark.read.text(folder).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.collect_list("value").alias("lines")).collect()}
+    assert got == {name: sorted(own) for name, own in lines.items()} | {"720009-00001-2008": ["None"]}
+    assert sorted(f.name for f in (tmp_path / "files").iterdir() if not f.name.startswith(".")) == sorted(got)
